@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from loam.llm.jaccard import op10_jaccard
 from loam.llm.language import op7_language
 from loam.llm.media import op3_media
 from loam.llm.packing import op4_packing
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable]:
         "op7_language": op7_language,
         "op8_quality": op8_quality,
         "op9_sharding": op9_sharding,
+        "op10_jaccard": op10_jaccard,
     }
 
 
