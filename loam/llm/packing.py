@@ -14,6 +14,9 @@ extra columns are ignored; an empty table gives no rows. A very long text is enc
 
 from __future__ import annotations
 
+import os
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +31,7 @@ END_ID = 0
 #: Tails packed together in a task; bounds its memory at BLOCK * WINDOW * 4 bytes.
 BLOCK = 8192
 #: Distinct pieces of text whose ids a worker remembers.
-CACHE = 400_000
+CACHE = 500_000
 
 
 class Encoder:
@@ -40,40 +43,34 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        import os
-
-        import regex
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        # Fixed value: the split pattern of the public byte-level tokenizer.
-        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-        self.odd = regex.compile(r"[^\x09\x0A\x0D\x20-\x7E¡-¬®-ſ‐-―‘-‟]").search
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        # The public byte-level tokenizer's split pattern, its classes of letters and numbers spelled out for Latin text.
+        word, number = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
+        self.pieces = re.compile(rf" ?[{word}]+| ?[{number}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s{word}{number}]+|\s+(?!\S)|\s+").findall
+        self.odd = re.compile(r"[^\x09\x0A\x0D\x20-\x7E¡-¬®-ſ‐-―‘-‟]").search
+        self.known: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """Each text's ids as 32-bit numbers (little-endian, as are all machines Spark runs on today)."""
+        known = self.known
         for text in texts:
             if self.odd(text):
-                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
                 continue
-            known, pieces = self.known, self.pieces(text)
+            pieces = self.pieces(text)
             try:
-                parts = [known[p] for p in pieces]
+                yield b"".join(map(known.__getitem__, pieces))
             except KeyError:
                 new = list({p for p in pieces if p not in known})
-                if len(known) + len(new) > CACHE:
-                    known.clear()
-                    new = list(set(pieces))
-                for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                    known[p] = tuple(e.ids)
-                parts = [known[p] for p in pieces]
-            out: list[int] = []
-            for p in parts:
-                out += p
-            yield np.array(out, np.uint32)
+                ids = (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))
+                found = dict(zip(new, ids))
+                if len(known) < CACHE:
+                    known.update(found)
+                yield b"".join([known[p] if p in known else found[p] for p in pieces])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -99,7 +96,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, id_
                 part = [t or "" for t in texts.slice(a, 256).to_pylist()]
                 row, start, length, total, blob = [], [], [], [], []
                 for i, tokens in enumerate(enc.encode(part)):
-                    raw, n = np.append(tokens, np.uint32(END_ID)).astype("<u4").tobytes(), len(tokens) + 1
+                    raw, n = tokens + END_ID.to_bytes(4, "little"), len(tokens) // 4 + 1
                     for s in range(0, n, window):
                         row.append(a + i)
                         start.append(s)
