@@ -7,15 +7,21 @@ from collections.abc import Callable
 from loam.llm.jaccard import op10_jaccard
 from loam.llm.language import op7_language
 from loam.llm.media import op3_media
+from loam.llm.mixing import op1_mixing
+from loam.llm.neighbours import op2_neighbours
 from loam.llm.packing import op4_packing
 from loam.llm.quality import op8_quality
 from loam.llm.sharding import op9_sharding
+from loam.llm.warc import op5_warc
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op1_mixing": op1_mixing,
+        "op2_neighbours": op2_neighbours,
         "op3_media": op3_media,
         "op4_packing": op4_packing,
+        "op5_warc": op5_warc,
         "op7_language": op7_language,
         "op8_quality": op8_quality,
         "op9_sharding": op9_sharding,
