@@ -177,8 +177,8 @@ def _compare_blocks(n: int, threshold: float):
 
 def _hot_links(hot: DataFrame, nodes: DataFrame, texts_of, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(key, grp) of the hot nodes; (key, near, docs, texts) per pair of blocks."""
-    star = hot.groupBy("h").agg(F.min("key").alias("v"))
-    roots = components(hot.join(star, "h").select(F.col("key").alias("u"), "v"))
+    star = materialise(hot.groupBy("h").agg(F.min("key").alias("v")), "stars")
+    roots = components(hot.join(small(star), "h").select(F.col("key").alias("u"), "v"))
     members = materialise(roots.select(F.col("node").alias("key"), F.col("root").alias("grp")), "hot")
     blocks = members.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
     rows = texts_of(members.select("key")).join(members, "key").join(blocks, "grp")
