@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from loam.llm.jaccard import op10_jaccard
 from loam.llm.language import op7_language
+from loam.llm.lm import op6_lm
 from loam.llm.media import op3_media
 from loam.llm.mixing import op1_mixing
 from loam.llm.neighbours import op2_neighbours
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable]:
         "op3_media": op3_media,
         "op4_packing": op4_packing,
         "op5_warc": op5_warc,
+        "op6_lm": op6_lm,
         "op7_language": op7_language,
         "op8_quality": op8_quality,
         "op9_sharding": op9_sharding,
