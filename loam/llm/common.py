@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
 _own: list[str] = []
 
 
@@ -43,8 +42,33 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Called after each task: empties what a module remembers from row to row.
+forget: list = []
+
+
+def lean(function, rows: int = 256):
+    """For mapInArrow: hands ``function`` batches of at most ``rows`` rows and frees the task's memory when it ends.
+
+    Spark reuses Python workers, whose leftovers would add up over the stages of a long job.
+    """
+
+    def run(batches):
+        try:
+            yield from function(batch.slice(a, rows) for batch in batches for a in range(0, batch.num_rows, rows))
+        finally:
+            import ctypes
+
+            import pyarrow as pa
+
+            for clear in forget:
+                clear()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # another C library
+                pass
+
+    return run
 
 
 def doc_fold(doc_id) -> F.Column:
@@ -56,11 +80,6 @@ def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def as_rows(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Only these columns, so that extra ones with clashing names do no harm."""
-    return df.select(*[F.col(f"`{c}`") for c in columns])
-
-
 BROADCAST_ROWS = 200_000
 
 

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import materialise, small
+from loam.llm.common import forget, lean, materialise, small
 from loam.llm.components import components
 
 WORDS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 200
@@ -52,13 +52,14 @@ class _Hashes(dict):
     def __missing__(self, word):
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h
 
 
 _hash_of = _Hashes()
+forget.append(_hash_of.clear)
 
 
 def ngram_set(text: str | None, n: int = WORDS) -> np.ndarray:
@@ -125,7 +126,7 @@ def sketch(docs: DataFrame, n: int, bands: int, rows: int, id_col: str, text_col
 
     text = F.col(f"`{text_col}`")
     narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
-    return narrow.mapInArrow(run, f"doc_id {kind}, text_hash long, key binary, bands array<long>")
+    return narrow.mapInArrow(lean(run), f"doc_id {kind}, text_hash long, key binary, bands array<long>")
 
 
 def _compare_blocks(n: int, threshold: float):
@@ -241,7 +242,7 @@ def jaccard_classes(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOL
         .join(ends.select(F.col("key").alias("b"), F.col("text").alias("tb"), F.col("n_copies").alias("nb")), "b")
         .select("a", "b", "ta", "tb", "na", "nb")
     )
-    links = materialise(sides.mapInArrow(_verify(n, threshold), "a binary, b binary, na long, nb long"), "links")
+    links = materialise(sides.mapInArrow(lean(_verify(n, threshold)), "a binary, b binary, na long, nb long"), "links")
 
     degree = hot_links.select("key", "docs", "texts").union(links.select("a", "nb", F.lit(1))).union(links.select("b", "na", F.lit(1)))
     degree = degree.groupBy("key").agg(F.sum("docs").alias("docs"), F.sum("texts").alias("texts"))

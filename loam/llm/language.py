@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import doc_fold
+from loam.llm.common import doc_fold, lean
 
 DIM = 2048
 PER_LANGUAGE, MOST = 600, 4800
@@ -134,7 +134,7 @@ def featurise(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataF
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], blobs], names=[*keep, "vector"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", vector binary"
-    return docs.select(*keep, text_col).mapInArrow(run, schema)
+    return docs.select(*keep, text_col).mapInArrow(lean(run), schema)
 
 
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
@@ -165,20 +165,18 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str], text_col: st
         import pyarrow as pa
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                vectors = [ngram_vector(t) if model else None for t in part.column(len(keep)).to_pylist()]
-                lang, score, unsure = ["und"] * len(vectors), [0.0] * len(vectors), [False] * len(vectors)
-                at = [i for i, v in enumerate(vectors) if v is not None]
-                if at:
-                    for i, c, s, lead in zip(at, *model.predict(np.stack([vectors[i] for i in at]))):
-                        lang[i], score[i], unsure[i] = model.languages[c], float(s), bool(lead < AMBIGUOUS)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())],
-                    names=[*keep, "lang_pred", "score", "ambiguous"],
-                )
-
-    return docs.select(*keep, F.col(f"`{text_col}`").alias("_text")).mapInArrow(run, schema)
+            vectors = [ngram_vector(t) if model else None for t in batch.column(len(keep)).to_pylist()]
+            lang, score, unsure = ["und"] * len(vectors), [0.0] * len(vectors), [False] * len(vectors)
+            at = [i for i, v in enumerate(vectors) if v is not None]
+            if at:
+                for i, c, s, lead in zip(at, *model.predict(np.stack([vectors[i] for i in at]))):
+                    lang[i], score[i], unsure[i] = model.languages[c], float(s), bool(lead < AMBIGUOUS)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())],
+                names=[*keep, "lang_pred", "score", "ambiguous"],
+            )
+
+    return docs.select(*keep, F.col(f"`{text_col}`").alias("_text")).mapInArrow(lean(run), schema)
 
 
 def op7_language(spark, sf_dir: str) -> DataFrame:

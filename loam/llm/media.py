@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import materialise
+from loam.llm.common import lean, materialise
 
 UNIT = 192
 # The PNG signature and chunk names.
@@ -167,16 +167,14 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         import pyarrow as pa
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                payloads = [payload_of(t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([n for _, n in payloads], pa.int64()), pa.array([png_encode(p) for p, _ in payloads], pa.binary())],
-                    names=["doc_id", "n_bytes", "media"],
-                )
+            payloads = [payload_of(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([n for _, n in payloads], pa.int64()), pa.array([png_encode(p) for p, _ in payloads], pa.binary())],
+                names=["doc_id", "n_bytes", "media"],
+            )
 
     narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return narrow.mapInArrow(encode, f"doc_id {kind}, n_bytes long, media binary")
+    return narrow.mapInArrow(lean(encode), f"doc_id {kind}, n_bytes long, media binary")
 
 
 def media_features(media: DataFrame) -> DataFrame:
@@ -200,7 +198,7 @@ def media_features(media: DataFrame) -> DataFrame:
             )
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(
-        decode, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, hash binary, feature string"
+        lean(decode), f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, hash binary, feature string"
     )
 
 

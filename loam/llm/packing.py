@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import materialise
+from loam.llm.common import lean, materialise
 
 WINDOW = 1024
 TOKENIZER = "byte_bpe_50k.json"
@@ -31,7 +31,7 @@ END_ID = 0
 #: Tails packed together in a task; bounds its memory at BLOCK * WINDOW * 4 bytes.
 BLOCK = 8192
 #: Distinct pieces of text whose ids a worker remembers.
-CACHE = 500_000
+CACHE = 400_000
 
 
 class Encoder:
@@ -91,25 +91,23 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, id_
 
         enc = encoder(tokenizer_path)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            for a in range(0, batch.num_rows, 256):
-                part = [t or "" for t in texts.slice(a, 256).to_pylist()]
-                row, start, length, total, blob = [], [], [], [], []
-                for i, tokens in enumerate(enc.encode(part)):
-                    raw, n = tokens + END_ID.to_bytes(4, "little"), len(tokens) // 4 + 1
-                    for s in range(0, n, window):
-                        row.append(a + i)
-                        start.append(s)
-                        length.append(min(window, n - s))
-                        total.append(n)
-                        blob.append(raw[4 * s : 4 * (s + window)])
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(total, pa.int64()), pa.array(blob, pa.binary())],
-                    names=["doc_id", "start", "length", "doc_tokens", "ids"],
-                )
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            row, start, length, total, blob = [], [], [], [], []
+            for i, tokens in enumerate(enc.encode(texts)):
+                raw, n = tokens + END_ID.to_bytes(4, "little"), len(tokens) // 4 + 1
+                for s in range(0, n, window):
+                    row.append(i)
+                    start.append(s)
+                    length.append(min(window, n - s))
+                    total.append(n)
+                    blob.append(raw[4 * s : 4 * (s + window)])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(total, pa.int64()), pa.array(blob, pa.binary())],
+                names=["doc_id", "start", "length", "doc_tokens", "ids"],
+            )
 
     narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return narrow.mapInArrow(cut, f"doc_id {id_type}, start long, length long, doc_tokens long, ids binary")
+    return narrow.mapInArrow(lean(cut), f"doc_id {id_type}, start long, length long, doc_tokens long, ids binary")
 
 
 def combinations(window: int) -> np.ndarray:
@@ -262,7 +260,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, id_col: str
             yield from packed(held)
 
     kind = pieces.schema["doc_id"].dataType.simpleString()
-    return pieces.mapInArrow(place, f"doc_id {kind}, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long")
+    return pieces.mapInArrow(lean(place, 2048), f"doc_id {kind}, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long")
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import doc_fold, small
+from loam.llm.common import doc_fold, lean, small
 
 MOST = 20_000
 TREES, DEPTH, BINS, RATE = 120, 4, 64, 0.15
@@ -138,7 +138,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST, id_col: str = "d
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], names=["id", "y", "x"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    got = rows.select("id", "y", "text").mapInArrow(run, f"id {kinds['id']}, y {kinds['y']}, x binary").toPandas().sort_values(["id", "x"], kind="stable")
+    got = rows.select("id", "y", "text").mapInArrow(lean(run), f"id {kinds['id']}, y {kinds['y']}, x binary").toPandas().sort_values(["id", "x"], kind="stable")
     x = np.stack([np.frombuffer(b, np.float32) for b in got["x"]]).astype(float) if len(got) else np.zeros((0, len(NAMES)))
     return grow(x, got["y"].to_numpy().astype(float))
 
@@ -151,12 +151,10 @@ def assess(docs: DataFrame, model: Forest, keep: list[str], text_col: str = "tex
         import pyarrow as pa
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                x = np.stack([statistics(t) for t in part.column(len(keep)).to_pylist()]).astype(float)
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(model.score(x))], names=[*keep, "score"])
+            x = np.stack([statistics(t) for t in batch.column(len(keep)).to_pylist()]).astype(float)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(model.score(x))], names=[*keep, "score"])
 
-    return docs.select(*keep, F.col(f"`{text_col}`").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(f"`{text_col}`").alias("_text")).mapInArrow(lean(run), schema)
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:
