@@ -38,7 +38,8 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back with the same schema."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
-    df.write.parquet(path)
+    # Row groups small enough that a writing task buffers little and a reading task can split the file.
+    df.write.option("parquet.block.size", 32 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

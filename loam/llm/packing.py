@@ -31,7 +31,7 @@ END_ID = 0
 #: Tails packed together in a task; bounds its memory at BLOCK * WINDOW * 4 bytes.
 BLOCK = 8192
 #: Distinct pieces of text whose ids a worker remembers.
-CACHE = 400_000
+CACHE = 300_000
 
 
 class Encoder:
@@ -53,24 +53,36 @@ class Encoder:
         self.pieces = re.compile(rf" ?[{word}]+| ?[{number}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s{word}{number}]+|\s+(?!\S)|\s+").findall
         self.odd = re.compile(r"[^\x09\x0A\x0D\x20-\x7E¡-¬®-ſ‐-―‘-‟]").search
         self.known: dict[str, bytes] = {}
+        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
+
+    def _encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """Words are encoded together as lines of one text, of which the line breaks are tokens; others one by one."""
+        words, found = [p for p in pieces if p.isalpha() or (p[0] == " " and p[1:].isalpha())], {}
+        if words and len(self.newline) == 1:
+            ids = np.array(self.tokenizer.encode("\n".join(words), add_special_tokens=False).ids, np.uint32)
+            ends = [*np.flatnonzero(ids == self.newline[0]).tolist(), len(ids)]
+            if len(ends) == len(words):
+                raw, starts = ids.tobytes(), [0, *(e + 1 for e in ends[:-1])]
+                found = {w: raw[4 * a : 4 * b] for w, a, b in zip(words, starts, ends)}
+        rest = [p for p in pieces if p not in found]
+        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            found[p] = array("I", e.ids).tobytes()
+        return found
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids as 32-bit numbers (little-endian, as are all machines Spark runs on today)."""
         known = self.known
-        for text in texts:
-            if self.odd(text):
-                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-                continue
-            pieces = self.pieces(text)
-            try:
+        split = [None if self.odd(t) else self.pieces(t) for t in texts]
+        found = self._encode_pieces(list(set().union(*(p for p in split if p is not None)).difference(known)))
+        known.update(found)
+        for text, pieces in zip(texts, split):
+            if pieces is None:
+                yield array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            else:
                 yield b"".join(map(known.__getitem__, pieces))
-            except KeyError:
-                new = list({p for p in pieces if p not in known})
-                ids = (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))
-                found = dict(zip(new, ids))
-                if len(known) < CACHE:
-                    known.update(found)
-                yield b"".join([known[p] if p in known else found[p] for p in pieces])
+        if len(known) > CACHE:
+            for p in found:
+                del known[p]
 
 
 _encoders: dict[str, Encoder] = {}
