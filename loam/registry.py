@@ -150,11 +150,11 @@ def cite_containment(spark, d):
     return cited(spark, d)
 
 
-@query("cite_fidelity", f"WITH {CITED}, f AS (SELECT item_id, min(doc_id) AS first_doc FROM c GROUP BY item_id) SELECT item_id % 10 AS answer, count(*) AS total, count(first_doc) AS literal, round(count(first_doc) / count(*), 9) AS fidelity, min(first_doc) AS first_doc FROM benchmark LEFT JOIN f USING (item_id) GROUP BY 1")
+@query("cite_fidelity", f"WITH {CITED}, f AS (SELECT item_id, min(doc_id) AS first_doc FROM c GROUP BY item_id) SELECT item_id % 10 AS answer, count(*) AS total, count(first_doc) AS literal, round(count(first_doc) / count(*), 9) AS fidelity, coalesce(min(first_doc), -1) AS first_doc FROM benchmark LEFT JOIN f USING (item_id) GROUP BY 1")
 def cite_fidelity(spark, d):
     first = cited(spark, d).groupBy("item_id").agg(F.min("doc_id").alias("first_doc"))
     rows = T(spark, d, "benchmark").select("item_id").join(first, "item_id", "left")
-    return rows.groupBy((F.col("item_id") % 10).alias("answer")).agg(F.count("*").alias("total"), F.count("first_doc").alias("literal"), F.round(F.count("first_doc") / F.count("*"), 9).alias("fidelity"), F.min("first_doc").alias("first_doc"))
+    return rows.groupBy((F.col("item_id") % 10).alias("answer")).agg(F.count("*").alias("total"), F.count("first_doc").alias("literal"), F.round(F.count("first_doc") / F.count("*"), 9).alias("fidelity"), F.coalesce(F.min("first_doc"), F.lit(-1)).alias("first_doc"))
 
 
 @query("contamination_guard", "SELECT page_id, url FROM pages WHERE regexp_matches(url, '(?i)example\\.(com|org)') AND NOT regexp_matches(url, '(?i)(page=|#top)')")
@@ -448,9 +448,9 @@ def parse_mcq(spark, d):
     return structure.parse_mcq(values(spark, [("e", text)], "exam string, text string"))
 
 
-@query("roman", literal([("II", 2, 2), ("XLIX", 49, 49), ("11", None, 2), ("111", None, 3), ("IIA", None, 2)], ["numeral", "strict", "lenient"], {"strict": "INT", "lenient": "INT"}))
+@query("roman", literal([("II", 2, 2), ("XLIX", 49, 49), ("11", -1, 2), ("111", -1, 3), ("IIA", -1, 2)], ["numeral", "strict", "lenient"], {"strict": "INT", "lenient": "INT"}))
 def roman(spark, d):
-    return values(spark, [(x,) for x in ("II", "XLIX", "11", "111", "IIA")], "numeral string").select("numeral", tx.roman(F.col("numeral")).alias("strict"), tx.roman(F.col("numeral"), True).alias("lenient"))
+    return values(spark, [(x,) for x in ("II", "XLIX", "11", "111", "IIA")], "numeral string").select("numeral", F.coalesce(tx.roman(F.col("numeral")), F.lit(-1)).alias("strict"), tx.roman(F.col("numeral"), True).alias("lenient"))
 
 
 @query("fix_text", literal([(1, "isoflurano"), (2, "ISOFLURANO"), (3, "desflurano"), (4, "insuficiencia"), (5, "Intubação"), (6, "atlas"), (7, "recuperação")], ["id", "fixed"], {"id": "INT"}))
