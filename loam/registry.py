@@ -481,3 +481,6 @@ def run_variant(name):
 
 for _name in ("v0", "v1", "v10", "v13"):
     query(f"flow_{_name}")(run_variant(_name))
+
+
+from loam import corpus_queries  # noqa: E402, F401  its queries register themselves
