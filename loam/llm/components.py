@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import materialise
+from loam.llm.common import materialise, small
 
 
+# The least neighbours are written before they are joined back: then the join is a broadcast while they are few, and
+# else one of two plain exchanges, whose large partitions (a node with very many links) Spark can split.
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
-    joined = both.join(least, "u").withColumn("m", F.least("m", "u"))
+    least = materialise(both.groupBy("u").agg(F.min("v").alias("m")), "least")
+    joined = both.join(small(least), "u").withColumn("m", F.least("m", "u"))
     return joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    joined = edges.join(least, "u")
+    least = materialise(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
+    joined = edges.join(small(least), "u")
     down = joined.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return down.union(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -36,7 +38,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialise(edges, "edges")
     mark = _mark(edges)
     while mark[0]:
-        edges = materialise(_small_star(_large_star(edges)), "edges")
+        edges = materialise(_small_star(materialise(_large_star(edges), "large")), "edges")
         mark, before = _mark(edges), mark
         if tuple(mark) == tuple(before):
             break
