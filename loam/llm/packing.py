@@ -31,7 +31,7 @@ END_ID = 0
 #: Tails packed together in a task; bounds its memory at BLOCK * WINDOW * 4 bytes.
 BLOCK = 8192
 #: Distinct pieces of text whose ids a worker remembers.
-CACHE = 500_000
+CACHE = 700_000
 
 
 class Encoder:
