@@ -258,6 +258,17 @@ def test_filter_never_loses_a_level():
     assert (f.levels(h) == level).mean() > 0.95
 
 
+def test_followers_of_a_word_share_at_most_all_odds():
+    c = np.arange(1, 5000)
+    level = lm.level_of(c)
+    assert (lm.count_of(level) <= c).all() and (c <= lm.most_of(level)).all()
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        pairs = rng.integers(1, 60, rng.integers(1, 50))
+        total = lm.most_of(lm.level_of(np.array([pairs.sum()])))[0]
+        assert lm.count_of(lm.level_of(pairs)).sum() <= total
+
+
 def test_lm_beats_its_base_on_held_out_texts(spark):
     rows = lm.op6_lm(spark, "/root/testdata/sf0.01").filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert rows[0] > rows[1]
