@@ -60,14 +60,6 @@ def clean_page(spark, d):
     return T(spark, d, "documents").select("doc_id", F.sha1(F.trim(collapsed)).alias("cleaned"))
 
 
-@query("cognates", "SELECT doc_id, len(list_distinct(list_transform(list_filter(string_split(" + folded("text") + ", ' '), lambda w: length(w) >= 6), lambda w: substr(replace(replace(replace(w, 'ph', 'f'), 'th', 't'), 'y', 'i'), 1, 5)))) AS n_stems FROM documents")
-def cognates(spark, d):
-    words = F.filter(F.split(tx.fold(c("text")), " "), lambda w: F.length(w) >= 6)
-    rep = lambda w, a, b: F.replace(w, F.lit(a), F.lit(b))
-    stems = F.transform(words, lambda w: F.substring(rep(rep(rep(w, "ph", "f"), "th", "t"), "y", "i"), 1, 5))
-    return T(spark, d, "documents").select("doc_id", F.size(F.array_distinct(stems)).cast("long").alias("n_stems"))
-
-
 # Catalogue and levels: a language is a book, a source a chapter.
 @query("chapters", "SELECT lang, source, min(doc_id) AS first_page, max(doc_id) AS last_page, count(*) AS n_chunks FROM documents GROUP BY 1, 2")
 def chapters(spark, d):

@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Latin letters with marks and what they fold to.
-ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuucnyy"
+
+def _folds() -> tuple[str, str]:
+    """Latin letters and digits with marks, and what is left of them without; then the marks themselves, which have no counterpart and go."""
+    found = {}
+    for point in (*range(0xA0, 0x250), *range(0x1E00, 0x1F00)):
+        letter = chr(point).lower()
+        bare = "".join(c for c in unicodedata.normalize("NFKD", letter) if not unicodedata.combining(c)).lower()
+        if len(letter) == 1 and len(bare) == 1 and bare.isascii() and bare.isalnum():
+            found[letter] = bare
+    return "".join(found) + "".join(map(chr, range(0x300, 0x370))), "".join(found.values())
+
+
+ACCENTED, PLAIN = _folds()
 # Stop-words of the formulary search.
-STOP_WORDS = ["que", "com", "para", "por", "uma", "dos", "das", "nos", "nas", "qual", "como", "sobre"]
+STOP_WORDS = "de da do a o e em para com qual como que no na um uma por se the of".split()
 
 
 def tokens(text: Column) -> Column:
@@ -38,14 +50,16 @@ def keep_case(model: Column, text: Column) -> Column:
 
 def fix_ligature(text: Column) -> Column:
     """Misread fl and fi ligatures, and l for I before n, s or m at a word's start; one rule for each case form."""
-    rules = [("tlu|f[tf]u", "flu"), ("Tlu|F[tf]u", "Flu"), ("TLU|F[TF]U", "FLU"), ("ftc", "fic"), ("Ftc", "Fic"), ("FTC", "FIC"), (r"(?<![\p{L}])l(?=[nsm])", "I")]
+    rules = [("tlu|f[tf]u", "flu"), ("Tlu|F[tf]u", "Flu"), ("TLU|F[TF]U", "FLU"), ("ftc", "fic"), ("Ftc", "Fic"), ("FTC", "FIC"), (r"(?<![\p{L}\p{N}_])l(?=[nsm][a-zà-ÿ])", "I")]
     for pattern, new in rules:
         text = F.regexp_replace(text, pattern, new)
     return text
 
 
 def join_hyphen(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"([\p{L}\p{N}])-\n([\p{L}\p{N}])", "$1$2"), r"([\p{L}\p{N}])- ([\p{L}\p{N}])", "$1$2")
+    """Words broken by a hyphen at a line's end, or by one with a space after it only."""
+    word = r"([\p{L}\p{N}_])"
+    return F.regexp_replace(F.regexp_replace(text, rf"{word}[-\u00ad]\s*\n\s*{word}", "$1$2"), f"{word}- {word}", "$1$2")
 
 
 def drop_lines(text: Column, pattern: str) -> Column:
@@ -58,11 +72,6 @@ def clean_page(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(drop_lines(text, r"^\s*\d+\s*$"), "[ \t]+", " "), "\n{3,}", "\n\n"))
 
 
-def normalise(text: Column, ocr: bool = True) -> Column:
-    """Letters before joins of words, then the page's lines."""
-    return clean_page(join_hyphen(fix_ligature(text) if ocr else text))
-
-
 def roman(text: Column, lenient: bool = False) -> Column:
     """Roman numeral to int; strict: null on another letter; lenient: runs of 1 count as I, others as 0."""
     raw = F.upper(F.trim(text))

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loam.operators.search import bm25_topk, interleave, ranked_top
+from loam.functions import rules
+from loam.functions.text import focus_query, tokens
+from loam.operators.search import bm25_topk, formula_search, ranked_top
 
 # The stage names, in their canonical order.
-STAGES = ["reformulate", "route", "focus", "search", "quota", "rerank", "expand_parent", "child_context", "interleave", "gate", "critique", "respond"]
+STAGES = ["reformulate", "route", "focus", "search", "quota", "navigate", "rerank", "expand_parent", "child_context", "interleave", "formula", "gate", "critique", "respond"]
 SEARCHES, CONTEXTS = {"search", "quota"}, {"expand_parent", "child_context", "interleave"}
 VARIANTS = {
     "v0": ["respond"],
@@ -22,12 +26,14 @@ VARIANTS = {
     "v6": ["search", "child_context", "gate", "respond"],
     "v7": ["reformulate", "search", "child_context", "gate", "respond"],
     "v8": ["route", "search", "child_context", "respond"],
-    "v9": ["route", "search", "child_context", "respond"],
+    "v9": ["route", "search", "child_context", "formula", "respond"],
     "v10": ["route", "quota", "interleave", "respond"],
     "v11": ["route", "quota", "rerank", "interleave", "respond"],
     "v12": ["route", "quota", "expand_parent", "respond"],
     "v13": ["route", "focus", "quota", "interleave", "respond"],
+    "v14": ["navigate", "respond"],
     "v15": ["reformulate", "quota", "interleave", "respond"],
+    "v16": ["navigate", "respond"],
 }
 
 
@@ -45,42 +51,228 @@ def canonical(sketch: list[str]) -> list[str]:
     return found if SEARCHES & set(found) else [s for s in found if s in ("reformulate", "respond")]
 
 
+def accept_prompt(old: str, new: str) -> str:
+    """A proposed prompt replaces the old one only if its length is sensible."""
+    return new if 80 < len(new) < 2500 else old
+
+
+def best_sketch(history: DataFrame) -> DataFrame:
+    """Of (step, sketch, score): the best score's first step, since only a better one replaces it."""
+    return history.orderBy(F.desc("score"), "step").limit(1)
+
+
+def diagram(sketch: list[str]) -> str:
+    """Mermaid text of a sketch."""
+    nodes = ["__start__", *repair(sketch), "__end__"]
+    return "\n".join(["graph TD;", *[f"\t{a} --> {b};" for a, b in zip(nodes, nodes[1:])]])
+
+
+def answer_fields(mode: str, anchoring: str) -> list[str]:
+    """Names of an answer's fields, in the order a model must fill them: what should weigh on the verdict stands before it."""
+    first = {"estrita": [], "falsificacao": ["erro_apontado"]}.get(anchoring, ["ressalva"])
+    return [*first, "letra" if mode == "mcq" else "resposta", "citacoes"]
+
+
 def stub_client(prompt: str) -> str:
     """A deterministic stand-in for a model: V or F by the prompt's length."""
     return "V" if len(prompt) % 2 else "F"
 
 
-def run_flow(questions: DataFrame, docs: DataFrame, sketch: list[str], k: int = 8, client: Callable[[str], str] = stub_client) -> DataFrame:
-    """questions (qid, text), docs (id, text, source) -> qid, answer, n_context, trace.
+def overlap(query, text):
+    """A deterministic stand-in for a reranker: the share of the query's distinct words that the text holds."""
+    q = F.array_distinct(tokens(query))
+    return F.round(F.size(F.array_intersect(q, tokens(text))) / F.greatest(F.size(q), F.lit(1)), 6)
+
+
+def covers(least: float) -> Callable:
+    """A stand-in for a judge: whether the context holds at least this share of the question's words."""
+    return lambda question, context: overlap(question, context) >= least
+
+
+@dataclass
+class Options:
+    """What a flow may be given instead of the stand-ins."""
+
+    k: int = 8
+    k_search: int = 20
+    rounds: int = 4
+    client: Callable[[str], str] = stub_client
+    searcher: Callable = bm25_topk
+    scorer: Callable = overlap
+    on_topic: Callable = field(default_factory=lambda: covers(0.01))
+    suffices: Callable = field(default_factory=lambda: covers(0.5))
+    formulas: DataFrame | None = None
+
+
+@dataclass
+class State:
+    """asked: qid, text, query, topic. ranked: qid, id, source, rank, score. context: qid, slot, id, text, source. support: qid, support."""
+
+    asked: DataFrame
+    docs: DataFrame
+    ranked: DataFrame | None = None
+    context: DataFrame | None = None
+    support: DataFrame | None = None
+    trace: tuple = ()
+
+
+def _queries(s: State) -> DataFrame:
+    return s.asked.select("qid", F.col("query").alias("text"))
+
+
+def _is_normative():
+    return F.coalesce(F.col("topic"), F.lit("")).isin(rules.NORMATIVE)
+
+
+def _of(s: State, source: str) -> DataFrame:
+    return s.docs.filter(F.col("source") == source)
+
+
+def _reformulate(s: State, o: Options) -> State:
+    short = F.substring(F.trim(F.regexp_replace("query", r"\s+", " ")), 1, 400)
+    return replace(s, asked=s.asked.withColumn("query", F.when(short != "", short).otherwise(F.col("text"))))
+
+
+def _route(s: State, o: Options) -> State:
+    return replace(s, asked=s.asked.withColumn("topic", F.coalesce(rules.topic_by_rule(F.col("text"), F.lit("")), F.lit(rules.TOPICS[-1]))))
+
+
+def _focus(s: State, o: Options) -> State:
+    return replace(s, asked=s.asked.withColumn("query", F.when(F.contains("text", F.lit("\n\nAssertiva:")), focus_query(F.col("text"))).otherwise(F.col("query"))))
+
+
+def _search(s: State, o: Options) -> State:
+    if "route" not in s.trace:
+        return replace(s, ranked=o.searcher(s.docs, _queries(s), o.k_search).withColumn("source", F.lit("all")))
+    sides = [("norms", _is_normative()), ("book", ~_is_normative())]
+    found = [o.searcher(_of(s, name), _queries(replace(s, asked=s.asked.filter(to))), o.k_search).withColumn("source", F.lit(name)) for name, to in sides]
+    return replace(s, ranked=found[0].unionByName(found[1]))
+
+
+def _quota(s: State, o: Options) -> State:
+    """Normative questions get half of the places from each source, others all from the book."""
+    half = max(1, o.k_search // 2)
+    norms = o.searcher(_of(s, "norms"), _queries(replace(s, asked=s.asked.filter(_is_normative()))), half)
+    book = o.searcher(_of(s, "book"), _queries(s), o.k_search).join(s.asked.select("qid", _is_normative().alias("n")), "qid").filter(~F.col("n") | (F.col("rank") <= half)).drop("n")
+    return replace(s, ranked=norms.withColumn("source", F.lit("norms")).unionByName(book.withColumn("source", F.lit("book"))))
+
+
+def _rerank(s: State, o: Options) -> State:
+    """The k best by the scorer; sources are kept, ranks run over all of a question's candidates."""
+    pairs = s.ranked.select("qid", "id", "source").join(s.docs.select("id", "text"), "id").join(_queries(s).withColumnRenamed("text", "query"), "qid")
+    scored = pairs.select("qid", "id", "source", o.scorer(F.col("query"), F.col("text")).alias("score"))
+    return replace(s, ranked=ranked_top(scored, o.k))
+
+
+def _with_texts(s: State, picked: DataFrame) -> State:
+    """picked: qid, slot, id, source."""
+    return replace(s, context=picked.join(s.docs.select("id", "text"), "id").select("qid", "slot", "id", "text", "source"))
+
+
+def _turns(ranked: DataFrame, k: int) -> DataFrame:
+    """Norms and book in turn, norms first; the first k."""
+    turn = F.row_number().over(Window.partitionBy("qid", "source").orderBy("rank", "id"))
+    slot = F.row_number().over(Window.partitionBy("qid").orderBy("turn", F.desc("source"), "id")).cast("long")
+    return ranked.withColumn("turn", turn).withColumn("slot", slot).filter(F.col("slot") <= k)
+
+
+def _child_context(s: State, o: Options) -> State:
+    return _with_texts(s, s.ranked.filter(F.col("rank") <= o.k).select("qid", F.col("rank").alias("slot"), "id", "source"))
+
+
+def _expand_parent(s: State, o: Options) -> State:
+    """Each candidate's parent, once, where its best child stood; a document without a parent is its own."""
+    chosen = _turns(s.ranked, o.k) if "quota" in s.trace else s.ranked.filter(F.col("rank") <= o.k).withColumn("slot", F.col("rank"))
+    if "parent" not in s.docs.columns:
+        return _with_texts(s, chosen.select("qid", "slot", "id", "source"))
+    owner = s.docs.select("id", F.coalesce("parent", "id").alias("owner"))
+    return _with_texts(s, chosen.join(owner, "id").groupBy("qid", F.col("owner").alias("id")).agg(F.min("slot").alias("slot"), F.min_by("source", "slot").alias("source")).select("qid", "slot", "id", "source"))
+
+
+def _interleave(s: State, o: Options) -> State:
+    return _with_texts(s, _turns(s.ranked, o.k).select("qid", "slot", "id", "source"))
+
+
+def _joined(s: State) -> DataFrame:
+    """(qid, context, n_context): a question's texts, in order, as one."""
+    rows = F.array_sort(F.collect_list(F.struct("slot", "id", "text")))
+    return s.context.groupBy("qid").agg(F.array_join(F.transform(rows, lambda x: x["text"]), "\n").alias("context"), F.count("*").alias("n_context"))
+
+
+def _judged(s: State, judge: Callable) -> DataFrame:
+    """qid and whether the judge, given question and context, says yes; nothing is no."""
+    both = s.asked.select("qid", "text").join(_joined(s), "qid", "left")
+    return both.select("qid", F.coalesce(F.col("context").isNotNull() & judge(F.col("text"), F.col("context")), F.lit(False)).alias("yes"))
+
+
+def _gate(s: State, o: Options) -> State:
+    """A context off the question's topic is dropped whole."""
+    return replace(s, context=s.context.join(_judged(s, o.on_topic).filter("yes").select("qid"), "qid", "left_semi"))
+
+
+def _critique(s: State, o: Options) -> State:
+    """Questions whose context doesn't suffice are searched once more, with the question as it was put and twice the depth."""
+    verdict = _judged(s, o.suffices)
+    enough, short = (verdict.filter(x).select("qid") for x in ("yes", "not yes"))
+    again = replace(s, asked=s.asked.join(short, "qid", "left_semi").withColumn("query", F.col("text")), ranked=None, context=None)
+    again = _expand_parent(_rerank(_search(again, replace(o, k_search=2 * o.k_search)), o), o)
+    return replace(s, context=s.context.join(enough, "qid", "left_semi").unionByName(again.context))
+
+
+def _navigate(s: State, o: Options) -> State:
+    """A bounded walk over the library, for all questions at once: the first round searches; each further one reads on, for the
+    questions still short of a sufficient context, in the source of their best hit. What was read before isn't read again."""
+    each, most = max(1, o.k // 2), max(o.k, 8)
+    deep = o.searcher(s.docs.select("id", "text"), _queries(s), each * o.rounds).join(s.docs.select("id", "source"), "id")
+    home = deep.filter("rank = 1").select("qid", F.col("source").alias("home"))
+    first = deep.filter(F.col("rank") <= each)
+    walk = replace(s, ranked=first)
+    walk = _with_texts(walk, first.select("qid", F.col("rank").alias("slot"), "id", "source"))
+    short = _judged(walk, o.suffices).filter("not yes").select("qid")
+    further = deep.filter(F.col("rank") > each).join(short, "qid", "left_semi").join(home, "qid").filter("source = home")
+    picked = first.select("qid", "rank", "id", "source").unionByName(further.select("qid", "rank", "id", "source"))
+    slot = F.row_number().over(Window.partitionBy("qid").orderBy("rank")).cast("long")
+    return _with_texts(s, picked.withColumn("slot", slot).filter(F.col("slot") <= most).select("qid", "slot", "id", "source"))
+
+
+def _formula(s: State, o: Options) -> State:
+    """The two best entries of the formulary, as support that isn't quoted."""
+    if o.formulas is None:
+        return s
+    best = formula_search(o.formulas, s.asked.select("qid", "text"), 2).join(o.formulas.select("id", F.concat_ws(": ", "name", "expression").alias("entry")), "id")
+    return replace(s, support=best.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "entry"))), lambda x: x["entry"]), "\n\n").alias("support")))
+
+
+RUN = {
+    "reformulate": _reformulate, "route": _route, "focus": _focus, "search": _search, "quota": _quota, "navigate": _navigate, "rerank": _rerank,
+    "expand_parent": _expand_parent, "child_context": _child_context, "interleave": _interleave, "formula": _formula, "gate": _gate, "critique": _critique,
+}
+
+
+def _step(options: Options):
+    def step(s: State, stage: str) -> State:
+        return replace(RUN[stage](s, options), trace=(*s.trace, stage))
+
+    return step
+
+
+def run_flow(questions: DataFrame, docs: DataFrame, sketch: list[str], options: Options | None = None) -> DataFrame:
+    """questions (qid, text), docs (id, text, source: book or norms[, parent]) -> qid, n_context, answer, trace.
 
-    Searches are batches over all questions; only respond calls the client, in mapInPandas.
+    Every stage is one plan over all questions; only the answers call the client, in mapInPandas.
     """
-    trace, asked, ranked = [], questions, None
-    for stage in repair(sketch):
-        trace.append(stage)
-        if stage == "reformulate":
-            asked = asked.withColumn("text", F.substring(F.trim(F.regexp_replace("text", r"\s+", " ")), 1, 400))
-        elif stage == "focus":
-            asked = asked.withColumn("text", F.trim(F.substring_index("text", "\n\nAssertiva:", -1)))
-        elif stage == "search":
-            ranked = bm25_topk(docs, asked, k).withColumn("source", F.lit("all"))
-        elif stage == "quota":
-            halves = [bm25_topk(docs.filter(F.col("source") == s), asked, max(1, k // 2)).withColumn("source", F.lit(s)) for s in ("book", "norms")]
-            ranked = halves[0].unionByName(halves[1])
-        elif stage in CONTEXTS and ranked is not None:
-            ranked = interleave(ranked, k)
-        elif stage == "rerank" and ranked is not None:
-            ranked = ranked_top(ranked.drop("rank"), k)
-    if ranked is None:
-        context = questions.select("qid", F.lit("").alias("context"), F.lit(0).cast("long").alias("n_context"))
-    else:
-        texts = ranked.join(docs.select("id", "text"), "id")
-        context = texts.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id", "text"))), lambda x: x["text"]), "\n").alias("context"), F.count("*").alias("n_context"))
-    prompts = questions.select("qid", "text").join(context, "qid", "left").select("qid", F.concat_ws("\n\n", "context", "text").alias("prompt"), F.coalesce("n_context", F.lit(0)).cast("long").alias("n_context"))
+    options, stages = options or Options(), repair(sketch)
+    start = State(questions.select("qid", "text", F.col("text").alias("query"), F.lit(None).cast("string").alias("topic")), docs)
+    end = reduce(_step(options), stages[:-1], start)
+    prompts = questions.select("qid", "text")
+    prompts = prompts.join(_joined(end), "qid", "left") if end.context is not None else prompts.withColumn("context", F.lit(None).cast("string")).withColumn("n_context", F.lit(0))
+    prompts = prompts.join(end.support, "qid", "left") if end.support is not None else prompts.withColumn("support", F.lit(None).cast("string"))
+    prompts = prompts.select("qid", F.concat_ws("\n\n", "context", "support", "text").alias("prompt"), F.coalesce("n_context", F.lit(0)).cast("long").alias("n_context"))
+    client = options.client
 
     def respond(batches):
         for pdf in batches:
             yield pdf.assign(answer=[client(p)[:1].upper() for p in pdf["prompt"]])[["qid", "n_context", "answer"]]
 
     kind = questions.schema["qid"].dataType.simpleString()
-    return prompts.mapInPandas(respond, f"qid {kind}, n_context long, answer string").withColumn("trace", F.lit(">".join(trace)))
+    return prompts.mapInPandas(respond, f"qid {kind}, n_context long, answer string").withColumn("trace", F.lit(">".join(stages)))

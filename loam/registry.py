@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from loam.functions import rules
 from loam.functions import text as tx
 from loam.operators import search, stats, structure
 from loam.plans import flow
@@ -456,7 +457,7 @@ def roman(spark, d):
 @query("fix_text", literal([(1, "isoflurano"), (2, "ISOFLURANO"), (3, "desflurano"), (4, "insuficiencia"), (5, "Intubação"), (6, "atlas"), (7, "recuperação")], ["id", "fixed"], {"id": "INT"}))
 def fix_text(spark, d):
     rows = list(enumerate(["isotlurano", "ISOTLURANO", "desfturano", "insuftciencia", "lntubação", "atlas", "recu-\nperação"], 1))
-    return values(spark, rows, "id int, text string").select("id", tx.normalise(F.col("text")).alias("fixed"))
+    return values(spark, rows, "id int, text string").select("id", rules.normalise(F.col("text")).alias("fixed"))
 
 
 @query("formula_search", literal([(1, 1, 1, 6), (2, 3, 1, 1)], ["qid", "id", "rank", "score"], {"qid": "BIGINT", "id": "BIGINT", "rank": "BIGINT", "score": "BIGINT"}))
@@ -471,16 +472,4 @@ def sketch_repair(spark, d):
     return values(spark, [(i, ">".join(flow.repair(s))) for i, s in enumerate(sketches, 1)], "id int, sketch string")
 
 
-def run_variant(name):
-    def run(spark, d):
-        docs = T(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.when(F.col("lang") == "en", "book").otherwise("norms").alias("source"))
-        return flow.run_flow(searches(spark), docs, flow.VARIANTS[name])
-
-    return run
-
-
-for _name in ("v0", "v1", "v10", "v13"):
-    query(f"flow_{_name}")(run_variant(_name))
-
-
-from loam import corpus_queries  # noqa: E402, F401  its queries register themselves
+from loam import corpus_queries, flow_queries, rule_queries  # noqa: E402, F401  their queries register themselves
