@@ -105,12 +105,16 @@ def formula_search(formulas: DataFrame, queries: DataFrame, n: int = 3) -> DataF
 def citations(quotes: DataFrame, docs: DataFrame, least_words: int = 6) -> DataFrame:
     """(quote_id, id): folded quotes of at least ``least_words`` words found, word by word, in folded documents.
 
-    No pair of every quote with every document: both meet on the quote's first words, of which each document offers
-    every run; the rest is verified on the full texts.
+    No pair of every quote with every document: both meet on a hash of the quote's first words, of which each document
+    offers every run; the whole quote is then verified on the full texts.
     """
+    run = lambda words, i: F.xxhash64(F.slice(words, i, least_words))
     q = quotes.select("quote_id", fold(F.col("quote")).alias("q")).withColumn("w", F.split("q", " ")).filter(F.size("w") >= least_words)
-    q = q.select("quote_id", "q", F.array_join(F.slice("w", 1, least_words), " ").alias("start"))
-    d = docs.select("id", fold(F.col("text")).alias("t")).withColumn("w", F.split("t", " ")).filter(F.size("w") >= least_words)
-    runs = F.transform(F.sequence(F.lit(1), F.size("w") - (least_words - 1)), lambda i: F.array_join(F.slice("w", i, least_words), " "))
-    starts = d.select("id", F.explode(F.array_distinct(runs)).alias("start")).join(q.select("quote_id", "q", "start"), "start")
-    return starts.join(d.select("id", "t"), "id").filter(F.contains(F.concat(F.lit(" "), "t", F.lit(" ")), F.concat(F.lit(" "), "q", F.lit(" ")))).select("quote_id", "id")
+    q = q.select("quote_id", "q", run(F.col("w"), F.lit(1)).alias("start"))
+    d = docs.select("id", F.split(fold(F.col("text")), " ").alias("w")).filter(F.size("w") >= least_words)
+    starts = d.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - (least_words - 1)), lambda i: run(F.col("w"), i))).alias("start"))
+    met = starts.join(q.select("quote_id", "start"), "start").select("quote_id", "id").distinct()
+    # Only texts that meet a quote are folded again.
+    both = met.join(q.select("quote_id", "q"), "quote_id").join(docs.select("id", "text"), "id")
+    found = F.contains(F.concat(F.lit(" "), fold(F.col("text")), F.lit(" ")), F.concat(F.lit(" "), "q", F.lit(" ")))
+    return both.filter(found).select("quote_id", "id")
