@@ -78,3 +78,16 @@ def test_incremental_index_keeps_each_chunk_once(spark, tmp_path):
         rows.write.mode("append").parquet(source)
         index_stream(spark.readStream.schema(schema).parquet(source), index, str(tmp_path / "check")).awaitTermination()
     assert spark.read.parquet(index).count() == 2
+
+
+def test_flow_stages_take_effect(spark):
+    docs = spark.createDataFrame([(1, "alpha beta", "book", 9), (2, "alpha gamma", "book", 9), (3, "estatuto alpha", "norms", None), (4, "delta", "book", None), (5, "omega", "norms", None), (7, "rho", "norms", None), (6, "sigma tau", "book", None), (9, "whole parent", "book", None)], "id long, text string, source string, parent long")
+    asked = spark.createDataFrame([(1, "alpha"), (2, "estatuto alpha"), (3, "nothing known")], "qid long, text string")
+    ran = lambda sketch, **o: {r["qid"]: r["n_context"] for r in flow.run_flow(asked, docs, sketch, flow.Options(**o)).collect()}
+    assert ran(["search", "child_context"]) == {1: 3, 2: 3, 3: 0}
+    assert ran(["search", "child_context", "gate"], on_topic=flow.covers(2.0)) == {1: 0, 2: 0, 3: 0}
+    # Two of the three hits have one parent.
+    assert ran(["search", "expand_parent"]) == {1: 2, 2: 2, 3: 0}
+    # A normative question gets norms and book, another the book only.
+    assert ran(["route", "quota", "interleave"]) == {1: 2, 2: 3, 3: 0}
+    assert ran(["reformulate", "search", "rerank", "expand_parent", "critique"], suffices=flow.covers(2.0)) == {1: 2, 2: 2, 3: 0}
