@@ -4,8 +4,9 @@ Tokens are ASCII-lower-cased words between white space and one end per document.
 tokens are summed over all training documents in a shuffle on their 64-bit hashes. A count c is quantised to the
 level 1 + floor(log c / log BASE), and the filter holds (n-gram, j) for each j up to its level; probing j = 1, 2, ...
 until one is missing gives the level back, which false positives can only raise. The filter is cut into
-segments by hash, built by one task each. Its size follows the counts up to ``MAX_BITS``; beyond that the least count
-a pair needs to be kept is raised until it fits, so that what is broadcast is bounded.
+``SEGMENTS`` segments by hash. Each is as wide as its own entries need, without a bound, and is built by the task that sums
+its n-grams; the filter is a table and never in one place. A block of documents sends its distinct n-grams to their
+segments in a shuffle and has their levels sent back.
 
 The model interpolates: P(w | v) = LAMBDA * c(v, w) / C(v) + (1 - LAMBDA) * (c(w) + 1) / (N + V + 1). Counts c are the least of
 their levels, N the sum of those of words, and C the largest count of a level, so that no word's followers have more than all of the odds.
@@ -19,6 +20,8 @@ and folded as the empty id; repeated rows are scored and counted each; extra col
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from loam.llm.common import doc_fold, forget, lean, materialise, n_parts
 
 BASE, LAMBDA, LEAST_PAIR = 1.5, 0.4, 2
-MAX_BITS, BITS_PER_ENTRY, PROBES, SEGMENTS = 1 << 28, 12, 4, 4096
+BITS_PER_ENTRY, PROBES, SEGMENTS = 12, 4, 1024
 TOP = 1 << 18
 BLOCK_TOKENS, CACHE = 1_000_000, 300_000
 END, START = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557)
@@ -89,17 +92,17 @@ class Filter:
 
     @staticmethod
     def segment(h: np.ndarray) -> np.ndarray:
-        return (h >> np.uint64(52)).astype(np.int64)
+        return (h >> np.uint64(54)).astype(np.int64)
 
     def places(self, h: np.ndarray, j) -> list[np.ndarray]:
         a = _mix(h + np.uint64(0xA0761D6478BD642F) * np.asarray(j).astype(np.uint64))
         b = (a >> np.uint64(33)) | np.uint64(1)
         return [((a + np.uint64(i) * b) & np.uint64(self.width - 1)).astype(np.int64) for i in range(PROBES)]
 
-    def levels(self, h: np.ndarray, least: int = 1, most: int = 80) -> np.ndarray:
-        """The level of each n-gram by repeated membership probes from level ``least`` on, 0 if it isn't held."""
+    def levels(self, h: np.ndarray, most: int = 80) -> np.ndarray:
+        """The level of each n-gram by repeated membership probes, 0 if it isn't held."""
         out, alive, offset = np.zeros(len(h), np.int64), np.arange(len(h)), self.segment(h) * self.width
-        j = least
+        j = 1
         while len(alive) and j <= most:
             hit = np.ones(len(alive), bool)
             for p in self.places(h[alive], j):
@@ -111,8 +114,57 @@ class Filter:
         return out
 
 
+class Segment(Filter):
+    """One segment by itself."""
+
+    @staticmethod
+    def segment(h: np.ndarray) -> np.ndarray:
+        return np.zeros(len(h), np.int64)
+
+    @classmethod
+    def of(cls, h: np.ndarray, level: np.ndarray) -> "Segment":
+        """Holds n-grams, each up to its level."""
+        width = 64
+        while width < int(level.sum()) * BITS_PER_ENTRY:
+            width *= 2
+        out, on, j = cls(width, np.zeros(0, np.uint8)), np.zeros(width, bool), 1
+        while len(h):
+            for p in out.places(h, j):
+                on[p] = True
+            j += 1
+            h, level = h[level >= j], level[level >= j]
+        out.words = np.packbits(on, bitorder="little")
+        return out
+
+
+def _build(batches):
+    """Words pass; all n-grams go into the filter's segments. A task gets whole segments."""
+    import pyarrow as pa
+
+    hashes, levels = [], []
+    for batch in batches:
+        size, h, c = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
+        hashes.append(h.to_numpy().view(np.uint64))
+        levels.append(level_of(c.to_numpy()).astype(np.uint8))
+        word = pa.array(size == 1)
+        h, c = h.filter(word), c.filter(word)
+        if len(h):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int8)), h, c, pa.nulls(len(h), pa.binary())], names=["size", "h", "c", "bits"])
+    if not hashes:
+        return
+    h, level = np.concatenate(hashes), np.concatenate(levels)
+    hashes.clear(), levels.clear()
+    order = np.argsort(h)
+    h, level = h[order], level[order]
+    names, first = np.unique(Filter.segment(h), return_index=True)
+    for name, a, b in zip(names.tolist(), first.tolist(), [*first[1:].tolist(), len(h)]):
+        bits = Segment.of(h[a:b], level[a:b].astype(np.int64)).words.tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int8()), pa.array([name], pa.int64()), pa.array([b - a], pa.int64()), pa.array([bits], pa.binary())], names=["size", "h", "c", "bits"])
+
+
 def count_ngrams(docs: DataFrame) -> DataFrame:
-    """(size, h, c): words, and pairs counted at least LEAST_PAIR times, over all training rows (id, text)."""
+    """(size, h, c, bits) over all training rows (id, text): the words (size 1) with their counts and the filter's
+    segments (size 0; h is the segment, c its n-grams), which hold words, and pairs counted at least LEAST_PAIR times."""
 
     def run(batches):
         import pyarrow as pa
@@ -139,24 +191,25 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
             yield from flush()
 
     rows = docs.select("text").mapInArrow(lean(run), "size byte, h long, c long")
-    spread = rows.repartition(n_parts(docs.sparkSession), "h")
-    summed = spread.groupBy("size", "h").agg(F.sum("c").alias("c"))
-    return materialise(summed.filter((F.col("size") == 1) | (F.col("c") >= LEAST_PAIR)), "counts")
+    spread = rows.withColumn("segment", F.shiftrightunsigned("h", 54)).repartition(n_parts(docs.sparkSession), "segment")
+    summed = spread.groupBy("segment", "size", "h").agg(F.sum("c").alias("c"))
+    summed = summed.filter((F.col("size") == 1) | (F.col("c") >= LEAST_PAIR)).select("size", "h", "c")
+    return materialise(summed.mapInArrow(lean(_build, 100_000), "size byte, h long, c long, bits binary"), "counts")
 
 
 def _level() -> F.Column:
     return (1 + F.floor(F.log(F.col("c").cast("double")) / float(np.log(BASE)) + 1e-9)).cast("int")
 
 
-def level_histogram(counts: DataFrame) -> list:
-    """Numbers of n-grams by size and level: as many rows as there are levels."""
-    return counts.groupBy("size", _level().alias("level")).agg(F.count("*").alias("n")).collect()
+def level_histogram(words: DataFrame) -> list:
+    """Numbers of words by level: as many rows as there are levels."""
+    return words.groupBy(_level().alias("level")).agg(F.count("*").alias("n")).collect()
 
 
 def frequent_level(histogram: list) -> int:
     """The least level whose words, with all above, are at most TOP."""
     held, least = 0, 1_000
-    for level, n in sorted(((r["level"], r["n"]) for r in histogram if r["size"] == 1), reverse=True):
+    for level, n in sorted(((r["level"], r["n"]) for r in histogram), reverse=True):
         held += n
         if held > TOP:
             break
@@ -164,80 +217,100 @@ def frequent_level(histogram: list) -> int:
     return least
 
 
-def build_filter(counts: DataFrame, histogram: list) -> tuple[Filter, float, int]:
-    """The filter, the sum of the words' quantised counts and the least level of a pair that it holds."""
-    level = _level()
-    first = int(level_of(np.array([LEAST_PAIR]))[0])
-    mass = float(sum(count_of(np.array([r["level"]]))[0] * r["n"] for r in histogram if r["size"] == 1))
-    singles = sum(r["level"] * r["n"] for r in histogram if r["size"] == 1)
-    pairs = {r["level"]: r["n"] for r in histogram if r["size"] == 2}
-    low = first
+def _probe(batches):
+    """(segment, block, data), by segment and block: a segment's bits first, then each block's n-grams; gives their levels."""
+    import pyarrow as pa
+
+    at, held = None, None
+    for batch in batches:
+        segments, blocks, data = (batch.column(i).to_pylist() for i in range(3))
+        i, out = 0, []
+        while i < len(segments):
+            if segments[i] != at:
+                at, held = segments[i], None
+            if blocks[i] is None:
+                held = Segment(8 * len(data[i]), np.frombuffer(data[i], np.uint8))
+                i += 1
+                continue
+            j = i
+            while j < len(segments) and segments[j] == at:
+                j += 1
+            h = np.frombuffer(b"".join(data[i:j]), np.uint64)
+            levels = (held.levels(h) if held else np.zeros(len(h))).astype(np.uint8)
+            ends = np.cumsum([len(d) // 8 for d in data[i:j]])
+            out += [(at, block, part.tobytes()) for block, part in zip(blocks[i:j], np.split(levels, ends[:-1]))]
+            i = j
+        if out:
+            s, k, v = zip(*out)
+            yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(k, pa.int64()), pa.array(v, pa.binary())], names=["segment", "block", "levels"])
+
+
+def _unsigned(x: np.ndarray, n: int) -> np.ndarray:
+    """Places among n in as few bytes as they need."""
+    return x.astype(np.uint16 if n <= 1 << 16 else np.uint32)
+
+
+def _places(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32)
+
+
+def _finish(mass: float, vocabulary: int, training_docs: int):
+    """(block, segment, levels, sizes, splits, words, pairs), by block and segment, a block's own row first; gives each document's score."""
+
+    def block_scores(own, parts):
+        block, sizes, splits, words, pairs = own
+        sizes, splits = np.frombuffer(sizes, np.int64), np.frombuffer(splits, np.int32)
+        starts, n = np.cumsum(sizes) - sizes, int(sizes.sum())
+        level = np.concatenate([v[: splits[s]] for s, v in parts])
+        pair_level = np.concatenate([v[splits[s] :] for s, v in parts])
+        words, pairs = _places(words, n), _places(pairs, n)
+        uni = ((count_of(level.astype(np.int64)) + 1) / (mass + vocabulary + 1))[words]
+        before = np.empty(n)
+        before[1:] = most_of(level.astype(np.int64))[words][:-1]
+        before[starts] = training_docs
+        pair = count_of(pair_level.astype(np.int64))[pairs]
+        share = np.minimum(1.0, pair / np.maximum(before, 1.0))
+        p = np.where(before > 0, LAMBDA * share + (1 - LAMBDA) * uni, uni)
+        return block + np.arange(len(sizes)), np.add.reduceat(np.log10(p), starts)
 
-    def entries(low):
-        return singles + sum((lv - low + 1) * n for lv, n in pairs.items() if lv >= low)
+    def run(batches):
+        import pyarrow as pa
 
-    while entries(low) * BITS_PER_ENTRY > MAX_BITS and low <= max(pairs, default=0):
-        low += 1
-    width = 64
-    while width * SEGMENTS < min(MAX_BITS, entries(low) * BITS_PER_ENTRY):
-        width *= 2
-    empty = width
+        own, parts = None, []
 
-    def build(batches):
-        import pyarrow as pa
+        def done():
+            uid, score = block_scores(own, parts)
+            return pa.RecordBatch.from_arrays([pa.array(uid), pa.array(score)], names=["uid", "score"])
 
-        bits: dict[int, np.ndarray] = {}
-        sizing = Filter(empty, np.zeros(0, np.uint8))
-        def gathered():
-            held, n = [], 0
-            for batch in batches:
-                held.append(batch)
-                n += batch.num_rows
-                if n >= 100_000:
-                    yield pa.Table.from_batches(held)
-                    held, n = [], 0
-            if held:
-                yield pa.Table.from_batches(held)
-
-        for rows in gathered():
-            h = rows.column(1).to_numpy().view(np.uint64)
-            top, at = rows.column(2).to_numpy().astype(np.int64), np.where(rows.column(0).to_numpy() == 1, 1, low)
-            seg = sizing.segment(h)
-            while len(h):
-                for s, p in ((seg, p) for p in sizing.places(h, at)):
-                    order = np.argsort(s, kind="stable")
-                    s, p = s[order], p[order]
-                    cuts = np.flatnonzero(np.diff(s)) + 1
-                    for k, part in zip(s[np.concatenate([[0], cuts])].tolist(), np.split(p, cuts)):
-                        held = bits.setdefault(k, np.zeros(empty // 8, np.uint8))
-                        np.bitwise_or.at(held, part >> 3, np.left_shift(1, part & 7).astype(np.uint8))
-                at = at + 1
-                more = at <= top
-                h, top, at, seg = h[more], top[more], at[more], seg[more]
-        yield pa.RecordBatch.from_arrays([pa.array(list(bits), pa.int32()), pa.array([b.tobytes() for b in bits.values()], pa.binary())], names=["segment", "bits"])
-
-    kept = counts.withColumn("level", level).filter((F.col("size") == 1) | (F.col("level") >= low))
-    kept = kept.select("size", "h", "level", F.shiftrightunsigned("h", 52).alias("segment"))
-    parts = kept.repartition(n_parts(counts.sparkSession), "segment").select("size", "h", "level").mapInArrow(lean(build, 100_000), "segment int, bits binary").collect()
-    out = Filter(width)
-    for r in parts:
-        a = r["segment"] * width // 8
-        out.words[a : a + width // 8] |= np.frombuffer(r["bits"], np.uint8)
-    return out, mass, low
+        for batch in batches:
+            blocks, segments = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i in range(batch.num_rows):
+                if segments[i] is None:
+                    if own:
+                        yield done()
+                    own, parts = (blocks[i], *(batch.column(c)[i].as_py() for c in range(3, 7))), []
+                else:
+                    parts.append((segments[i], np.frombuffer(batch.column(2)[i].as_py(), np.uint8)))
+        if own:
+            yield done()
+
+    return run
 
 
 def score(docs: DataFrame, counts: DataFrame, training_docs: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for every row."""
     spark = docs.sparkSession
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # else the counts' shuffle files stay until the driver happens to collect its garbage
     words = counts.filter("size = 1").select("h", "c")
     totals = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_train, vocabulary = int(totals["n"]), int(totals["v"])
     below = float(np.log10(n_train + vocabulary + 1))
-    histogram = level_histogram(counts)
+    histogram = level_histogram(words)
+    mass = float(sum(count_of(np.array([r["level"]]))[0] * r["n"] for r in histogram))
     top = words.filter(_level() >= frequent_level(histogram)).toPandas()
     order = np.argsort(top["h"].to_numpy().view(np.uint64), kind="stable")
-    table, mass, low = build_filter(counts, histogram)
-    shared = spark.sparkContext.broadcast((table.width, table.words, top["h"].to_numpy().view(np.uint64)[order], top["c"].to_numpy()[order].astype(float)))
+    shared = spark.sparkContext.broadcast((top["h"].to_numpy().view(np.uint64)[order], top["c"].to_numpy()[order].astype(float)))
     kind = docs.schema[id_col].dataType.simpleString()
     whole = vocabulary <= TOP
 
@@ -245,9 +318,15 @@ def score(docs: DataFrame, counts: DataFrame, training_docs: int, id_col: str =
         import pyarrow as pa
         from pyspark import TaskContext
 
-        width, bits, top_h, top_c = shared.value
-        held = Filter(width, bits)
+        top_h, top_c = shared.value
         uid = TaskContext.get().partitionId() << 40
+        types = {
+            "doc_id": None, "uid": pa.int64(), "n_tokens": pa.int64(), "known": pa.int64(), "base": pa.float64(), "rest": pa.list_(pa.int64()), "block": pa.int64(), "segment": pa.int32(),
+            "probes": pa.binary(), "sizes": pa.binary(), "splits": pa.binary(), "words": pa.binary(), "pairs": pa.binary(),
+        }
+
+        def rows(id_type, n, **columns):
+            return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, t or id_type) for c, t in types.items()], names=list(types))
 
         def block(ids, texts):
             nonlocal uid
@@ -262,23 +341,25 @@ def score(docs: DataFrame, counts: DataFrame, training_docs: int, id_col: str =
             base = np.where(found | whole, np.log10(exact + 1) - below, 0.0)[inverse]
             known = np.add.reduceat(found[inverse].astype(np.int64), starts)
             rest = ~(found[inverse] | whole)
-            # The model: counts from the filter.
-            level = held.levels(one)
-            uni = ((count_of(level) + 1) / (mass + vocabulary + 1))[inverse]
-            before = np.empty(len(tokens))
-            before[1:] = most_of(level)[inverse][:-1]
-            before[starts] = training_docs
-            pair = count_of(held.levels(pair_hashes(tokens, starts), least=low))
-            share = np.minimum(1.0, pair / np.maximum(before, 1.0))
-            p = np.where(before > 0, LAMBDA * share + (1 - LAMBDA) * uni, uni)
             picked = tokens[rest].view(np.int64)
             ends = np.concatenate([[0], np.cumsum(np.add.reduceat(rest.astype(np.int64), starts))]).astype(np.int32)
-            out = pa.RecordBatch.from_arrays(
-                [ids, pa.array(uid + np.arange(len(sizes), dtype=np.int64)), pa.array(sizes), pa.array(known), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(np.log10(p), starts)), pa.ListArray.from_arrays(pa.array(ends), pa.array(picked))],
-                names=["doc_id", "uid", "n_tokens", "known", "base", "score", "rest"],
-            )
+            yield rows(
+                ids.type, len(sizes), doc_id=ids, uid=pa.array(uid + np.arange(len(sizes), dtype=np.int64)), n_tokens=pa.array(sizes), known=pa.array(known),
+                base=pa.array(np.add.reduceat(base, starts)), rest=pa.ListArray.from_arrays(pa.array(ends), pa.array(picked)),
+            )
+            # The model's n-grams, each once a block, by segment: words, then pairs.
+            two, pair_inverse = np.unique(pair_hashes(tokens, starts), return_inverse=True)
+            edges = np.arange(SEGMENTS)
+            a, b = (np.append(np.searchsorted(Filter.segment(h), edges), len(h)) for h in (one, two))
+            splits = np.diff(a).astype(np.int32)
+            yield rows(
+                ids.type, 1, block=pa.array([uid]), sizes=pa.array([sizes.astype(np.int64).tobytes()]), splits=pa.array([splits.tobytes()]),
+                words=pa.array([_unsigned(inverse, len(one)).tobytes()]), pairs=pa.array([_unsigned(pair_inverse, len(two)).tobytes()]),
+            )
+            filled = np.flatnonzero(splits + np.diff(b))
+            probes = [one[a[s] : a[s + 1]].tobytes() + two[b[s] : b[s + 1]].tobytes() for s in filled]
+            yield rows(ids.type, len(filled), block=pa.array(np.full(len(filled), uid, np.int64)), segment=pa.array(filled.astype(np.int32)), probes=pa.array(probes, pa.binary()))
             uid += len(sizes)
-            return out
 
         for batch in batches:
             texts, first, n = [], 0, 0
@@ -286,17 +367,28 @@ def score(docs: DataFrame, counts: DataFrame, training_docs: int, id_col: str =
                 texts.append(token_hashes(text))
                 n += len(texts[-1])
                 if n >= BLOCK_TOKENS:
-                    yield block(batch.column(0).slice(first, len(texts)), texts)
+                    yield from block(batch.column(0).slice(first, len(texts)), texts)
                     first, texts, n = i + 1, [], 0
             if texts:
-                yield block(batch.column(0).slice(first, len(texts)), texts)
+                yield from block(batch.column(0).slice(first, len(texts)), texts)
 
     narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    scored = narrow.mapInArrow(lean(run, 2000), f"doc_id {kind}, uid long, n_tokens long, known long, base double, score double, rest array<long>")
-    scored = materialise(scored, "scored")
+    columns = f"doc_id {kind}, uid long, n_tokens long, known long, base double, rest array<long>, block long, segment int, probes binary, sizes binary, splits binary, words binary, pairs binary"
+    blocks = materialise(narrow.mapInArrow(lean(run, 2000), columns), "blocks")
+    n = n_parts(spark)
+    asked = counts.filter("size = 0").select(F.col("h").cast("int").alias("segment"), F.lit(None).cast("long").alias("block"), F.col("bits").alias("data"))
+    asked = asked.union(blocks.filter("segment is not null").select("segment", "block", "probes")).repartition(n, "segment").sortWithinPartitions("segment", "block")
+    levels = asked.mapInArrow(lean(_probe, 2000), "segment int, block long, levels binary")
+    own = blocks.filter("sizes is not null").select("block", "segment", F.lit(None).cast("binary").alias("levels"), "sizes", "splits", "words", "pairs")
+    none = [F.lit(None).cast("binary")] * 4
+    own = own.union(levels.select("block", "segment", "levels", *none)).repartition(n, "block").sortWithinPartitions("block", "segment")
+    model = own.mapInArrow(lean(_finish(mass, vocabulary, training_docs), 2000), "uid long, score double")
+    scored = blocks.filter("uid is not null")
     rare = scored.select("uid", F.explode("rest").alias("h")).join(words, "h", "left")
-    rare = rare.groupBy("uid").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1) - below).alias("rare_base"), F.count("c").alias("rare_known"))
-    return scored.join(rare, "uid", "left").select(
+    rare = rare.select("uid", (F.log10(F.coalesce("c", F.lit(0)) + 1) - below).alias("base"), F.when(F.col("c").isNotNull(), 1).alias("known"), F.lit(None).cast("double").alias("score"))
+    added = rare.union(model.select("uid", F.lit(None).cast("double"), F.lit(None).cast("int"), "score"))
+    added = added.groupBy("uid").agg(F.sum("base").alias("rare_base"), F.count("known").alias("rare_known"), F.sum("score").alias("score"))
+    return scored.join(added, "uid", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),

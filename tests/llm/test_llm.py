@@ -274,6 +274,49 @@ def test_lm_beats_its_base_on_held_out_texts(spark):
     assert rows[0] > rows[1]
 
 
+def brute_model(train, texts):
+    """Scores by exact dictionaries of quantised counts; pairs counted less than lm.LEAST_PAIR times are unseen."""
+    tokens = lambda t: [*(t or "").encode().lower().split(), None]
+    words = Counter(w for t in train for w in tokens(t))
+    pairs = Counter(p for t in train for p in zip(["start", *tokens(t)], tokens(t)))
+    low, most = lambda c: float(lm.count_of(lm.level_of(np.array([c])))[0]), lambda c: float(lm.most_of(lm.level_of(np.array([c])))[0])
+    mass = sum(map(low, words.values()))
+    for t in texts:
+        total = 0.0
+        for v, w in zip(["start", *tokens(t)], tokens(t)):
+            uni = (low(words[w]) + 1) / (mass + len(words) + 1)
+            before = len(train) if v == "start" else most(words[v])
+            pair = pairs[v, w] if pairs[v, w] >= getattr(lm, "LEAST_PAIR", 1) else 0
+            total += math.log10(lm.LAMBDA * min(1.0, low(pair) / before) + (1 - lm.LAMBDA) * uni if before else uni)
+        yield total
+
+
+def model_gap(spark, texts):
+    """The largest difference a token between scores and brute force, and between the sums over all texts."""
+    docs = spark.createDataFrame([(i, t, "en", "a", 0, 0, "k", 0) for i, t in enumerate(texts)], SCHEMA)
+    train = docs.filter(~lm.held_out(F.col("doc_id")))
+    kept = {r["doc_id"] for r in train.collect()}
+    got = {r["doc_id"]: (r["score"], r["n_tokens"]) for r in lm.score(docs, lm.count_ngrams(train), len(kept)).collect()}
+    want = list(brute_model([t for i, t in enumerate(texts) if i in kept], texts))
+    gaps = [abs(got[i][0] - w) / got[i][1] for i, w in enumerate(want)]
+    return max(gaps), abs(sum(got[i][0] for i in got) - sum(want)) / sum(n for _, n in got.values())
+
+
+def test_lm_model_against_brute_force_when_entries_exceed_the_former_bound(spark, monkeypatch):
+    monkeypatch.setattr(lm, "MAX_BITS", 1 << 12, raising=False)
+    monkeypatch.setattr(lm, "BLOCK_TOKENS", 700)
+    most, mean = model_gap(spark, [*(" ".join(f"w{(i * k) % 41}" for k in range(1, 300)) for i in range(30)), "", prose(8, 900)])
+    assert most < 0.03 and mean < 0.01
+
+
+def test_lm_segments_follow_their_entries():
+    rng = np.random.default_rng(0)
+    for n in (10, 1000, 300_000):
+        h, level = rng.integers(0, (1 << 54) - 1, n, np.uint64), rng.integers(1, 9, n)
+        s = lm.Segment.of(h, level)
+        assert s.width >= level.sum() * lm.BITS_PER_ENTRY and (s.levels(h) >= level).all() and (s.levels(h) == level).mean() > 0.95
+
+
 # 7
 
 
