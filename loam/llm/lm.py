@@ -6,7 +6,8 @@ level 1 + floor(log c / log BASE), and the filter holds (n-gram, j) for each j u
 until one is missing gives the level back, which false positives can only raise. The filter is cut into
 ``SEGMENTS`` segments by hash. Each is as wide as its own entries need, without a bound, and is built by the task that sums
 its n-grams; the filter is a table and never in one place. A block of documents sends its distinct n-grams to their
-segments in a shuffle and has their levels sent back.
+segments in a shuffle and has their levels sent back. Blocks are cut twice, once to ask and once to score, instead of being
+written; the table's partitions and their order must be the same both times, as those of files are, or the job fails.
 
 The model interpolates: P(w | v) = LAMBDA * c(v, w) / C(v) + (1 - LAMBDA) * (c(w) + 1) / (N + V + 1). Counts c are the least of
 their levels, N the sum of those of words, and C the largest count of a level, so that no word's followers have more than all of the odds.
@@ -21,6 +22,7 @@ and folded as the empty id; repeated rows are scored and counted each; extra col
 from __future__ import annotations
 
 import gc
+import time
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from loam.llm.common import doc_fold, forget, lean, materialise, n_parts
 
-BASE, LAMBDA, LEAST_PAIR = 1.5, 0.4, 2
+BASE, LAMBDA = 1.5, 0.4
 BITS_PER_ENTRY, PROBES, SEGMENTS = 12, 4, 1024
 TOP = 1 << 18
 BLOCK_TOKENS, CACHE = 1_000_000, 300_000
@@ -164,7 +166,7 @@ def _build(batches):
 
 def count_ngrams(docs: DataFrame) -> DataFrame:
     """(size, h, c, bits) over all training rows (id, text): the words (size 1) with their counts and the filter's
-    segments (size 0; h is the segment, c its n-grams), which hold words, and pairs counted at least LEAST_PAIR times."""
+    segments (size 0; h is the segment, c its n-grams), which hold all words and pairs."""
 
     def run(batches):
         import pyarrow as pa
@@ -193,8 +195,7 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
     rows = docs.select("text").mapInArrow(lean(run), "size byte, h long, c long")
     spread = rows.withColumn("segment", F.shiftrightunsigned("h", 54)).repartition(n_parts(docs.sparkSession), "segment")
     summed = spread.groupBy("segment", "size", "h").agg(F.sum("c").alias("c"))
-    summed = summed.filter((F.col("size") == 1) | (F.col("c") >= LEAST_PAIR)).select("size", "h", "c")
-    return materialise(summed.mapInArrow(lean(_build, 100_000), "size byte, h long, c long, bits binary"), "counts")
+    return materialise(summed.select("size", "h", "c").mapInArrow(lean(_build, 100_000), "size byte, h long, c long, bits binary"), "counts")
 
 
 def _level() -> F.Column:
@@ -254,33 +255,75 @@ def _places(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32)
 
 
+def _blocks(batches, block):
+    """Cuts a task's (id, text) rows into blocks of about BLOCK_TOKENS tokens; yields what block(uid, ids, tokens of each text) does."""
+    from pyspark import TaskContext
+
+    uid = TaskContext.get().partitionId() << 40
+    for batch in batches:
+        texts, first, n = [], 0, 0
+        for i, text in enumerate(batch.column(1).to_pylist()):
+            texts.append(token_hashes(text))
+            n += len(texts[-1])
+            if n >= BLOCK_TOKENS or i == batch.num_rows - 1:
+                yield from block(uid, batch.column(0).slice(first, len(texts)), texts)
+                uid += len(texts)
+                first, texts, n = i + 1, [], 0
+
+
+def _starts(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sizes = np.array([len(t) for t in texts])
+    return np.concatenate(texts), sizes, np.cumsum(sizes) - sizes
+
+
+def _cuts(h: np.ndarray) -> np.ndarray:
+    """Where each segment begins among sorted hashes, and their number."""
+    return np.append(np.searchsorted(Filter.segment(h), np.arange(SEGMENTS)), len(h))
+
+
+def _ask(batches):
+    """(segment, block, data): a block's n-grams, each once, by segment: words, then pairs."""
+    import pyarrow as pa
+
+    def block(uid, ids, texts):
+        tokens, _, starts = _starts(texts)
+        one, two = np.unique(tokens), np.unique(pair_hashes(tokens, starts))
+        a, b = _cuts(one), _cuts(two)
+        filled = np.flatnonzero(np.diff(a) + np.diff(b))
+        data = [one[a[s] : a[s + 1]].tobytes() + two[b[s] : b[s + 1]].tobytes() for s in filled]
+        yield pa.RecordBatch.from_arrays([pa.array(filled.astype(np.int32)), pa.array(np.full(len(filled), uid, np.int64)), pa.array(data, pa.binary())], names=["segment", "block", "data"])
+
+    yield from _blocks(batches, block)
+
+
 def _finish(mass: float, vocabulary: int, training_docs: int):
-    """(block, segment, levels, sizes, splits, words, pairs), by block and segment, a block's own row first; gives each document's score."""
+    """(block, segment, levels, splits, words, pairs, and lists over the block's documents), by block and segment, a block's own row first."""
 
-    def block_scores(own, parts):
-        block, sizes, splits, words, pairs = own
-        sizes, splits = np.frombuffer(sizes, np.int64), np.frombuffer(splits, np.int32)
+    def scores(sizes, splits, words, pairs, parts):
         starts, n = np.cumsum(sizes) - sizes, int(sizes.sum())
-        level = np.concatenate([v[: splits[s]] for s, v in parts])
-        pair_level = np.concatenate([v[splits[s] :] for s, v in parts])
+        word_n, pair_n = np.frombuffer(splits, np.int32).reshape(2, -1)
+        if [(s, len(v)) for s, v in parts] != [(s, word_n[s] + pair_n[s]) for s in np.flatnonzero(word_n + pair_n)]:
+            raise RuntimeError("the documents' partitions changed between two readings")
+        level = np.concatenate([v[: word_n[s]] for s, v in parts]).astype(np.int64)
+        pair_level = np.concatenate([v[word_n[s] :] for s, v in parts]).astype(np.int64)
         words, pairs = _places(words, n), _places(pairs, n)
-        uni = ((count_of(level.astype(np.int64)) + 1) / (mass + vocabulary + 1))[words]
+        uni = ((count_of(level) + 1) / (mass + vocabulary + 1))[words]
         before = np.empty(n)
-        before[1:] = most_of(level.astype(np.int64))[words][:-1]
+        before[1:] = most_of(level)[words][:-1]
         before[starts] = training_docs
-        pair = count_of(pair_level.astype(np.int64))[pairs]
-        share = np.minimum(1.0, pair / np.maximum(before, 1.0))
-        p = np.where(before > 0, LAMBDA * share + (1 - LAMBDA) * uni, uni)
-        return block + np.arange(len(sizes)), np.add.reduceat(np.log10(p), starts)
+        share = np.minimum(1.0, count_of(pair_level)[pairs] / np.maximum(before, 1.0))
+        return np.add.reduceat(np.log10(np.where(before > 0, LAMBDA * share + (1 - LAMBDA) * uni, uni)), starts)
 
     def run(batches):
         import pyarrow as pa
 
+        names = ["doc_id", "n_tokens", "known", "base", "rest"]
         own, parts = None, []
 
         def done():
-            uid, score = block_scores(own, parts)
-            return pa.RecordBatch.from_arrays([pa.array(uid), pa.array(score)], names=["uid", "score"])
+            uid, splits, words, pairs, columns = own
+            score = scores(columns[1].to_numpy(), splits, words, pairs, parts)
+            return pa.RecordBatch.from_arrays([*columns, pa.array(uid + np.arange(len(score))), pa.array(score)], names=[*names, "uid", "score"])
 
         for batch in batches:
             blocks, segments = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -288,7 +331,7 @@ def _finish(mass: float, vocabulary: int, training_docs: int):
                 if segments[i] is None:
                     if own:
                         yield done()
-                    own, parts = (blocks[i], *(batch.column(c)[i].as_py() for c in range(3, 7))), []
+                    own, parts = (blocks[i], *(batch.column(c)[i].as_py() for c in (3, 4, 5)), [batch.column(c)[i].values for c in range(6, 11)]), []
                 else:
                     parts.append((segments[i], np.frombuffer(batch.column(2)[i].as_py(), np.uint8)))
         if own:
@@ -297,11 +340,18 @@ def _finish(mass: float, vocabulary: int, training_docs: int):
     return run
 
 
+def _release(spark) -> None:
+    """Has Spark delete the shuffle files of tables already written; else they stay until the driver happens to collect its garbage."""
+    for _ in range(2):  # Python lets go of the JVM's objects in the background, after the first round
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
+
+
 def score(docs: DataFrame, counts: DataFrame, training_docs: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for every row."""
     spark = docs.sparkSession
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # else the counts' shuffle files stay until the driver happens to collect its garbage
+    _release(spark)
     words = counts.filter("size = 1").select("h", "c")
     totals = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_train, vocabulary = int(totals["n"]), int(totals["v"])
@@ -316,23 +366,11 @@ def score(docs: DataFrame, counts: DataFrame, training_docs: int, id_col: str =
 
     def run(batches):
         import pyarrow as pa
-        from pyspark import TaskContext
 
         top_h, top_c = shared.value
-        uid = TaskContext.get().partitionId() << 40
-        types = {
-            "doc_id": None, "uid": pa.int64(), "n_tokens": pa.int64(), "known": pa.int64(), "base": pa.float64(), "rest": pa.list_(pa.int64()), "block": pa.int64(), "segment": pa.int32(),
-            "probes": pa.binary(), "sizes": pa.binary(), "splits": pa.binary(), "words": pa.binary(), "pairs": pa.binary(),
-        }
-
-        def rows(id_type, n, **columns):
-            return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, t or id_type) for c, t in types.items()], names=list(types))
-
-        def block(ids, texts):
-            nonlocal uid
-            tokens = np.concatenate(texts)
-            sizes = np.array([len(t) for t in texts])
-            starts = np.cumsum(sizes) - sizes
+
+        def block(uid, ids, texts):
+            tokens, sizes, starts = _starts(texts)
             one, inverse = np.unique(tokens, return_inverse=True)
             # Exact counts of frequent words.
             at = np.minimum(np.searchsorted(top_h, one), max(len(top_h) - 1, 0))
@@ -341,53 +379,36 @@ def score(docs: DataFrame, counts: DataFrame, training_docs: int, id_col: str =
             base = np.where(found | whole, np.log10(exact + 1) - below, 0.0)[inverse]
             known = np.add.reduceat(found[inverse].astype(np.int64), starts)
             rest = ~(found[inverse] | whole)
-            picked = tokens[rest].view(np.int64)
             ends = np.concatenate([[0], np.cumsum(np.add.reduceat(rest.astype(np.int64), starts))]).astype(np.int32)
-            yield rows(
-                ids.type, len(sizes), doc_id=ids, uid=pa.array(uid + np.arange(len(sizes), dtype=np.int64)), n_tokens=pa.array(sizes), known=pa.array(known),
-                base=pa.array(np.add.reduceat(base, starts)), rest=pa.ListArray.from_arrays(pa.array(ends), pa.array(picked)),
-            )
-            # The model's n-grams, each once a block, by segment: words, then pairs.
             two, pair_inverse = np.unique(pair_hashes(tokens, starts), return_inverse=True)
-            edges = np.arange(SEGMENTS)
-            a, b = (np.append(np.searchsorted(Filter.segment(h), edges), len(h)) for h in (one, two))
-            splits = np.diff(a).astype(np.int32)
-            yield rows(
-                ids.type, 1, block=pa.array([uid]), sizes=pa.array([sizes.astype(np.int64).tobytes()]), splits=pa.array([splits.tobytes()]),
-                words=pa.array([_unsigned(inverse, len(one)).tobytes()]), pairs=pa.array([_unsigned(pair_inverse, len(two)).tobytes()]),
-            )
-            filled = np.flatnonzero(splits + np.diff(b))
-            probes = [one[a[s] : a[s + 1]].tobytes() + two[b[s] : b[s + 1]].tobytes() for s in filled]
-            yield rows(ids.type, len(filled), block=pa.array(np.full(len(filled), uid, np.int64)), segment=pa.array(filled.astype(np.int32)), probes=pa.array(probes, pa.binary()))
-            uid += len(sizes)
+            splits = np.concatenate([np.diff(_cuts(one)), np.diff(_cuts(two))]).astype(np.int32)
+            lists = [ids, pa.array(sizes), pa.array(known), pa.array(np.add.reduceat(base, starts)), pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens[rest].view(np.int64)))]
+            raw = [splits.tobytes(), _unsigned(inverse, len(one)).tobytes(), _unsigned(pair_inverse, len(two)).tobytes()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([uid]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), *(pa.array([r]) for r in raw), *(pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), x) for x in lists)],
+                names=["block", "segment", "levels", "splits", "words", "pairs", "ids", "n_tokens", "known", "base", "rest"],
+            )
 
-        for batch in batches:
-            texts, first, n = [], 0, 0
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                texts.append(token_hashes(text))
-                n += len(texts[-1])
-                if n >= BLOCK_TOKENS:
-                    yield from block(batch.column(0).slice(first, len(texts)), texts)
-                    first, texts, n = i + 1, [], 0
-            if texts:
-                yield from block(batch.column(0).slice(first, len(texts)), texts)
+        yield from _blocks(batches, block)
 
     narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    columns = f"doc_id {kind}, uid long, n_tokens long, known long, base double, rest array<long>, block long, segment int, probes binary, sizes binary, splits binary, words binary, pairs binary"
-    blocks = materialise(narrow.mapInArrow(lean(run, 2000), columns), "blocks")
     n = n_parts(spark)
-    asked = counts.filter("size = 0").select(F.col("h").cast("int").alias("segment"), F.lit(None).cast("long").alias("block"), F.col("bits").alias("data"))
-    asked = asked.union(blocks.filter("segment is not null").select("segment", "block", "probes")).repartition(n, "segment").sortWithinPartitions("segment", "block")
-    levels = asked.mapInArrow(lean(_probe, 2000), "segment int, block long, levels binary")
-    own = blocks.filter("sizes is not null").select("block", "segment", F.lit(None).cast("binary").alias("levels"), "sizes", "splits", "words", "pairs")
-    none = [F.lit(None).cast("binary")] * 4
-    own = own.union(levels.select("block", "segment", "levels", *none)).repartition(n, "block").sortWithinPartitions("block", "segment")
-    model = own.mapInArrow(lean(_finish(mass, vocabulary, training_docs), 2000), "uid long, score double")
-    scored = blocks.filter("uid is not null")
+    bits = counts.filter("size = 0").select(F.col("h").cast("int"), F.lit(None).cast("long"), "bits")
+    # The documents come first in both unions: a block is named by its partition's number there.
+    asked = narrow.mapInArrow(lean(_ask, 2000), "segment int, block long, data binary").union(bits).repartition(n, "segment").sortWithinPartitions("segment", "block")
+    levels = materialise(asked.mapInArrow(lean(_probe, 2000), "segment int, block long, levels binary"), "levels")
+    del asked
+    _release(spark)
+    lists = {"ids": kind, "n_tokens": "long", "known": "long", "base": "double", "rest": "array<long>"}
+    own = narrow.mapInArrow(lean(run, 2000), "block long, segment int, levels binary, splits binary, words binary, pairs binary, " + ", ".join(f"{c} array<{t}>" for c, t in lists.items()))
+    nulls = [F.lit(None).cast(f.dataType) for f in own.schema.fields[3:]]
+    own = own.union(levels.select("block", "segment", "levels", *nulls)).repartition(n, "block").sortWithinPartitions("block", "segment")
+    scored = own.mapInArrow(lean(_finish(mass, vocabulary, training_docs), 2000), f"doc_id {kind}, n_tokens long, known long, base double, rest array<long>, uid long, score double")
+    scored = materialise(scored, "scored")
+    del own
+    _release(spark)
     rare = scored.select("uid", F.explode("rest").alias("h")).join(words, "h", "left")
-    rare = rare.select("uid", (F.log10(F.coalesce("c", F.lit(0)) + 1) - below).alias("base"), F.when(F.col("c").isNotNull(), 1).alias("known"), F.lit(None).cast("double").alias("score"))
-    added = rare.union(model.select("uid", F.lit(None).cast("double"), F.lit(None).cast("int"), "score"))
-    added = added.groupBy("uid").agg(F.sum("base").alias("rare_base"), F.count("known").alias("rare_known"), F.sum("score").alias("score"))
+    added = rare.groupBy("uid").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1) - below).alias("rare_base"), F.count("c").alias("rare_known"))
     return scored.join(added, "uid", "left").select(
         "doc_id",
         "n_tokens",

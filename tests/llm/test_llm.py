@@ -275,7 +275,7 @@ def test_lm_beats_its_base_on_held_out_texts(spark):
 
 
 def brute_model(train, texts):
-    """Scores by exact dictionaries of quantised counts; pairs counted less than lm.LEAST_PAIR times are unseen."""
+    """Scores by exact dictionaries of quantised counts."""
     tokens = lambda t: [*(t or "").encode().lower().split(), None]
     words = Counter(w for t in train for w in tokens(t))
     pairs = Counter(p for t in train for p in zip(["start", *tokens(t)], tokens(t)))
@@ -286,8 +286,7 @@ def brute_model(train, texts):
         for v, w in zip(["start", *tokens(t)], tokens(t)):
             uni = (low(words[w]) + 1) / (mass + len(words) + 1)
             before = len(train) if v == "start" else most(words[v])
-            pair = pairs[v, w] if pairs[v, w] >= getattr(lm, "LEAST_PAIR", 1) else 0
-            total += math.log10(lm.LAMBDA * min(1.0, low(pair) / before) + (1 - lm.LAMBDA) * uni if before else uni)
+            total += math.log10(lm.LAMBDA * min(1.0, low(pairs[v, w]) / before) + (1 - lm.LAMBDA) * uni if before else uni)
         yield total
 
 
@@ -309,6 +308,14 @@ def test_lm_model_against_brute_force_when_entries_exceed_the_former_bound(spark
     assert most < 0.03 and mean < 0.01
 
 
+def test_lm_scores_pairs_counted_once(spark):
+    train = spark.createDataFrame([(1, "a b c d e f g h", 0)], "doc_id long, text string, held int")
+    follow, shuffled = (spark.createDataFrame([(7, t)], "doc_id long, text string") for t in ("a b c d e f g h", "h g f e d c b a"))
+    counts = lm.count_ngrams(train)
+    near, far = (lm.score(d, counts, 1).first()["score"] for d in (follow, shuffled))
+    assert near == pytest.approx(9 * math.log10(lm.LAMBDA + (1 - lm.LAMBDA) * 2 / 19)) and near > far + 2
+
+
 def test_lm_segments_follow_their_entries():
     rng = np.random.default_rng(0)
     for n in (10, 1000, 300_000):
