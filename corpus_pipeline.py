@@ -27,14 +27,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each class of near copies, once."""
-    classes = jaccard.jaccard_classes(docs)
-    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    kept = materialise(kept.groupBy("doc_id", "class_id").agg(F.min("text_hash").alias("text_hash"), F.count("*").alias("n")), "kept")
+    """Keeps one document of each class of near copies, that with the smallest doc_id (a null id only if no other is there), once."""
+    rows = jaccard.jaccard_classes(docs).groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_hash", "n")).alias("x"))
+    kept = materialise(first.select("x.doc_id", "x.text_hash", "x.n"), "kept")
     whole = docs.select(*COLUMNS, F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     out = whole.alias("d").join(kept.alias("k"), F.expr("d.doc_id <=> k.doc_id and d.text_hash = k.text_hash"), "left_semi")
-    if kept.filter("n > 1").limit(1).count():  # repeated rows of one id
-        out = out.dropDuplicates(["doc_id"])
+    if kept.filter("n > 1").limit(1).count():  # repeated rows of one id and text
+        out = out.dropDuplicates(["doc_id", "text_hash"])
     return out.select(COLUMNS)
 
 

@@ -209,7 +209,7 @@ def _verify(n: int, threshold: float):
 
 
 def jaccard_classes(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document: doc_id, text_hash, class_id, n_links (other documents linked, copies included), n_text_links (other sets), n_copies."""
+    """A row per document: doc_id, text_hash, class_id, root (the class's key, which no other class has), n_links (other documents linked, copies included), n_text_links (other sets), n_copies."""
     bands, rows = band_shape(threshold, recall)
     sketched = materialise(sketch(docs, n, bands, rows, id_col, text_col), "sketch")
     nodes = sketched.groupBy("key").agg(F.count("*").alias("n_copies"), F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.any_value("bands").alias("bands"))
@@ -251,11 +251,12 @@ def jaccard_classes(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOL
     named = materialise(named.join(degree, "key", "left").select("key", "root", "rep_id", "n_copies", "docs", "texts"), "named")
     # Only classes of more than one node need a look at the others.
     joint = named.filter("docs is not null").groupBy("root").agg(F.min("rep_id").alias("class_id"))
-    named = named.join(joint, "root", "left").select("key", "rep_id", "class_id", "n_copies", "docs", "texts")
+    named = named.join(joint, "root", "left").select("key", "root", "rep_id", "class_id", "n_copies", "docs", "texts")
     return sketched.select("doc_id", "text_hash", "key").join(named, "key").select(
         "doc_id",
         "text_hash",
         F.coalesce("class_id", "rep_id").alias("class_id"),
+        "root",
         (F.coalesce("docs", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"),
         F.coalesce("texts", F.lit(0)).cast("long").alias("n_text_links"),
         "n_copies",
@@ -263,4 +264,4 @@ def jaccard_classes(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOL
 
 
 def op10_jaccard(spark, sf_dir: str) -> DataFrame:
-    return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")
+    return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash", "root")

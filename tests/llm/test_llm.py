@@ -482,3 +482,13 @@ def test_pipeline_against_brute_force(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, at, SF)
     assert packed.select(F.sum("length")).first()[0] == packed.filter("start = 0").select(F.sum("doc_tokens")).first()[0]
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_near_duplicates_keeps_each_class_though_ids_are_null_or_shared(spark):
+    import corpus_pipeline
+
+    rows = [(None, prose(i, 60), "en", "a", 9) for i in range(5)] + [(7, prose(20, 60), "en", "a", 9), (7, prose(21, 60), "en", "a", 9)]
+    rows += [rows[0], rows[5], (None, prose(30, 60), "en", "a", 9), (8, prose(30, 60), "en", "a", 9), (7, prose(40, 60), "en", "a", 9), (9, prose(40, 60) + " end", "en", "a", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect())
+    assert got == Counter({(r[0], r[1]): 1 for r in [*rows[:7], rows[10], rows[11]]})
