@@ -17,32 +17,65 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _own: list[str] = []
+_made: set[str] = set()
+#: Files a core that a written table has at most; a partition may be read in parts, and many small files cost more than they help.
+FILES_A_CORE = 8
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _sweep(spark: SparkSession, path: str) -> None:
+    try:
+        _remove(spark, path)
+    except Exception:  # the application has ended and taken the way to the folder with it
+        pass
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the session's shared checkpoint folder.
+    """A new folder below the application's own one in the session's shared checkpoint folder.
 
-    Results read from it lazily; it may go once they are written. Only where the session names no
-    checkpoint folder (local tests) a temporary one is used, which goes when the driver ends.
+    Results read from it lazily; the application's folder goes when the driver ends. Only a local session that
+    names no checkpoint folder (tests) gets a temporary one; on a cluster that is an error, as executors could not reach it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="loam-"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
         base = f"file://{_own[0]}"
-    return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    home = f"{base.rstrip('/')}/llm-{spark.sparkContext.applicationId}"
+    if home not in _made:
+        _made.add(home)
+        atexit.register(_sweep, spark, home)
+    return f"{home}/{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back with the same schema."""
+def materialise(df: DataFrame, name: str = "table", whole_partitions: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back with the same schema.
+
+    Partitions are written together where they far outnumber the cores, unless ``whole_partitions`` (their numbers count).
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
+    if not whole_partitions:
+        df = df.coalesce(FILES_A_CORE * spark.sparkContext.defaultParallelism)
     # Row groups small enough that a writing task buffers little and a reading task can split the file.
     df.write.option("parquet.block.size", 32 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialised tables that nothing will read again."""
+    for table in tables:
+        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            _remove(table.sparkSession, path)
+
+
 #: Called after each task: empties what a module remembers from row to row.
 forget: list = []
 
@@ -131,7 +164,7 @@ def ranked(df: DataFrame, groups: list[str], order: list[str], weight: str | Non
             )
 
     spread = df.repartitionByRange(n_parts(df.sparkSession), *groups, *order).sortWithinPartitions(*groups, *order)
-    numbered = materialise(spread.mapInArrow(number, schema), "ranked")
+    numbered = materialise(spread.mapInArrow(number, schema), "ranked", whole_partitions=True)
     # Range partitions are in order, so that a group's earlier rows are in partitions of smaller number.
     counts = numbered.groupBy(*groups, "_pid").agg(
         F.count("*").alias("_n"), (F.sum(weight) if weight else F.lit(0)).cast("long").alias("_w")

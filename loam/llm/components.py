@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import materialise, small
+from loam.llm.common import discard, materialise, small
 
 
 # The least neighbours are written before they are joined back: then the join is a broadcast while they are few, and
@@ -38,7 +38,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialise(edges, "edges")
     mark = _mark(edges)
     while mark[0]:
-        edges = materialise(_small_star(materialise(_large_star(edges), "large")), "edges")
+        large, old = materialise(_large_star(edges), "large"), edges
+        edges = materialise(_small_star(large), "edges")
+        discard(large, old)
         mark, before = _mark(edges), mark
         if tuple(mark) == tuple(before):
             break
