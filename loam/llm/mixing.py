@@ -2,7 +2,8 @@
 
 A source's weight is its share of all tokens (words and one end per document) raised to an exponent between 0 and 1 and normalised.
 The exponent is found by bisection: the largest whose weights have the target entropy (a fraction of the
-even mix's), raised where needed so that no source is repeated more often than the limit. The total budget defaults to the
+even mix's), raised where needed so that no source is repeated more often than the limit. A pass over the sources' token sums tries
+all midpoints of the next halvings at once and sends two sums for each to the driver, whatever the number of sources. The total budget defaults to the
 smallest at which every document is drawn once, so that nothing is lost: the source most
 under-weighted is seen once, others up to the limit. A source's budget is filled with seeded permutations of its documents, one per
 epoch, the last one cut where the budget ends. Budgets are spread evenly over blocks of about
@@ -42,27 +43,47 @@ def most_repeats(tokens: list[int], weights: list[float]) -> float:
     return max(rates) / min(rates) if rates else 1.0
 
 
-def _bisect(holds, rounds: int = 60) -> float:
-    """The largest exponent in [0, 1] for which ``holds``, true at and below some point."""
-    if holds(1.0):
+#: Halvings of the exponent's range that one pass over the sources settles: it tries all 2^LOOK - 1 midpoints at once.
+LOOK, PASSES = 5, 7
+
+
+def bisected(goal_met, looks: int = LOOK, passes: int = PASSES) -> float:
+    """The largest exponent in [0, 1] at which the goal, met at and below some point, is met, to 2^-(looks * passes).
+
+    ``goal_met`` takes a list of exponents and returns a truth value for each; it is asked once a pass.
+    """
+    if goal_met([1.0])[0]:
         return 1.0
-    low, high = 0.0, 1.0
-    for _ in range(rounds):
-        mid = (low + high) / 2
-        low, high = (mid, high) if holds(mid) else (low, mid)
+    low, width = 0.0, 1.0
+    for _ in range(passes):
+        width /= 1 << looks
+        points = [low + width * i for i in range(1, 1 << looks)]
+        met = goal_met(points)
+        low = max([low, *(p for p, yes in zip(points, met) if yes)])
     return low
 
 
+def least_exponent(most: int, least: int, max_repeats: float) -> float:
+    """Where the smallest source is repeated ``max_repeats`` times as often as the largest: repeats are (most / least)^(1 - exponent)."""
+    return max(0.0, 1.0 - math.log(max_repeats) / math.log(most / least)) if most > least else 0.0
+
+
 def find_exponent(tokens: list[int], target_entropy: float = TARGET_ENTROPY, max_repeats: float = MAX_REPEATS) -> float:
+    """The exponent for sources whose tokens are at hand; ``mix`` takes the same steps over a table of them."""
     some = [t for t in tokens if t]
     if len(some) < 2:
         return 1.0
     goal = target_entropy * math.log(len(some))
-    flat = _bisect(lambda a: entropy(weights_of(some, a)) >= goal)
-    if most_repeats(some, weights_of(some, flat)) <= max_repeats:
-        return flat
-    # Repeats fall as the exponent rises.
-    return 1.0 - _bisect(lambda b: most_repeats(some, weights_of(some, 1.0 - b)) <= max_repeats)
+    flat = bisected(lambda exponents: [entropy(weights_of(some, a)) >= goal for a in exponents])
+    return max(flat, least_exponent(max(some), min(some), max_repeats))
+
+
+def _power_sums(sources: DataFrame, total: int, exponents: list[float]) -> list[tuple[float, float]]:
+    """(sum of s^a, sum of s^a log s) over the sources' shares s, for each exponent a: one row to the driver."""
+    share = F.log(F.col("n") / float(total))
+    sums = [f(F.exp(a * share) * x) for a in exponents for f, x in ((F.sum, F.lit(1.0)), (F.sum, share))]
+    row = sources.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()
+    return [(row[2 * i], row[2 * i + 1]) for i in range(len(exponents))]
 
 
 def mix(
@@ -84,15 +105,23 @@ def mix(
     )
     rows = rows.groupBy("doc_id", "text_hash").agg(F.min("source").alias("source"), F.min("tokens").alias("tokens"))
     rows = materialise(rows, "documents")
-    sources = sorted((r["source"], r["n"]) for r in rows.groupBy("source").agg(F.sum("tokens").alias("n")).collect())
-    tokens = [n for _, n in sources]
-    exponent = find_exponent(tokens, target_entropy, max_repeats)
-    weights = weights_of(tokens, exponent)
-    total = budget if budget is not None else max((n / w for n, w in zip(tokens, weights)), default=0)
+    sources = materialise(rows.groupBy("source").agg(F.sum("tokens").alias("n")), "sources")
+    some = sources.agg(F.count("*").alias("k"), F.sum("n").alias("total"), F.max("n").alias("most"), F.min("n").alias("least")).first()
+    k, all_tokens = some["k"], int(some["total"] or 0)
+    exponent = 1.0
+    if k > 1:
+
+        def spread_enough(exponents):
+            # With weights s^a / Z the entropy is log Z - a / Z * sum of s^a log s; the rounding keeps sums taken in another order from deciding.
+            return [round(math.log(z) - a / z * zs - target_entropy * math.log(k), 9) >= 0 for a, (z, zs) in zip(exponents, _power_sums(sources, all_tokens, exponents))]
+
+        exponent = round(max(bisected(spread_enough), least_exponent(some["most"], some["least"], max_repeats)), 9)
+    scale = round(_power_sums(sources, all_tokens, [exponent])[0][0], 12) if k else 1.0
+    # The largest source is the most under-weighted; seen once, it sets the least budget at which every document is drawn.
+    total = budget if budget is not None else scale * all_tokens * ((some["most"] or 0) / max(all_tokens, 1)) ** (1 - exponent)
     blocks = max(1, math.ceil(total / block_tokens))
-    plan = spark.createDataFrame(
-        [(s, n, w, w * total, max(1, math.ceil(w * total / n - 1e-9))) for (s, n), w in zip(sources, weights)], "source string, n long, weight double, own double, epochs int"
-    )
+    plan = sources.withColumn("weight", F.round(F.exp(exponent * F.log(F.col("n") / float(max(all_tokens, 1)))) / scale, 15)).withColumn("own", F.col("weight") * total)
+    plan = plan.withColumn("epochs", F.greatest(F.lit(1), F.ceil(F.col("own") / F.col("n") - 1e-9)).cast("int"))
     drawn = rows.join(small(plan), "source").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
     drawn = drawn.withColumn("luck", F.xxhash64(F.lit(seed), "epoch", "doc_id", "text_hash"))
     drawn = ranked(drawn, ["source", "epoch"], ["luck", "doc_id", "text_hash"], weight="tokens")
