@@ -24,7 +24,7 @@ from loam.llm.common import doc_fold, lean
 DIM = 2048
 PER_LANGUAGE, MOST = 600, 4800
 AMBIGUOUS = 0.1
-#: Texts are featurised in pieces of so many characters, so that memory stays bounded; counts add up.
+#: Texts are featurised in pieces of so many characters, so that memory stays bounded; counts are those of whole texts.
 PIECE = 1 << 20
 
 _alpha = None
@@ -37,22 +37,33 @@ def _letters() -> np.ndarray:
     return _alpha
 
 
-def ngram_counts(text: str) -> np.ndarray | None:
-    """Hashed counts of 1- to 3-grams, or None if there is no letter."""
-    counts, found = np.zeros(DIM), False
-    for a in range(0, len(text), PIECE):
-        points = np.frombuffer(text[max(0, a - 2) : a + PIECE].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+def ngram_counts(text: str, piece: int = PIECE) -> np.ndarray | None:
+    """Hashed counts of 1- to 3-grams, or None if there is no letter.
+
+    A piece carries on the last two characters kept and whether the text before it ended in a letter, so that the
+    counts are those of the text as a whole.
+    """
+    counts, found, last, after_letter = np.zeros(DIM), False, np.array([32], np.uint32), True
+    text = text.lower()
+    counts[(last * np.uint32(0x9E3779B1) >> np.uint32(21))[0]] += 1
+    for a in range(0, len(text) + 1, piece):
+        points = np.frombuffer(text[a : a + piece].encode("utf-32-le", "surrogatepass"), np.uint32)
         letters = _letters()[points]
         found |= bool(letters.any())
-        points = np.where(letters, points, np.uint32(32))
-        keep = np.ones(len(points), bool)
-        keep[1:] = letters[1:] | letters[:-1]
-        one = np.concatenate([[np.uint32(32)], points[keep], [np.uint32(32)]]).astype(np.uint32)
+        keep = letters.copy()
+        if len(points):
+            keep |= np.concatenate([[after_letter], letters[:-1]])
+            after_letter = bool(letters[-1])
+        new = np.where(letters, points, np.uint32(32))[keep]
+        if a + piece > len(text):
+            new = np.append(new, np.uint32(32))
+        one, n = np.concatenate([last, new]).astype(np.uint32), len(last)
         h1 = one * np.uint32(0x9E3779B1)
         h2 = (h1[:-1] ^ np.uint32(0x5BD1E995)) * np.uint32(0x85EBCA6B) + one[1:]
         h3 = (h2[:-1] ^ (h2[:-1] >> np.uint32(15))) * np.uint32(0xC2B2AE35) + one[2:]
-        for h in (h1, h2 * np.uint32(0x27D4EB2F), h3 * np.uint32(0x165667B1)):
-            counts += np.bincount(h >> np.uint32(21), minlength=DIM)
+        for h, before in ((h1, n), (h2 * np.uint32(0x27D4EB2F), n - 1), (h3 * np.uint32(0x165667B1), max(0, n - 2))):
+            counts += np.bincount(h[before:] >> np.uint32(21), minlength=DIM)
+        last = one[-2:]
     return counts if found else None
 
 
