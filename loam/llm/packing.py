@@ -1,10 +1,12 @@
 """Operator 4, packing: token sequences of a fixed window, planned by non-negative least squares.
 
 A document's ids (byte-level BPE, then one end id 0) are cut into full windows, each a sequence of its own,
-and a tail. The tails' lengths form a histogram of at most ``window - 1`` entries. Shallow combinations of
-two or three lengths that fill a window exactly are enumerated; non-negative least squares finds how often
-to repeat each so that the histogram is used up; each task rounds its share of those counts down to
-whole ones for the tails it holds, and what remains is packed greedily, the longest first, cutting a piece
+and a tail. The tails' lengths form a histogram of at most ``window - 1`` entries, counted over the whole corpus. All combinations of
+two or three lengths at hand that fill a window exactly are enumerated; non-negative least squares finds how often
+to repeat each so that the histogram is used up; the counts are rounded to whole ones that the histogram can pay for. The plan
+is the corpus's: each tail's rank among all of its length, a task's own count added to those of the tasks before it, names the combination
+and the place in it that the tail takes, wherever it is stored, so that no ids are moved and the number of tasks changes nothing.
+Tails that no whole combination takes are packed greedily in their task, the longest first, cutting a piece
 where a window is full. The last, unfilled window of a task is cut into sequences whose lengths are powers
 of two, which need no padding.
 
@@ -20,15 +22,15 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loam.llm.common import lean, materialise
+from loam.llm.common import lean, materialise, small
 
 WINDOW = 1024
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
-#: Tails packed together in a task; bounds its memory at BLOCK * WINDOW * 4 bytes.
+#: Tails packed greedily together in a task; bounds its memory at BLOCK * WINDOW * 4 bytes.
 BLOCK = 8192
 #: Distinct pieces of text whose ids a worker remembers.
 CACHE = 700_000
@@ -95,47 +97,55 @@ def encoder(path: str) -> Encoder:
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each document's ids cut into windows and a tail: doc_id, start, length, doc_tokens, ids (little-endian uint32)."""
+    """Each document's ids cut into windows and a tail: doc_id, start, length, doc_tokens, ids (little-endian uint32), and the
+    task that cut it with the piece's rank among the task's pieces of that length."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        enc = encoder(tokenizer_path)
+        enc, task, seen = encoder(tokenizer_path), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            row, start, length, total, blob = [], [], [], [], []
+            row, start, length, total, blob, nth = [], [], [], [], [], []
             for i, tokens in enumerate(enc.encode(texts)):
                 raw, n = tokens + END_ID.to_bytes(4, "little"), len(tokens) // 4 + 1
                 for s in range(0, n, window):
+                    m = min(window, n - s)
                     row.append(i)
                     start.append(s)
-                    length.append(min(window, n - s))
+                    length.append(m)
                     total.append(n)
                     blob.append(raw[4 * s : 4 * (s + window)])
+                    nth.append(int(seen[m]))
+                    seen[m] += 1
+            longs = [pa.array(x, pa.int64()) for x in (start, length, total)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(total, pa.int64()), pa.array(blob, pa.binary())],
-                names=["doc_id", "start", "length", "doc_tokens", "ids"],
+                [batch.column(0).take(pa.array(row, pa.int64())), *longs, pa.array(blob, pa.binary()), pa.array([task] * len(row), pa.int32()), pa.array(nth, pa.int64())],
+                names=["doc_id", "start", "length", "doc_tokens", "ids", "task", "nth"],
             )
 
     narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return narrow.mapInArrow(lean(cut), f"doc_id {id_type}, start long, length long, doc_tokens long, ids binary")
+    return narrow.mapInArrow(lean(cut), f"doc_id {id_type}, start long, length long, doc_tokens long, ids binary, task int, nth long")
 
 
-def combinations(window: int) -> np.ndarray:
-    """Rows of (a, b, c), a >= b >= c >= 0, that sum to the window: all pairs, and triples on a grid of a 32nd of it."""
-    pairs = [(window - b, b, 0) for b in range(1, window // 2 + 1)]
-    step = max(1, window // 32)
-    triples = [(window - b - c, b, c) for b in range(step, window, step) for c in range(step, b + 1, step) if window - b - c >= b]
-    near = [(window - b - c, b, c) for c in range(1, window // 3 + 1, max(1, step // 4)) for b in range(c, window, step) if window - b - c >= b]
-    return np.array(sorted(set(pairs + triples + near)), np.int64)
+def combinations(window: int, lengths: np.ndarray) -> np.ndarray:
+    """Rows of (a, b, c), a >= b >= c, that sum to the window; a and b are of ``lengths``, c too or 0 (a pair). At most about window^2 / 12."""
+    there = np.zeros(window + 1, bool)
+    there[lengths] = True
+    c, b = np.meshgrid(np.arange(window // 3 + 1), np.arange(1, window), indexing="ij")
+    a = window - b - c
+    fine = (a >= b) & (b >= c) & there[b] & there[np.maximum(a, 0)] & (there[c] | (c == 0))
+    return np.stack([a[fine], b[fine], c[fine]], 1)
 
 
-def nnls_counts(combos: np.ndarray, histogram: np.ndarray, rounds: int = 300) -> np.ndarray:
+def nnls_counts(combos: np.ndarray, histogram: np.ndarray, rounds: int = 400, gain: float = 0.02) -> np.ndarray:
     """Non-negative counts x that minimise |A x - h|, A[l, j] the times combination j uses length l.
 
     Accelerated projected gradient; A has at most three entries a column and is never made dense. The step
-    is the inverse of a bound on A'A's largest eigenvalue (largest row sum times largest column sum).
+    is the inverse of a bound on A'A's largest eigenvalue (largest row sum times largest column sum). Ends once 20 rounds
+    lower what is left of the histogram by less than ``gain`` of it.
     """
     used = combos > 0
     size = len(histogram)
@@ -148,53 +158,84 @@ def nnls_counts(combos: np.ndarray, histogram: np.ndarray, rounds: int = 300) ->
 
     bound = forward(np.ones(len(combos))).max() * 3
     x = y = np.zeros(len(combos))
-    t = 1.0
-    for _ in range(rounds):
+    t, left = 1.0, np.inf
+    for i in range(rounds):
         new = np.maximum(0.0, y - backward(forward(y) - histogram) / bound)
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y, x, t = new + (t - 1) / nt * (new - x), new, nt
+        if i % 20 == 19:
+            now = np.abs(forward(x) - histogram).sum()
+            if now > left * (1 - gain):
+                break
+            left = now
     return x
 
 
+def whole_counts(combos: np.ndarray, x: np.ndarray, histogram: np.ndarray) -> np.ndarray:
+    """``x`` rounded to whole counts that use no length more often than the histogram holds it: first the whole parts, the
+    largest counts first, then one more of each, the largest remainders first, as long as its lengths are left."""
+    left, out = histogram.tolist(), np.zeros(len(combos), np.int64)
+    whole = np.floor(x + 1e-9).astype(np.int64)
+    needs = combos.tolist()
+    for order, want in ((np.argsort(-x, kind="stable"), whole), (np.argsort(whole - x, kind="stable"), np.ones_like(whole))):
+        for j in order[want[order] > 0].tolist():
+            parts = [c for c in needs[j] if c]
+            n = min(int(want[j]), *(left[c] // parts.count(c) for c in parts))
+            if n:
+                out[j] += n
+                for c in parts:
+                    left[c] -= n
+    return out
+
+
 def recipe(histogram: dict[int, int], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Combinations with their repeat counts per tail of the corpus, the most used first."""
-    h = np.zeros(window + 1)
+    """Combinations and how often each is packed."""
+    h = np.zeros(window + 1, np.int64)
     for length, n in histogram.items():
         h[length] = n
-    total = h.sum()
-    if not total:
-        return np.zeros((0, 3), np.int64), np.zeros(0)
-    combos = combinations(window)
-    x = nnls_counts(combos, h / total)
-    keep = x > 1e-9
-    order = np.argsort(-x[keep], kind="stable")
-    return combos[keep][order], x[keep][order]
-
-
-def pack_block(lengths: np.ndarray, combos: np.ndarray, shares: np.ndarray, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
-    """Sequences over tails 0..n-1, each a list of (tail, from, length); all but the last few are full."""
-    by_length: dict[int, list[int]] = {}
-    for i, n in enumerate(lengths.tolist()):
-        by_length.setdefault(n, []).append(i)
-    out = []
-    for combo, x in zip(combos.tolist(), np.floor(shares * len(lengths) + 1e-9).astype(int).tolist()):
-        need = [c for c in combo if c]
-        for _ in range(x):
-            got = []
-            for c in need:
-                if not by_length.get(c):
-                    break
-                got.append((by_length[c].pop(), 0, c))
-            if len(got) < len(need):
-                for i, _, c in got:
-                    by_length[c].append(i)
-                break
-            out.append(got)
-    # What rounding left: the longest first; a piece is cut where the window is full.
-    rest = [(i, n) for n in sorted(by_length, reverse=True) for i in by_length[n]]
-    current, room = [], window
-    for i, n in rest:
-        at = 0
+    combos = combinations(window, np.flatnonzero(h))
+    if not len(combos):
+        return np.zeros((0, 3), np.int64), np.zeros(0, np.int64)
+    counts = whole_counts(combos, nnls_counts(combos, h.astype(float)), h)
+    return combos[counts > 0], counts[counts > 0]
+
+
+class Plan:
+    """Who takes part in which sequence: the tails of a length, by rank, fill the places for it of one combination after another."""
+
+    SPAN = 1 << 44
+
+    def __init__(self, combos: np.ndarray, counts: np.ndarray):
+        slot = np.broadcast_to(np.arange(3), combos.shape)
+        places = [(length, j) for j, combo in enumerate(combos.tolist()) for length in dict.fromkeys(c for c in combo if c)]
+        self.length, self.combo = (np.array(v, np.int64) for v in zip(*sorted(places))) if places else (np.zeros(0, np.int64),) * 2
+        uses = combos[self.combo] == self.length[:, None]
+        self.times = uses.sum(1)
+        taken = counts[self.combo] * self.times
+        upto = np.cumsum(taken)
+        first = np.searchsorted(self.length, self.length)
+        self.start = upto - taken - (upto - taken)[first]
+        self.taken, self.keys = taken, self.length * self.SPAN + self.start
+        before = np.cumsum(combos, 1) - combos
+        self.offset = before[self.combo, np.where(uses, slot[self.combo], 3).min(1, initial=3)] if len(places) else self.length
+        self.base = np.cumsum(counts) - counts
+
+    def places(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For tails of these lengths and ranks: whether the plan takes them, the sequence's number and the offset in it."""
+        if not len(self.keys):
+            return np.zeros(len(length), bool), np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+        at = np.maximum(np.searchsorted(self.keys, length * self.SPAN + rank, "right") - 1, 0)
+        into = rank - self.start[at]
+        taken = (self.length[at] == length) & (into >= 0) & (into < self.taken[at])
+        times = self.times[at]
+        return taken, self.base[self.combo[at]] + into // times, self.offset[at] + into % times * length
+
+
+def pack_rest(lengths: np.ndarray, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
+    """Sequences over tails 0..n-1, each a list of (tail, from, length): the longest first, cut where the window is full; all but the last few are full."""
+    out, current, room = [], [], window
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        at, n = 0, int(lengths[i])
         while at < n:
             m = min(room, n - at)
             current.append((i, at, m))
@@ -220,16 +261,21 @@ def pack_block(lengths: np.ndarray, combos: np.ndarray, shares: np.ndarray, wind
 
 
 def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces with their ids and places: doc_id, start, length, doc_tokens, ids, sequence_id, offset."""
-    pieces = materialise(token_pieces(docs, tokenizer_path, window, id_col, text_col), "pieces")
-    tails = pieces.filter(F.col("length") < window).groupBy("length").agg(F.count("*").alias("n"))
-    combos, shares = recipe({r["length"]: r["n"] for r in tails.collect()}, window)
+    """Pieces with their ids and places: doc_id, start, length, doc_tokens, ids, sequence_id, offset. Sequences of the plan are
+    numbered from 0; those that a task makes by itself (full windows, what the plan leaves) from its own number times 2^40."""
+    pieces = materialise(token_pieces(docs, tokenizer_path, window, id_col, text_col), "pieces", whole_partitions=True)
+    counts = pieces.filter(F.col("length") < window).groupBy("length", "task").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = materialise(counts.select("length", "task", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead")), "ahead")
+    histogram = ahead.groupBy("length").agg(F.sum("n").alias("n")).collect()  # at most window - 1 rows
+    plan = Plan(*recipe({r["length"]: r["n"] for r in histogram}, window))
+    ranked = pieces.join(small(ahead.drop("n")), ["length", "task"], "left").select("doc_id", "start", "length", "doc_tokens", "ids", (F.col("nth") + F.col("ahead")).alias("rank"))
 
     def place(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId() << 40
+        number = TaskContext.get().partitionId() + 1 << 40
         names = ["doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset"]
 
         def packed(held):
@@ -237,7 +283,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, id_col: str
             table = pa.Table.from_batches(held)
             lengths, starts, blobs = table.column(2).to_numpy(), table.column(1).to_numpy(), table.column(4).to_pylist()
             row, start, length, blob, seq, offset = [], [], [], [], [], []
-            for pieces_of in pack_block(lengths, combos, shares, window):
+            for pieces_of in pack_rest(lengths, window):
                 at = 0
                 for i, a, n in pieces_of:
                     row.append(i)
@@ -254,17 +300,20 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, id_col: str
 
         held, n = [], 0
         for batch in batches:
-            full = pa.compute.equal(batch.column(2), window) if batch.num_rows else None
-            if full is None:
+            if not batch.num_rows:
                 continue
-            whole, tail = batch.filter(full), batch.filter(pa.compute.invert(full))
-            if whole.num_rows:
-                seq = pa.array(np.arange(number, number + whole.num_rows, dtype=np.int64))
-                number += whole.num_rows
-                yield pa.RecordBatch.from_arrays([*whole.columns, seq, pa.array(np.zeros(whole.num_rows, np.int64))], names=names)
-            if tail.num_rows:
-                held.append(tail)
-                n += tail.num_rows
+            length, rank = batch.column(2).to_numpy(), batch.column(5).fill_null(0).to_numpy()
+            full = length == window
+            taken, seq, offset = plan.places(length, rank)
+            taken |= full
+            seq[full], offset[full] = number + np.arange(full.sum()), 0
+            number += int(full.sum())
+            known, batch = batch.filter(pa.array(taken)), batch.filter(pa.array(~taken))
+            if known.num_rows:
+                yield pa.RecordBatch.from_arrays([*known.columns[:5], pa.array(seq[taken]), pa.array(offset[taken])], names=names)
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
             if n >= BLOCK:
                 yield from packed(held)
                 held, n = [], 0
@@ -272,7 +321,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, id_col: str
             yield from packed(held)
 
     kind = pieces.schema["doc_id"].dataType.simpleString()
-    return pieces.mapInArrow(lean(place, 2048), f"doc_id {kind}, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(place, 2048), f"doc_id {kind}, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long")
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
