@@ -115,6 +115,22 @@ def test_neighbours_recall_and_bad_vectors(spark):
     assert neighbours.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_neighbours_of_huge_and_tiny_components(spark):
+    rows = [(100, [1e200, 1.0]), (1, [-1e200, 1.0]), (2, [1e308, -1e308]), (200, [1e-200, 0.0]), (3, [2e-200, 0.0]), (4, [3e-200, 1e-201])]
+    got = neighbours.search(*(d := spark.createDataFrame(rows, "vec_id long, embedding array<double>"), d.filter("vec_id in (100, 200)"))).collect()
+    by = {q: [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (100, 200)}
+    assert [i for i, _ in by[200]] == [3, 4, 1, 100, 2] and by[200][0][1] == pytest.approx(1e-200) and by[200][2][1] == 1e200
+    assert {i for i, _ in by[100]} == {1, 2, 3, 4, 200} and dict(by[100])[1] == 2e200 and dict(by[100])[2] == pytest.approx(math.sqrt(2) * 1e308)
+
+
+def test_hash_shape_follows_the_number_of_vectors():
+    for n, d in ((0, 64), (1, 1), (300, 3), (2000, 64), (51_282, 64), (10**9, 64), (10**12, 768)):
+        axes, route, probes = neighbours.hash_shape(n, d)
+        buckets = math.prod(axes)
+        assert 1 <= route <= len(axes) and 1 <= probes <= buckets and (n < 8 * axes[0] or 1 <= n / buckets <= 32)
+        assert n / math.prod(axes[:route]) <= 4 * neighbours.PART or route == len(axes)
+
+
 # 3
 
 
@@ -178,16 +194,36 @@ def test_packing_holds_every_id_once(spark):
 def test_nnls_plan_fits_the_histogram():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 1024, 20_000)
-    combos, shares = packing.recipe(dict(Counter(lengths.tolist())))
-    assert (shares >= 0).all() and set(combos.sum(1)) == {1024}
-    packed = packing.pack_block(lengths[:5000], combos, shares)
-    assert sum(n for s in packed for _, _, n in s) == lengths[:5000].sum()
+    have = Counter(lengths.tolist())
+    combos, counts = packing.recipe(dict(have))
+    assert (counts > 0).all() and set(combos.sum(1)) == {1024}
     used = Counter()
-    for c, x in zip(combos, shares):
-        for n in c[c > 0]:
-            used[int(n)] += x * 20_000
-    want = Counter(lengths.tolist())
-    assert sum(abs(used[n] - want[n]) for n in want) < 0.2 * 20_000
+    for c, x in zip(combos.tolist(), counts.tolist()):
+        for n in c:
+            if n:
+                used[n] += x
+    assert all(used[n] <= have[n] for n in used) and sum(n * x for n, x in used.items()) > 0.9 * lengths.sum()
+    # Every rank below the plan's use of a length gets a place of its own, every other none, and sequences are full.
+    plan, at, filled = packing.Plan(combos, counts), Counter(), Counter()
+    for n, k in have.items():
+        taken, seq, offset = plan.places(np.full(k, n), np.arange(k))
+        assert taken.sum() == used[n] and taken[: used[n]].all()
+        for s, o in zip(seq[taken].tolist(), offset[taken].tolist()):
+            at[s, o] += 1
+            filled[s] += n
+    assert set(at.values()) == {1} and set(filled.values()) == {1024} and len(filled) == counts.sum()
+
+
+@pytest.mark.parametrize("sf, tasks", [("sf0.01", (1, 4)), ("sf0.1", (8,))])
+def test_most_tail_tokens_are_packed_by_the_plan_whatever_the_tasks(spark, sf, tasks):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    shares = []
+    for n in tasks:
+        rows = packing.pack(docs.repartition(n), packing.tokenizer_path()).filter("length < 1024")
+        planned, every = rows.agg(F.sum(F.when(F.col("sequence_id") < 1 << 40, F.col("length")).otherwise(0)), F.sum("length")).first()
+        shares.append((planned, every))
+        assert planned >= 0.7 * every
+    assert len(set(shares)) == 1
 
 
 # 5
@@ -340,6 +376,14 @@ def test_language_held_out_accuracy(spark):
     assert right >= 0.97 * n
 
 
+def test_pieces_of_a_long_text_count_as_the_whole():
+    for text in ("", "  a", "abc def", "Ärger, 漢字😀 x!! y", prose(4, 300), "é" * 50 + " . " * 9):
+        whole = language.ngram_counts(text)
+        for piece in (1, 2, 3, 7, len(text) or 1):
+            got = language.ngram_counts(text, piece)
+            assert (whole is None and got is None) or (whole == got).all()
+
+
 def test_language_awkward(spark):
     docs = awkward(spark)
     rows = {r["doc_id"]: r for r in language.identify(docs, language.learn(docs), ["doc_id", "text"]).collect()}
