@@ -245,6 +245,17 @@ def test_warc_records_and_revisits(spark):
     assert by[1][0]["record_type"] == "response" and (by[3][0]["record_type"], by[3][0]["refers_to"]) == ("revisit", 1)
     assert by[2][0]["record_type"] == "response" and by[4][0]["refers_to"] == 2
     assert sorted(r["record_type"] for r in by[6]) == ["response", "revisit"]
+    # Many copies of one row, and damage in a sidecar.
+    many = spark.createDataFrame([(9, "u", "again")] * 300 + [(8, "v", "again")], "page_id long, url string, html string")
+    archives = warc.normalise_archives(warc.write_archives(warc.decide(many), folder), folder)
+    types = Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.read_records(archives, folder).collect())
+    assert types == {(8, "response", None): 1, (9, "revisit", 8): 300}
+    nine = warc.normalise_archives(warc.write_archives(warc.decide(many.filter("page_id = 9")), folder), folder)
+    assert Counter(r["record_type"] for r in warc.read_records(nine, folder).collect()) == {"response": 1, "revisit": 299}
+    side = nine.first()["path"].removesuffix(".gz") + ".idx"
+    open(side, "a").write("0\t1\n")
+    with pytest.raises(Exception, match="damaged"):
+        warc.read_records(nine, folder).count()
     none = warc.normalise_archives(warc.write_archives(warc.decide(df.limit(0)), folder), folder)
     assert warc.read_records(none, folder).count() == 0
 
