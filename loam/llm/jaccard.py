@@ -6,16 +6,17 @@ and bands are chosen so that a pair at the threshold shares a band with probabil
 shuffled on band hashes:
 
 * a bucket of up to ``SMALL`` nodes gives its pairs of ids, made distinct over all bands; the texts of both
-  ends are then joined on and the full sets compared;
-* a larger bucket gives no pairs. Large buckets that share nodes form a hot group; its nodes are dealt into blocks of
-  about ``BLOCK``, each pair of blocks is one unit of work that compares full sets by matrix products
+  ends are then joined on, a text of more than ``HEAVY`` pairs salted, and the full sets compared;
+* a larger bucket gives no pairs. Large buckets that share nodes form a hot group; its nodes are dealt into blocks of about
+  ``BLOCK`` nodes or ``BLOCK_CHARS`` characters, whichever is less; each pair of blocks is one unit of work that compares full sets by matrix products
   and returns counts of links per node and a spanning forest, rows in proportion to its nodes. Every node of a hot group
   is thus compared with every other one once, on many tasks.
 
 Links found give each document its class (connected components; the id is the class's smallest doc_id) and its
 number of linked documents, copies counted.
 
-Defined cases: a null text counts as empty; texts without words are linked to equal texts only; repeated rows are
+Defined cases: a null text counts as empty; ``class_id`` is a doc_id, so that classes with a null or shared id can have the same one, while their
+``root`` tells them apart; texts without words are linked to equal texts only; repeated rows are
 copies of each other; extra columns are ignored; an empty table gives no rows.
 """
 
@@ -33,7 +34,7 @@ from loam.llm.common import forget, lean, materialise, small
 from loam.llm.components import components
 
 WORDS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 200
-SMALL, BLOCK = 16, 256
+SMALL, BLOCK, BLOCK_CHARS, HEAVY = 16, 512, 1 << 21, 64
 _WORD = re.compile(r"\w+").findall
 
 
@@ -181,8 +182,10 @@ def _hot_links(hot: DataFrame, nodes: DataFrame, texts_of, n: int, threshold: fl
     star = materialise(hot.groupBy("h").agg(F.min("key").alias("v")), "stars")
     roots = components(hot.join(small(star), "h").select(F.col("key").alias("u"), "v"))
     members = materialise(roots.select(F.col("node").alias("key"), F.col("root").alias("grp")), "hot")
-    blocks = members.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-    rows = texts_of(members.select("key")).join(members, "key").join(blocks, "grp")
+    rows = texts_of(members.select("key")).join(members, "key")
+    need = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("text")) / BLOCK_CHARS))
+    blocks = materialise(rows.groupBy("grp").agg(F.least(need, F.count("*")).cast("int").alias("nb")), "blocks")
+    rows = rows.join(small(blocks), "grp")
     rows = rows.withColumn("blk", F.pmod(F.xxhash64("key", F.lit(BLOCK)), F.col("nb")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     rows = rows.select("grp", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "blk", "key", "text", "n_copies")
@@ -194,14 +197,15 @@ def _verify(n: int, threshold: float):
     def run(batches):
         import pyarrow as pa
 
-        last, held = None, None
+        held = [(None, None), (None, None)]  # rows come sorted by one end or the other
         for batch in batches:
             a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
             keep = []
             for i in range(len(a)):
-                if a[i] != last:
-                    last, held = a[i], ngram_set(ta[i], n)
-                keep.append(linked(held, ngram_set(tb[i], n), threshold))
+                for side, key, text in ((0, a[i], ta[i]), (1, b[i], tb[i])):
+                    if held[side][0] != key:
+                        held[side] = key, ngram_set(text, n)
+                keep.append(linked(held[0][1], held[1][1], threshold))
             kept = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), kept.column(4), kept.column(5)], names=["a", "b", "na", "nb"])
 
@@ -236,12 +240,16 @@ def jaccard_classes(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOL
     few = buckets.filter(F.col("n") <= SMALL).select("h", "key").join(members, "key", "left")
     pairs = few.alias("x").join(few.alias("y"), F.expr("x.h = y.h and x.key < y.key and not coalesce(x.grp = y.grp, false)"))
     pairs = materialise(pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct(), "pairs")
-    ends = texts_of(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
-    sides = (
-        pairs.join(ends.select(F.col("key").alias("a"), F.col("text").alias("ta"), F.col("n_copies").alias("na")), "a")
-        .join(ends.select(F.col("key").alias("b"), F.col("text").alias("tb"), F.col("n_copies").alias("nb")), "b")
-        .select("a", "b", "ta", "tb", "na", "nb")
-    )
+    either = pairs.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    either = materialise(either.select("key", F.ceil(F.col("n") / HEAVY).cast("int").alias("parts")), "ends")
+    ends = texts_of(either.select("key")).join(small(either), "key")
+    ends = materialise(ends.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), "salted")
+    heavy = small(either.filter("parts > 1"))
+    of = lambda x, other: F.pmod(F.xxhash64(other), F.coalesce(F.col(f"p{x}"), F.lit(1))).cast("int").alias(f"s{x}")
+    salted = pairs.join(heavy.select(F.col("key").alias("a"), F.col("parts").alias("pa")), "a", "left").join(heavy.select(F.col("key").alias("b"), F.col("parts").alias("pb")), "b", "left")
+    salted = salted.select("a", "b", of("a", "b"), of("b", "a"))
+    side = lambda x: ends.select(F.col("key").alias(x), F.col("salt").alias(f"s{x}"), F.col("text").alias(f"t{x}"), F.col("n_copies").alias(f"n{x}"))
+    sides = salted.join(side("a"), ["a", "sa"]).join(side("b"), ["b", "sb"]).select("a", "b", "ta", "tb", "na", "nb")
     links = materialise(sides.mapInArrow(lean(_verify(n, threshold)), "a binary, b binary, na long, nb long"), "links")
 
     degree = hot_links.select("key", "docs", "texts").union(links.select("a", "nb", F.lit(1))).union(links.select("b", "na", F.lit(1)))
