@@ -547,3 +547,51 @@ def test_near_duplicates_keeps_each_class_though_ids_are_null_or_shared(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect())
     assert got == Counter({(r[0], r[1]): 1 for r in [*rows[:7], rows[10], rows[11]]})
+
+
+def test_stages_on_awkward_rows(spark):
+    """Nulls, empty and very long texts, one id on several texts, repeated rows, clashing names, empty tables."""
+    import corpus_pipeline
+    from collections import defaultdict
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = awkward(spark).unionByName(spark.createDataFrame([(1, prose(77, 80), "en", "a", 0, 9, "k", 7), (2, "", "en", "a", 0, 9, "k", 7)] + [(50, prose(78, 80), "en", "z", 0, 9, "k", 7)] * 3, SCHEMA))
+    docs = docs.withColumnsRenamed({"key": "text_hash", "rank": "block", "size": "draws"})
+    key = lambda r: (r["doc_id"], r["text"] or "")
+    every = Counter(map(key, docs.collect()))
+    for name in ("language_id", "quality"):
+        kept = Counter(map(key, (rows := stages[name](spark, docs, SF)).collect()))
+        assert rows.columns == corpus_pipeline.COLUMNS and all(kept[k] == every[k] for k in kept)
+    assert not {k for k in Counter(map(key, stages["language_id"](spark, docs, SF).collect())) if not any(ch.isalpha() for ch in k[1])}
+    # One of each class, told by brute force over distinct rows.
+    distinct = list(every)
+    sets = [frozenset(jaccard.ngram_set(t).tolist()) or frozenset([t]) for _, t in distinct]
+    label = list(range(len(distinct)))
+    for _ in distinct:
+        label = [min(label[b] for b in range(len(distinct)) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9) for a in range(len(distinct))]
+    classes = defaultdict(list)
+    for k, c in zip(distinct, label):
+        classes[c].append(k)
+    got = Counter(map(key, stages["near_duplicates"](spark, docs, SF).collect()))
+    assert set(got.values()) == {1} and all(sum(k in got for k in members) == 1 for members in classes.values())
+    for members in classes.values():
+        assert next(k for k in members if k in got)[0] == min((i for i, _ in members), key=lambda i: (i is None, i))
+    # As often as the mix draws each, and in its order.
+    mixed = Counter(map(key, stages["mixing"](spark, docs, SF).collect()))
+    texts = {k: r for r in mixing.mix(docs).collect() for k in distinct if k[0] == r["doc_id"]}
+    draws = Counter((r["doc_id"], r["text_hash"]) for r in mixing.mix(docs).collect())
+    hashes = {key(r): r["h"] for r in docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    assert mixed == Counter({k: draws[k[0], hashes[k]] for k in every}) and texts
+    one = stages["mixing"](spark, docs.coalesce(1), SF)
+    order = [hashes[key(r)] for r in common.materialise(one.coalesce(1), "one").collect()]
+    wanted = defaultdict(list)
+    for r in sorted(mixing.mix(docs).collect(), key=lambda r: (r["block"], r["place"])):
+        wanted[r["block"]].append(r["text_hash"])
+    while order:
+        block = next(b for b, w in wanted.items() if order[: len(w)] == w)
+        order = order[len(wanted.pop(block)) :]
+    assert not wanted
+    packed = stages["packing"](spark, docs, SF)
+    assert packed.select(F.sum("length")).first()[0] == packed.filter("start = 0").select(F.sum("doc_tokens")).first()[0]
+    for stage in stages.values():
+        assert stage(spark, docs.limit(0), SF).count() == 0
