@@ -1,7 +1,8 @@
 """Operator 6, language-model scoring with n-gram counts in a log-frequency Bloom filter.
 
-Tokens are ASCII-lower-cased words between white space and one end per document. Counts of words and of pairs of neighbouring
-tokens are summed over all training documents in a shuffle on their 64-bit hashes. A count c is quantised to the
+Tokens are ASCII-lower-cased words between white space and one end per document. N-grams of 1 to ``ORDER`` neighbouring
+tokens are counted over all training documents: a task sorts and counts blocks of them by their 64-bit hashes and sends each
+block, cut by segment of the hash, as packed bytes through one shuffle. A count c is quantised to the
 level 1 + floor(log c / log BASE), and the filter holds (n-gram, j) for each j up to its level; probing j = 1, 2, ...
 until one is missing gives the level back, which false positives can only raise. The filter is cut into
 ``SEGMENTS`` segments by hash. Each is as wide as its own entries need, without a bound, and is built by the task that sums
@@ -9,8 +10,9 @@ its n-grams; the filter is a table and never in one place. A block of documents
 segments in a shuffle and has their levels sent back. Blocks are cut twice, once to ask and once to score, instead of being
 written; the table's partitions and their order must be the same both times, as those of files are, or the job fails.
 
-The model interpolates: P(w | v) = LAMBDA * c(v, w) / C(v) + (1 - LAMBDA) * (c(w) + 1) / (N + V + 1). Counts c are the least of
-their levels, N the sum of those of words, and C the largest count of a level, so that no word's followers have more than all of the odds.
+The model interpolates: P_1(w) = (c(w) + 1) / (N + V + 1), and P_n(w | v) = LAMBDA * c(v, w) / C(v) + (1 - LAMBDA) * P_n-1(w), or P_n-1
+itself where the context v was never seen. Counts c are the least of their levels, N the sum of those of words, and C
+the largest count of a level, so that no context's followers have more than all of the odds.
 
 The base score uses exact counts. Those of the most frequent words (``TOP``, a bound) are broadcast; other
 words of each document are joined to the count table in a shuffle.
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from loam.llm.common import doc_fold, forget, lean, materialise, n_parts
 
-BASE, LAMBDA = 1.5, 0.4
+BASE, LAMBDA, ORDER = 1.5, 0.4, 2
 BITS_PER_ENTRY, PROBES, SEGMENTS = 12, 4, 1024
 TOP = 1 << 18
 BLOCK_TOKENS, CACHE = 1_000_000, 300_000
@@ -63,12 +65,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def pair_hashes(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Hash of each token with the one before it; START before the first of each document."""
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[starts] = START
-    return _mix(before * np.uint64(0x9E3779B97F4A7C15) + tokens)
+def gram_hashes(tokens: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndarray]:
+    """For n = 1 .. order, the hash of the n-gram that ends at each token; START before the first of each document."""
+    out = [tokens]
+    for _ in range(1, order):
+        before = np.empty_like(tokens)
+        before[1:] = out[-1][:-1]
+        before[starts] = START
+        out.append(_mix(before * np.uint64(0x9E3779B97F4A7C15) + tokens))
+    return out
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
@@ -139,34 +144,44 @@ class Segment(Filter):
         return out
 
 
+def _summed(h: list[np.ndarray], c: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes, sorted, and the sums of their counts."""
+    h, c = np.concatenate(h), np.concatenate(c)
+    order = np.argsort(h)
+    h, c = h[order], c[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    return h[first], np.add.reduceat(c, first) if len(first) else c
+
+
 def _build(batches):
-    """Words pass; all n-grams go into the filter's segments. A task gets whole segments."""
+    """(segment, words, h, c), by segment: each row a block's n-grams and counts, words first. Gives words with their counts, and the segments of the filter."""
     import pyarrow as pa
 
-    hashes, levels = [], []
+    names, at, rows = ["size", "h", "c", "bits"], None, []
+
+    def done():
+        raw = [(n, np.frombuffer(h, np.uint64), np.frombuffer(c, np.uint32).astype(np.int64)) for n, h, c in rows]
+        word, word_c = _summed([h[:n] for n, h, _ in raw], [c[:n] for n, _, c in raw])
+        rest, rest_c = _summed([h[n:] for n, h, _ in raw], [c[n:] for n, _, c in raw])
+        if len(word):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(word), np.int8)), pa.array(word.view(np.int64)), pa.array(word_c), pa.nulls(len(word), pa.binary())], names=names)
+        bits = Segment.of(np.concatenate([word, rest]), level_of(np.concatenate([word_c, rest_c]))).words.tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int8()), pa.array([at], pa.int64()), pa.array([len(word) + len(rest)], pa.int64()), pa.array([bits], pa.binary())], names=names)
+
     for batch in batches:
-        size, h, c = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
-        hashes.append(h.to_numpy().view(np.uint64))
-        levels.append(level_of(c.to_numpy()).astype(np.uint8))
-        word = pa.array(size == 1)
-        h, c = h.filter(word), c.filter(word)
-        if len(h):
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int8)), h, c, pa.nulls(len(h), pa.binary())], names=["size", "h", "c", "bits"])
-    if not hashes:
-        return
-    h, level = np.concatenate(hashes), np.concatenate(levels)
-    hashes.clear(), levels.clear()
-    order = np.argsort(h)
-    h, level = h[order], level[order]
-    names, first = np.unique(Filter.segment(h), return_index=True)
-    for name, a, b in zip(names.tolist(), first.tolist(), [*first[1:].tolist(), len(h)]):
-        bits = Segment.of(h[a:b], level[a:b].astype(np.int64)).words.tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int8()), pa.array([name], pa.int64()), pa.array([b - a], pa.int64()), pa.array([bits], pa.binary())], names=["size", "h", "c", "bits"])
+        for segment, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if segment != at:
+                if rows:
+                    yield from done()
+                at, rows = segment, []
+            rows.append(row)
+    if rows:
+        yield from done()
 
 
-def count_ngrams(docs: DataFrame) -> DataFrame:
+def count_ngrams(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """(size, h, c, bits) over all training rows (id, text): the words (size 1) with their counts and the filter's
-    segments (size 0; h is the segment, c its n-grams), which hold all words and pairs."""
+    segments (size 0; h is the segment, c its n-grams), which hold all n-grams up to the order."""
 
     def run(batches):
         import pyarrow as pa
@@ -174,13 +189,15 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
         held, n = [], 0
 
         def flush():
-            tokens = np.concatenate(held)
-            starts = np.cumsum([0, *map(len, held[:-1])])
-            for size, h in ((1, tokens), (2, pair_hashes(tokens, starts))):
-                h, c = np.unique(h, return_counts=True)
-                for a in range(0, len(h), 50_000):
-                    m = len(h[a : a + 50_000])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, size, np.int8)), pa.array(h[a : a + m].view(np.int64)), pa.array(c[a : a + m])], names=["size", "h", "c"])
+            tokens, _, starts = _starts(held)
+            grams = [np.unique(g, return_counts=True) for g in gram_hashes(tokens, starts, order)]
+            cuts = [_cuts(h) for h, _ in grams]
+            for a in range(0, SEGMENTS, 128):
+                own = range(a, a + 128)
+                h, c = ([b"".join(g[i][k[s] : k[s + 1]].astype(t).tobytes() for g, k in zip(grams, cuts)) for s in own] for i, t in ((0, np.uint64), (1, np.uint32)))
+                words = pa.array([int(cuts[0][s + 1] - cuts[0][s]) for s in own], pa.int32())
+                some = pa.array([bool(x) for x in h])
+                yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), words, pa.array(h, pa.binary()), pa.array(c, pa.binary())], names=["segment", "words", "h", "c"]).filter(some)
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -192,10 +209,9 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
         if held:
             yield from flush()
 
-    rows = docs.select("text").mapInArrow(lean(run), "size byte, h long, c long")
-    spread = rows.withColumn("segment", F.shiftrightunsigned("h", 54)).repartition(n_parts(docs.sparkSession), "segment")
-    summed = spread.groupBy("segment", "size", "h").agg(F.sum("c").alias("c"))
-    return materialise(summed.select("size", "h", "c").mapInArrow(lean(_build, 100_000), "size byte, h long, c long, bits binary"), "counts")
+    rows = docs.select("text").mapInArrow(lean(run), "segment int, words int, h binary, c binary")
+    spread = rows.repartition(n_parts(docs.sparkSession), "segment").sortWithinPartitions("segment")
+    return materialise(spread.mapInArrow(lean(_build, 2000), "size byte, h long, c long, bits binary"), "counts")
 
 
 def _level() -> F.Column:
@@ -281,38 +297,44 @@ def _cuts(h: np.ndarray) -> np.ndarray:
     return np.append(np.searchsorted(Filter.segment(h), np.arange(SEGMENTS)), len(h))
 
 
-def _ask(batches):
-    """(segment, block, data): a block's n-grams, each once, by segment: words, then pairs."""
-    import pyarrow as pa
+def _ask(order: int):
+    """(segment, block, data): a block's n-grams, each once, by segment, shorter ones first."""
 
     def block(uid, ids, texts):
+        import pyarrow as pa
+
         tokens, _, starts = _starts(texts)
-        one, two = np.unique(tokens), np.unique(pair_hashes(tokens, starts))
-        a, b = _cuts(one), _cuts(two)
-        filled = np.flatnonzero(np.diff(a) + np.diff(b))
-        data = [one[a[s] : a[s + 1]].tobytes() + two[b[s] : b[s + 1]].tobytes() for s in filled]
+        grams = [np.unique(g) for g in gram_hashes(tokens, starts, order)]
+        cuts = [_cuts(g) for g in grams]
+        filled = np.flatnonzero(sum(np.diff(k) for k in cuts))
+        data = [b"".join(g[k[s] : k[s + 1]].tobytes() for g, k in zip(grams, cuts)) for s in filled]
         yield pa.RecordBatch.from_arrays([pa.array(filled.astype(np.int32)), pa.array(np.full(len(filled), uid, np.int64)), pa.array(data, pa.binary())], names=["segment", "block", "data"])
 
-    yield from _blocks(batches, block)
+    return lambda batches: _blocks(batches, block)
 
 
-def _finish(mass: float, vocabulary: int, training_docs: int):
-    """(block, segment, levels, splits, words, pairs, and lists over the block's documents), by block and segment, a block's own row first."""
+def _finish(mass: float, vocabulary: int, training_docs: int, order: int):
+    """(block, segment, levels, splits, places, and lists over the block's documents), by block and segment, a block's own row first."""
 
-    def scores(sizes, splits, words, pairs, parts):
+    def scores(sizes, splits, places, parts):
         starts, n = np.cumsum(sizes) - sizes, int(sizes.sum())
-        word_n, pair_n = np.frombuffer(splits, np.int32).reshape(2, -1)
-        if [(s, len(v)) for s, v in parts] != [(s, word_n[s] + pair_n[s]) for s in np.flatnonzero(word_n + pair_n)]:
+        split = np.frombuffer(splits, np.int32).reshape(order, -1)
+        if [(s, len(v)) for s, v in parts] != [(s, split[:, s].sum()) for s in np.flatnonzero(split.sum(0))]:
             raise RuntimeError("the documents' partitions changed between two readings")
-        level = np.concatenate([v[: word_n[s]] for s, v in parts]).astype(np.int64)
-        pair_level = np.concatenate([v[word_n[s] :] for s, v in parts]).astype(np.int64)
-        words, pairs = _places(words, n), _places(pairs, n)
-        uni = ((count_of(level) + 1) / (mass + vocabulary + 1))[words]
-        before = np.empty(n)
-        before[1:] = most_of(level)[words][:-1]
-        before[starts] = training_docs
-        share = np.minimum(1.0, count_of(pair_level)[pairs] / np.maximum(before, 1.0))
-        return np.add.reduceat(np.log10(np.where(before > 0, LAMBDA * share + (1 - LAMBDA) * uni, uni)), starts)
+        ends = np.cumsum(split, 0)
+        odds = context = None
+        for size in range(order):
+            level = np.concatenate([v[ends[size, s] - split[size, s] : ends[size, s]] for s, v in parts]).astype(np.int64)
+            level = level[_places(places[size], n)]
+            if size == 0:
+                odds = (count_of(level) + 1) / (mass + vocabulary + 1)
+            else:
+                share = np.minimum(1.0, count_of(level) / np.maximum(context, 1.0))
+                odds = np.where(context > 0, LAMBDA * share + (1 - LAMBDA) * odds, odds)
+            context = np.empty(n)
+            context[1:] = most_of(level)[:-1]
+            context[starts] = training_docs if size == 0 else 0
+        return np.add.reduceat(np.log10(odds), starts)
 
     def run(batches):
         import pyarrow as pa
@@ -321,8 +343,8 @@ def _finish(mass: float, vocabulary: int, training_docs: int):
         own, parts = None, []
 
         def done():
-            uid, splits, words, pairs, columns = own
-            score = scores(columns[1].to_numpy(), splits, words, pairs, parts)
+            uid, splits, places, columns = own
+            score = scores(columns[1].to_numpy(), splits, places, parts)
             return pa.RecordBatch.from_arrays([*columns, pa.array(uid + np.arange(len(score))), pa.array(score)], names=[*names, "uid", "score"])
 
         for batch in batches:
@@ -331,7 +353,7 @@ def _finish(mass: float, vocabulary: int, training_docs: int):
                 if segments[i] is None:
                     if own:
                         yield done()
-                    own, parts = (blocks[i], *(batch.column(c)[i].as_py() for c in (3, 4, 5)), [batch.column(c)[i].values for c in range(6, 11)]), []
+                    own, parts = (blocks[i], *(batch.column(c)[i].as_py() for c in (3, 4)), [batch.column(c)[i].values for c in range(5, 10)]), []
                 else:
                     parts.append((segments[i], np.frombuffer(batch.column(2)[i].as_py(), np.uint8)))
         if own:
@@ -348,8 +370,8 @@ def _release(spark) -> None:
         time.sleep(0.7)
 
 
-def score(docs: DataFrame, counts: DataFrame, training_docs: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score for every row."""
+def score(docs: DataFrame, counts: DataFrame, training_docs: int, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score for every row; ``order`` at most that of the counts."""
     spark = docs.sparkSession
     _release(spark)
     words = counts.filter("size = 1").select("h", "c")
@@ -359,8 +381,8 @@ def score(docs: DataFrame, counts: DataFrame, training_docs: int, id_col: str =
     histogram = level_histogram(words)
     mass = float(sum(count_of(np.array([r["level"]]))[0] * r["n"] for r in histogram))
     top = words.filter(_level() >= frequent_level(histogram)).toPandas()
-    order = np.argsort(top["h"].to_numpy().view(np.uint64), kind="stable")
-    shared = spark.sparkContext.broadcast((top["h"].to_numpy().view(np.uint64)[order], top["c"].to_numpy()[order].astype(float)))
+    by_hash = np.argsort(top["h"].to_numpy().view(np.uint64), kind="stable")
+    shared = spark.sparkContext.broadcast((top["h"].to_numpy().view(np.uint64)[by_hash], top["c"].to_numpy()[by_hash].astype(float)))
     kind = docs.schema[id_col].dataType.simpleString()
     whole = vocabulary <= TOP
 
@@ -380,13 +402,13 @@ def score(docs: DataFrame, counts: DataFrame, training_docs: int, id_col: str =
             known = np.add.reduceat(found[inverse].astype(np.int64), starts)
             rest = ~(found[inverse] | whole)
             ends = np.concatenate([[0], np.cumsum(np.add.reduceat(rest.astype(np.int64), starts))]).astype(np.int32)
-            two, pair_inverse = np.unique(pair_hashes(tokens, starts), return_inverse=True)
-            splits = np.concatenate([np.diff(_cuts(one)), np.diff(_cuts(two))]).astype(np.int32)
+            grams = [(one, inverse), *(np.unique(g, return_inverse=True) for g in gram_hashes(tokens, starts, order)[1:])]
+            splits = np.concatenate([np.diff(_cuts(g)) for g, _ in grams]).astype(np.int32)
+            places = [_unsigned(i, len(g)).tobytes() for g, i in grams]
             lists = [ids, pa.array(sizes), pa.array(known), pa.array(np.add.reduceat(base, starts)), pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens[rest].view(np.int64)))]
-            raw = [splits.tobytes(), _unsigned(inverse, len(one)).tobytes(), _unsigned(pair_inverse, len(two)).tobytes()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([uid]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), *(pa.array([r]) for r in raw), *(pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), x) for x in lists)],
-                names=["block", "segment", "levels", "splits", "words", "pairs", "ids", "n_tokens", "known", "base", "rest"],
+                [pa.array([uid]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([splits.tobytes()]), pa.array([places], pa.list_(pa.binary())), *(pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), x) for x in lists)],
+                names=["block", "segment", "levels", "splits", "places", "ids", "n_tokens", "known", "base", "rest"],
             )
 
         yield from _blocks(batches, block)
@@ -395,15 +417,15 @@ def score(docs: DataFrame, counts: DataFrame, training_docs: int, id_col: str =
     n = n_parts(spark)
     bits = counts.filter("size = 0").select(F.col("h").cast("int"), F.lit(None).cast("long"), "bits")
     # The documents come first in both unions: a block is named by its partition's number there.
-    asked = narrow.mapInArrow(lean(_ask, 2000), "segment int, block long, data binary").union(bits).repartition(n, "segment").sortWithinPartitions("segment", "block")
+    asked = narrow.mapInArrow(lean(_ask(order), 2000), "segment int, block long, data binary").union(bits).repartition(n, "segment").sortWithinPartitions("segment", "block")
     levels = materialise(asked.mapInArrow(lean(_probe, 2000), "segment int, block long, levels binary"), "levels")
     del asked
     _release(spark)
     lists = {"ids": kind, "n_tokens": "long", "known": "long", "base": "double", "rest": "array<long>"}
-    own = narrow.mapInArrow(lean(run, 2000), "block long, segment int, levels binary, splits binary, words binary, pairs binary, " + ", ".join(f"{c} array<{t}>" for c, t in lists.items()))
+    own = narrow.mapInArrow(lean(run, 2000), "block long, segment int, levels binary, splits binary, places array<binary>, " + ", ".join(f"{c} array<{t}>" for c, t in lists.items()))
     nulls = [F.lit(None).cast(f.dataType) for f in own.schema.fields[3:]]
     own = own.union(levels.select("block", "segment", "levels", *nulls)).repartition(n, "block").sortWithinPartitions("block", "segment")
-    scored = own.mapInArrow(lean(_finish(mass, vocabulary, training_docs), 2000), f"doc_id {kind}, n_tokens long, known long, base double, rest array<long>, uid long, score double")
+    scored = own.mapInArrow(lean(_finish(mass, vocabulary, training_docs, order), 2000), f"doc_id {kind}, n_tokens long, known long, base double, rest array<long>, uid long, score double")
     scored = materialise(scored, "scored")
     del own
     _release(spark)

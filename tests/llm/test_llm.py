@@ -321,29 +321,38 @@ def test_lm_beats_its_base_on_held_out_texts(spark):
     assert rows[0] > rows[1]
 
 
-def brute_model(train, texts):
+def brute_model(train, texts, order=2):
     """Scores by exact dictionaries of quantised counts."""
     tokens = lambda t: [*(t or "").encode().lower().split(), None]
-    words = Counter(w for t in train for w in tokens(t))
-    pairs = Counter(p for t in train for p in zip(["start", *tokens(t)], tokens(t)))
+    grams = Counter()
+    for t in train:
+        w = ["start", *tokens(t)]
+        grams.update(tuple(w[max(0, i - n + 1) : i + 1]) for i in range(1, len(w)) for n in range(1, order + 1) if i - n + 1 >= 0)
+    words = {g: c for g, c in grams.items() if len(g) == 1}
     low, most = lambda c: float(lm.count_of(lm.level_of(np.array([c])))[0]), lambda c: float(lm.most_of(lm.level_of(np.array([c])))[0])
     mass = sum(map(low, words.values()))
     for t in texts:
-        total = 0.0
-        for v, w in zip(["start", *tokens(t)], tokens(t)):
-            uni = (low(words[w]) + 1) / (mass + len(words) + 1)
-            before = len(train) if v == "start" else most(words[v])
-            total += math.log10(lm.LAMBDA * min(1.0, low(pairs[v, w]) / before) + (1 - lm.LAMBDA) * uni if before else uni)
+        total, w = 0.0, ["start", *tokens(t)]
+        for i in range(1, len(w)):
+            p = (low(grams[(w[i],)]) + 1) / (mass + len(words) + 1)
+            for n in range(2, order + 1):
+                if i - n + 1 < 0:
+                    break
+                context = tuple(w[i - n + 1 : i])
+                before = len(train) if context == ("start",) else most(grams[context])
+                if before:
+                    p = lm.LAMBDA * min(1.0, low(grams[(*context, w[i])]) / before) + (1 - lm.LAMBDA) * p
+            total += math.log10(p)
         yield total
 
 
-def model_gap(spark, texts):
+def model_gap(spark, texts, order=2):
     """The largest difference a token between scores and brute force, and between the sums over all texts."""
     docs = spark.createDataFrame([(i, t, "en", "a", 0, 0, "k", 0) for i, t in enumerate(texts)], SCHEMA)
     train = docs.filter(~lm.held_out(F.col("doc_id")))
     kept = {r["doc_id"] for r in train.collect()}
-    got = {r["doc_id"]: (r["score"], r["n_tokens"]) for r in lm.score(docs, lm.count_ngrams(train), len(kept)).collect()}
-    want = list(brute_model([t for i, t in enumerate(texts) if i in kept], texts))
+    got = {r["doc_id"]: (r["score"], r["n_tokens"]) for r in lm.score(docs, lm.count_ngrams(train, order), len(kept), order).collect()}
+    want = list(brute_model([t for i, t in enumerate(texts) if i in kept], texts, order))
     gaps = [abs(got[i][0] - w) / got[i][1] for i, w in enumerate(want)]
     return max(gaps), abs(sum(got[i][0] for i in got) - sum(want)) / sum(n for _, n in got.values())
 
@@ -351,8 +360,10 @@ def model_gap(spark, texts):
 def test_lm_model_against_brute_force_when_entries_exceed_the_former_bound(spark, monkeypatch):
     monkeypatch.setattr(lm, "MAX_BITS", 1 << 12, raising=False)
     monkeypatch.setattr(lm, "BLOCK_TOKENS", 700)
-    most, mean = model_gap(spark, [*(" ".join(f"w{(i * k) % 41}" for k in range(1, 300)) for i in range(30)), "", prose(8, 900)])
-    assert most < 0.03 and mean < 0.01
+    texts = [*(" ".join(f"w{(i * k) % 41}" for k in range(1, 300)) for i in range(30)), "", prose(8, 900)]
+    for order in (1, 2, 3, 4):
+        most, mean = model_gap(spark, texts, order)
+        assert most < 0.03 and mean < 0.01
 
 
 def test_lm_scores_pairs_counted_once(spark):
