@@ -2,7 +2,8 @@
 
 Tokens are ASCII-lower-cased words between white space and one end per document. N-grams of 1 to ``ORDER`` neighbouring
 tokens are counted over all training documents: a task sorts and counts blocks of them by their 64-bit hashes and sends each
-block, cut by segment of the hash, as packed bytes through one shuffle. A count c is quantised to the
+block, cut by segment of the hash, as packed bytes through one shuffle. There an n-gram of two or more tokens is told by its
+segment (10 bits) and 40 more bits of its hash; n-grams that share all 50 pass for one, which is rarer than a false positive of the filter. A count c is quantised to the
 level 1 + floor(log c / log BASE), and the filter holds (n-gram, j) for each j up to its level; probing j = 1, 2, ...
 until one is missing gives the level back, which false positives can only raise. The filter is cut into
 ``SEGMENTS`` segments by hash. Each is as wide as its own entries need, without a bound, and is built by the task that sums
@@ -32,10 +33,14 @@ from pyspark.sql import functions as F
 
 from loam.llm.common import doc_fold, forget, lean, materialise, n_parts
 
-BASE, LAMBDA, ORDER = 1.5, 0.4, 2
+BASE, LAMBDA, ORDER = 1.5, 0.4, 3
 BITS_PER_ENTRY, PROBES, SEGMENTS = 12, 4, 1024
+#: Bits of the smallest segment, 256 KB in all: in fewer, a step has so few places that false positives outnumber the design's.
+LEAST_WIDTH = 2048
 TOP = 1 << 18
 BLOCK_TOKENS, CACHE = 1_000_000, 300_000
+#: The 10 bits of the segment and the lowest 40.
+KEY = np.uint64(((1 << 10) - 1) << 54 | (1 << 40) - 1)
 END, START = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557)
 
 
@@ -66,16 +71,27 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def gram_hashes(tokens: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndarray]:
-    """For n = 1 .. order, the hash of the n-gram that ends at each token; START before the first of each document."""
+    """For n = 1 .. order, the hash of the n-gram that ends at each token; a START of its length before the first of each document."""
     out = [tokens]
-    for _ in range(1, order):
+    for size in range(1, order):
         before = np.empty_like(tokens)
         before[1:] = out[-1][:-1]
-        before[starts] = START
+        before[starts] = START + np.uint64(size)
         out.append(_mix(before * np.uint64(0x9E3779B97F4A7C15) + tokens))
     return out
 
 
+def _pack(h: np.ndarray) -> bytes:
+    """The low 40 bits of each hash, by which a segment tells its n-grams."""
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _unpack(raw: bytes, segment: int) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel() | np.uint64(segment << 54)
+
+
 def level_of(counts: np.ndarray) -> np.ndarray:
     return np.where(counts > 0, 1 + np.floor(np.log(np.maximum(counts, 1)) / np.log(BASE) + 1e-9), 0).astype(np.int64)
 
@@ -102,7 +118,7 @@ class Filter:
         return (h >> np.uint64(54)).astype(np.int64)
 
     def places(self, h: np.ndarray, j) -> list[np.ndarray]:
-        a = _mix(h + np.uint64(0xA0761D6478BD642F) * np.asarray(j).astype(np.uint64))
+        a = _mix((h & KEY) + np.uint64(0xA0761D6478BD642F) * np.asarray(j).astype(np.uint64))
         b = (a >> np.uint64(33)) | np.uint64(1)
         return [((a + np.uint64(i) * b) & np.uint64(self.width - 1)).astype(np.int64) for i in range(PROBES)]
 
@@ -131,7 +147,7 @@ class Segment(Filter):
     @classmethod
     def of(cls, h: np.ndarray, level: np.ndarray) -> "Segment":
         """Holds n-grams, each up to its level."""
-        width = 64
+        width = LEAST_WIDTH
         while width < int(level.sum()) * BITS_PER_ENTRY:
             width *= 2
         out, on, j = cls(width, np.zeros(0, np.uint8)), np.zeros(width, bool), 1
@@ -154,15 +170,15 @@ def _summed(h: list[np.ndarray], c: list[np.ndarray]) -> tuple[np.ndarray, np.nd
 
 
 def _build(batches):
-    """(segment, words, h, c), by segment: each row a block's n-grams and counts, words first. Gives words with their counts, and the segments of the filter."""
+    """(segment, words, h, c), by segment: each row a block's n-grams and counts, words first, in full. Gives words with their counts, and the segments of the filter."""
     import pyarrow as pa
 
     names, at, rows = ["size", "h", "c", "bits"], None, []
 
     def done():
-        raw = [(n, np.frombuffer(h, np.uint64), np.frombuffer(c, np.uint32).astype(np.int64)) for n, h, c in rows]
-        word, word_c = _summed([h[:n] for n, h, _ in raw], [c[:n] for n, _, c in raw])
-        rest, rest_c = _summed([h[n:] for n, h, _ in raw], [c[n:] for n, _, c in raw])
+        counts = [np.frombuffer(c, np.uint32).astype(np.int64) for _, _, c in rows]
+        word, word_c = _summed([np.frombuffer(h, np.uint64, n) for n, h, _ in rows], [c[:n] for (n, _, _), c in zip(rows, counts)])
+        rest, rest_c = _summed([_unpack(h[8 * n :], at) for n, h, _ in rows], [c[n:] for (n, _, _), c in zip(rows, counts)])
         if len(word):
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(word), np.int8)), pa.array(word.view(np.int64)), pa.array(word_c), pa.nulls(len(word), pa.binary())], names=names)
         bits = Segment.of(np.concatenate([word, rest]), level_of(np.concatenate([word_c, rest_c]))).words.tobytes()
@@ -194,7 +210,8 @@ def count_ngrams(docs: DataFrame, order: int = ORDER) -> DataFrame:
             cuts = [_cuts(h) for h, _ in grams]
             for a in range(0, SEGMENTS, 128):
                 own = range(a, a + 128)
-                h, c = ([b"".join(g[i][k[s] : k[s + 1]].astype(t).tobytes() for g, k in zip(grams, cuts)) for s in own] for i, t in ((0, np.uint64), (1, np.uint32)))
+                h = [b"".join(_pack(g[k[s] : k[s + 1]]) if size else g[k[s] : k[s + 1]].tobytes() for size, ((g, _), k) in enumerate(zip(grams, cuts))) for s in own]
+                c = [b"".join(n[k[s] : k[s + 1]].astype(np.uint32).tobytes() for (_, n), k in zip(grams, cuts)) for s in own]
                 words = pa.array([int(cuts[0][s + 1] - cuts[0][s]) for s in own], pa.int32())
                 some = pa.array([bool(x) for x in h])
                 yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), words, pa.array(h, pa.binary()), pa.array(c, pa.binary())], names=["segment", "words", "h", "c"]).filter(some)
@@ -252,9 +269,9 @@ def _probe(batches):
             j = i
             while j < len(segments) and segments[j] == at:
                 j += 1
-            h = np.frombuffer(b"".join(data[i:j]), np.uint64)
+            h = _unpack(b"".join(data[i:j]), at)
             levels = (held.levels(h) if held else np.zeros(len(h))).astype(np.uint8)
-            ends = np.cumsum([len(d) // 8 for d in data[i:j]])
+            ends = np.cumsum([len(d) // 5 for d in data[i:j]])
             out += [(at, block, part.tobytes()) for block, part in zip(blocks[i:j], np.split(levels, ends[:-1]))]
             i = j
         if out:
@@ -262,13 +279,16 @@ def _probe(batches):
             yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(k, pa.int64()), pa.array(v, pa.binary())], names=["segment", "block", "levels"])
 
 
-def _unsigned(x: np.ndarray, n: int) -> np.ndarray:
+def _unsigned(x: np.ndarray, n: int) -> bytes:
     """Places among n in as few bytes as they need."""
-    return x.astype(np.uint16 if n <= 1 << 16 else np.uint32)
+    width = 2 if n <= 1 << 16 else 3 if n <= 1 << 24 else 4
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width]).tobytes()
 
 
 def _places(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32)
+    out, width = np.zeros((n, 4), np.uint8), len(raw) // n
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(n, width)
+    return out.view("<u4").ravel()
 
 
 def _blocks(batches, block):
@@ -307,7 +327,7 @@ def _ask(order: int):
         grams = [np.unique(g) for g in gram_hashes(tokens, starts, order)]
         cuts = [_cuts(g) for g in grams]
         filled = np.flatnonzero(sum(np.diff(k) for k in cuts))
-        data = [b"".join(g[k[s] : k[s + 1]].tobytes() for g, k in zip(grams, cuts)) for s in filled]
+        data = [b"".join(_pack(g[k[s] : k[s + 1]]) for g, k in zip(grams, cuts)) for s in filled]
         yield pa.RecordBatch.from_arrays([pa.array(filled.astype(np.int32)), pa.array(np.full(len(filled), uid, np.int64)), pa.array(data, pa.binary())], names=["segment", "block", "data"])
 
     return lambda batches: _blocks(batches, block)
@@ -322,6 +342,7 @@ def _finish(mass: float, vocabulary: int, training_docs: int, order: int):
         if [(s, len(v)) for s, v in parts] != [(s, split[:, s].sum()) for s in np.flatnonzero(split.sum(0))]:
             raise RuntimeError("the documents' partitions changed between two readings")
         ends = np.cumsum(split, 0)
+        place = np.arange(n) - np.repeat(starts, sizes)
         odds = context = None
         for size in range(order):
             level = np.concatenate([v[ends[size, s] - split[size, s] : ends[size, s]] for s, v in parts]).astype(np.int64)
@@ -333,7 +354,8 @@ def _finish(mass: float, vocabulary: int, training_docs: int, order: int):
                 odds = np.where(context > 0, LAMBDA * share + (1 - LAMBDA) * odds, odds)
             context = np.empty(n)
             context[1:] = most_of(level)[:-1]
-            context[starts] = training_docs if size == 0 else 0
+            context[starts] = training_docs
+            context[place < size] = 0  # the next longer n-gram would begin before the document
         return np.add.reduceat(np.log10(odds), starts)
 
     def run(batches):
@@ -404,7 +426,7 @@ def score(docs: DataFrame, counts: DataFrame, training_docs: int, order: int = O
             ends = np.concatenate([[0], np.cumsum(np.add.reduceat(rest.astype(np.int64), starts))]).astype(np.int32)
             grams = [(one, inverse), *(np.unique(g, return_inverse=True) for g in gram_hashes(tokens, starts, order)[1:])]
             splits = np.concatenate([np.diff(_cuts(g)) for g, _ in grams]).astype(np.int32)
-            places = [_unsigned(i, len(g)).tobytes() for g, i in grams]
+            places = [_unsigned(i, len(g)) for g, i in grams]
             lists = [ids, pa.array(sizes), pa.array(known), pa.array(np.add.reduceat(base, starts)), pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens[rest].view(np.int64)))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([uid]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([splits.tobytes()]), pa.array([places], pa.list_(pa.binary())), *(pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), x) for x in lists)],

@@ -369,9 +369,29 @@ def test_lm_model_against_brute_force_when_entries_exceed_the_former_bound(spark
 def test_lm_scores_pairs_counted_once(spark):
     train = spark.createDataFrame([(1, "a b c d e f g h", 0)], "doc_id long, text string, held int")
     follow, shuffled = (spark.createDataFrame([(7, t)], "doc_id long, text string") for t in ("a b c d e f g h", "h g f e d c b a"))
-    counts = lm.count_ngrams(train)
-    near, far = (lm.score(d, counts, 1).first()["score"] for d in (follow, shuffled))
-    assert near == pytest.approx(9 * math.log10(lm.LAMBDA + (1 - lm.LAMBDA) * 2 / 19)) and near > far + 2
+    pair = lm.LAMBDA + (1 - lm.LAMBDA) * 2 / 19
+    for order, want in ((2, 9 * math.log10(pair)), (3, math.log10(pair) + 8 * math.log10(lm.LAMBDA + (1 - lm.LAMBDA) * pair))):
+        counts = lm.count_ngrams(train, order)
+        near, far = (lm.score(d, counts, 1, order).first()["score"] for d in (follow, shuffled))
+        assert near == pytest.approx(want) and near > far + 2
+
+
+def test_lm_hashes_survive_packing():
+    rng = np.random.default_rng(3)
+    h = np.sort(rng.integers(0, (1 << 64) - 1, 1000, np.uint64))
+    segments = lm.Filter.segment(h)
+    for s in np.unique(segments).tolist():
+        own = h[segments == s]
+        assert (lm._unpack(lm._pack(own), s) == own & lm.KEY).all() and len(lm._pack(own)) == 5 * len(own)
+    for n in (1, 1 << 16, (1 << 16) + 1, 1 << 24, (1 << 24) + 1):
+        places = np.array([0, n // 2, n - 1])
+        assert (lm._places(lm._unsigned(places, n), 3) == places).all()
+
+
+def test_lm_reads_back_small_filters_exactly():
+    for n in (1, 20, 40):
+        h, level = lm.token_hashes(" ".join(f"a{i}" for i in range(n))), np.full(n + 1, 5)
+        assert (lm.Segment.of(h, level).levels(h) == level).all()
 
 
 def test_lm_segments_follow_their_entries():
