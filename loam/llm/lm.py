@@ -2,8 +2,8 @@
 
 Tokens are ASCII-lower-cased words between white space and one end per document. N-grams of 1 to ``ORDER`` neighbouring
 tokens are counted over all training documents: a task sorts and counts blocks of them by their 64-bit hashes and sends each
-block, cut by segment of the hash, as packed bytes through one shuffle. There an n-gram of two or more tokens is told by its
-segment (10 bits) and 40 more bits of its hash; n-grams that share all 50 pass for one, which is rarer than a false positive of the filter. A count c is quantised to the
+block, cut by segment of the hash, as packed bytes through one shuffle. There and in the filter an n-gram is told by the
+first 46 bits of its hash, 10 of them its segment; longer n-grams that share them pass for one, which is rarer than a false positive. A count c is quantised to the
 level 1 + floor(log c / log BASE), and the filter holds (n-gram, j) for each j up to its level; probing j = 1, 2, ...
 until one is missing gives the level back, which false positives can only raise. The filter is cut into
 ``SEGMENTS`` segments by hash. Each is as wide as its own entries need, without a bound, and is built by the task that sums
@@ -39,8 +39,8 @@ BITS_PER_ENTRY, PROBES, SEGMENTS = 12, 4, 1024
 LEAST_WIDTH = 2048
 TOP = 1 << 18
 BLOCK_TOKENS, CACHE = 1_000_000, 300_000
-#: The 10 bits of the segment and the lowest 40.
-KEY = np.uint64(((1 << 10) - 1) << 54 | (1 << 40) - 1)
+#: 10 bits of the segment and 36 more.
+KEY = ~np.uint64((1 << 18) - 1)
 END, START = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557)
 
 
@@ -82,14 +82,15 @@ def gram_hashes(tokens: np.ndarray, starts: np.ndarray, order: int) -> list[np.n
 
 
 def _pack(h: np.ndarray) -> bytes:
-    """The low 40 bits of each hash, by which a segment tells its n-grams."""
-    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+    """The 36 bits that tell a segment's sorted hashes: how many have each value of the first 4, then the other 32."""
+    v = h >> np.uint64(18)
+    return np.bincount((v >> np.uint64(32)).astype(np.int64) & 15, minlength=16).astype("<u4").tobytes() + v.astype("<u4").tobytes()
 
 
 def _unpack(raw: bytes, segment: int) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel() | np.uint64(segment << 54)
+    """Those hashes without the last 18 bits."""
+    first = np.repeat(np.arange(16, dtype=np.uint64), np.frombuffer(raw, "<u4", 16)) + np.uint64(segment << 4)
+    return (first << np.uint64(32) | np.frombuffer(raw, "<u4", offset=64)) << np.uint64(18)
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
@@ -206,14 +207,16 @@ def count_ngrams(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
         def flush():
             tokens, _, starts = _starts(held)
-            grams = [np.unique(g, return_counts=True) for g in gram_hashes(tokens, starts, order)]
-            cuts = [_cuts(h) for h, _ in grams]
+            grams = gram_hashes(tokens, starts, order)
+            (one, one_c), (more, more_c) = (np.unique(g, return_counts=True) for g in (tokens, np.concatenate([tokens[:0], *grams[1:]])))
+            one_at, more_at = _cuts(one), _cuts(more)
             for a in range(0, SEGMENTS, 128):
                 own = range(a, a + 128)
-                h = [b"".join(_pack(g[k[s] : k[s + 1]]) if size else g[k[s] : k[s + 1]].tobytes() for size, ((g, _), k) in enumerate(zip(grams, cuts))) for s in own]
-                c = [b"".join(n[k[s] : k[s + 1]].astype(np.uint32).tobytes() for (_, n), k in zip(grams, cuts)) for s in own]
-                words = pa.array([int(cuts[0][s + 1] - cuts[0][s]) for s in own], pa.int32())
-                some = pa.array([bool(x) for x in h])
+                parts = [(slice(one_at[s], one_at[s + 1]), slice(more_at[s], more_at[s + 1])) for s in own]
+                h = [one[a].tobytes() + _pack(more[b]) for a, b in parts]
+                c = [np.concatenate([one_c[a], more_c[b]]).astype(np.uint32).tobytes() for a, b in parts]
+                words = pa.array(np.diff(one_at[own.start : own.stop + 1]), pa.int32())
+                some = pa.array([bool(x) for x in c])
                 yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), words, pa.array(h, pa.binary()), pa.array(c, pa.binary())], names=["segment", "words", "h", "c"]).filter(some)
 
         for batch in batches:
@@ -269,9 +272,9 @@ def _probe(batches):
             j = i
             while j < len(segments) and segments[j] == at:
                 j += 1
-            h = _unpack(b"".join(data[i:j]), at)
+            h = np.concatenate([_unpack(d, at) for d in data[i:j]])
             levels = (held.levels(h) if held else np.zeros(len(h))).astype(np.uint8)
-            ends = np.cumsum([len(d) // 5 for d in data[i:j]])
+            ends = np.cumsum([len(d) // 4 - 16 for d in data[i:j]])
             out += [(at, block, part.tobytes()) for block, part in zip(blocks[i:j], np.split(levels, ends[:-1]))]
             i = j
         if out:
@@ -318,16 +321,16 @@ def _cuts(h: np.ndarray) -> np.ndarray:
 
 
 def _ask(order: int):
-    """(segment, block, data): a block's n-grams, each once, by segment, shorter ones first."""
+    """(segment, block, data): a block's n-grams, each once, by segment, sorted."""
 
     def block(uid, ids, texts):
         import pyarrow as pa
 
         tokens, _, starts = _starts(texts)
-        grams = [np.unique(g) for g in gram_hashes(tokens, starts, order)]
-        cuts = [_cuts(g) for g in grams]
-        filled = np.flatnonzero(sum(np.diff(k) for k in cuts))
-        data = [b"".join(_pack(g[k[s] : k[s + 1]]) for g, k in zip(grams, cuts)) for s in filled]
+        grams = np.unique(np.concatenate(gram_hashes(tokens, starts, order)))
+        cuts = _cuts(grams)
+        filled = np.flatnonzero(np.diff(cuts))
+        data = [_pack(grams[cuts[s] : cuts[s + 1]]) for s in filled]
         yield pa.RecordBatch.from_arrays([pa.array(filled.astype(np.int32)), pa.array(np.full(len(filled), uid, np.int64)), pa.array(data, pa.binary())], names=["segment", "block", "data"])
 
     return lambda batches: _blocks(batches, block)
@@ -338,15 +341,14 @@ def _finish(mass: float, vocabulary: int, training_docs: int, order: int):
 
     def scores(sizes, splits, places, parts):
         starts, n = np.cumsum(sizes) - sizes, int(sizes.sum())
-        split = np.frombuffer(splits, np.int32).reshape(order, -1)
-        if [(s, len(v)) for s, v in parts] != [(s, split[:, s].sum()) for s in np.flatnonzero(split.sum(0))]:
+        split = np.frombuffer(splits, np.int32)
+        if [(s, len(v)) for s, v in parts] != [(s, split[s]) for s in np.flatnonzero(split)]:
             raise RuntimeError("the documents' partitions changed between two readings")
-        ends = np.cumsum(split, 0)
+        levels = np.concatenate([v for _, v in parts]).astype(np.int64)
         place = np.arange(n) - np.repeat(starts, sizes)
         odds = context = None
         for size in range(order):
-            level = np.concatenate([v[ends[size, s] - split[size, s] : ends[size, s]] for s, v in parts]).astype(np.int64)
-            level = level[_places(places[size], n)]
+            level = levels[_places(places[size], n)]
             if size == 0:
                 odds = (count_of(level) + 1) / (mass + vocabulary + 1)
             else:
@@ -424,9 +426,9 @@ def score(docs: DataFrame, counts: DataFrame, training_docs: int, order: int = O
             known = np.add.reduceat(found[inverse].astype(np.int64), starts)
             rest = ~(found[inverse] | whole)
             ends = np.concatenate([[0], np.cumsum(np.add.reduceat(rest.astype(np.int64), starts))]).astype(np.int32)
-            grams = [(one, inverse), *(np.unique(g, return_inverse=True) for g in gram_hashes(tokens, starts, order)[1:])]
-            splits = np.concatenate([np.diff(_cuts(g)) for g, _ in grams]).astype(np.int32)
-            places = [_unsigned(i, len(g)) for g, i in grams]
+            grams, at = np.unique(np.concatenate(gram_hashes(tokens, starts, order)), return_inverse=True)
+            splits = np.diff(_cuts(grams)).astype(np.int32)
+            places = [_unsigned(x, len(grams)) for x in np.split(at, order)]
             lists = [ids, pa.array(sizes), pa.array(known), pa.array(np.add.reduceat(base, starts)), pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens[rest].view(np.int64)))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([uid]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([splits.tobytes()]), pa.array([places], pa.list_(pa.binary())), *(pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), x) for x in lists)],
