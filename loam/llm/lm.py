@@ -327,7 +327,8 @@ def _ask(order: int):
         import pyarrow as pa
 
         tokens, _, starts = _starts(texts)
-        grams = np.unique(np.concatenate(gram_hashes(tokens, starts, order)))
+        grams = np.sort(np.concatenate(gram_hashes(tokens, starts, order)))  # np.unique alone would hash, and take 30 times as long
+        grams = grams[np.concatenate([[True], grams[1:] != grams[:-1]])]
         cuts = _cuts(grams)
         filled = np.flatnonzero(np.diff(cuts))
         data = [_pack(grams[cuts[s] : cuts[s + 1]]) for s in filled]
