@@ -102,10 +102,10 @@ def context_stats(spark, d):
     return hits(spark, d, 8).join(docs, "id").groupBy("qid").agg(F.count("*").alias("n"), F.sum(c("n").cast("long")).alias("chars"), F.count_distinct("source").alias("sources")).select("qid", "n", "chars", "sources")
 
 
-@query("context_format", f"WITH {BM25} SELECT qid::BIGINT AS qid, string_agg('[' || rank || '] ' || source || ': ' || substr(text, 1, 80), chr(10) ORDER BY rank) AS context FROM b JOIN documents ON doc_id = id WHERE rank <= 4 GROUP BY qid")
+@query("context_format", f"WITH {BM25} SELECT qid::BIGINT AS qid, string_agg('[' || rank || '] ' || source || ': ' || text, chr(10) ORDER BY rank) AS context FROM b JOIN documents ON doc_id = id WHERE rank <= 4 GROUP BY qid")
 def context_format(spark, d):
     docs = T(spark, d, "documents").select(c("doc_id").alias("id"), "source", "text")
-    line = F.concat(F.lit("["), c("rank"), F.lit("] "), "source", F.lit(": "), F.substring("text", 1, 80))
+    line = F.concat(F.lit("["), c("rank"), F.lit("] "), "source", F.lit(": "), "text")
     rows = hits(spark, d, 4).join(docs, "id").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("t")))).alias("x"))
     return rows.select("qid", F.array_join(F.transform("x", lambda r: r["t"]), "\n").alias("context"))
 

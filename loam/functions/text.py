@@ -43,7 +43,7 @@ def keep_case(model: Column, text: Column) -> Column:
     """``text`` in the case of ``model``: capitals, first capital or lower."""
     return (
         F.when((F.upper(model) == model) & (F.lower(model) != model), F.upper(text))
-        .when(F.substring(model, 1, 1) == F.upper(F.substring(model, 1, 1)), F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 1 << 20)))
+        .when(F.substring(model, 1, 1) == F.upper(F.substring(model, 1, 1)), F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, F.lit(2), F.length(text))))
         .otherwise(F.lower(text))
     )
 
@@ -73,9 +73,9 @@ def clean_page(text: Column) -> Column:
 
 
 def roman(text: Column, lenient: bool = False) -> Column:
-    """Roman numeral to int; strict: null on another letter; lenient: runs of 1 count as I, others as 0."""
+    """Roman numeral to int; strict: null on another letter; lenient: a numeral of nothing but 1 counts them as I, other letters are 0."""
     raw = F.upper(F.trim(text))
-    raw = F.regexp_replace(raw, "1", "I") if lenient else raw
+    raw = F.when(raw.rlike("^1+$"), F.translate(raw, "1", "I")).otherwise(raw) if lenient else raw
     value = F.create_map(*[F.lit(x) for p in (("I", 1), ("V", 5), ("X", 10), ("L", 50), ("C", 100), ("D", 500), ("M", 1000)) for x in p])
     digits = F.reverse(F.filter(F.split(raw, ""), lambda c: c != ""))
     step = lambda acc, c: F.struct(
@@ -87,8 +87,9 @@ def roman(text: Column, lenient: bool = False) -> Column:
 
 
 def heading_level(text: Column) -> Column:
+    """1 if all letters are capitals, else 2, as without any letter."""
     letters = F.regexp_replace(text, r"[^\p{L}]", "")
-    return F.when(F.upper(letters) == letters, 1).otherwise(2)
+    return F.when((F.upper(letters) == letters) & (letters != ""), 1).otherwise(2)
 
 
 def split_glued(text: Column) -> Column:

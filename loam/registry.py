@@ -449,9 +449,9 @@ def parse_mcq(spark, d):
     return structure.parse_mcq(values(spark, [("e", text)], "exam string, text string"))
 
 
-@query("roman", literal([("II", 2, 2), ("XLIX", 49, 49), ("11", -1, 2), ("111", -1, 3), ("IIA", -1, 2)], ["numeral", "strict", "lenient"], {"strict": "INT", "lenient": "INT"}))
+@query("roman", literal([("II", 2, 2), ("XLIX", 49, 49), ("11", -1, 2), ("111", -1, 3), ("IIA", -1, 2), ("I1", -1, 1)], ["numeral", "strict", "lenient"], {"strict": "INT", "lenient": "INT"}))
 def roman(spark, d):
-    return values(spark, [(x,) for x in ("II", "XLIX", "11", "111", "IIA")], "numeral string").select("numeral", F.coalesce(tx.roman(F.col("numeral")), F.lit(-1)).alias("strict"), tx.roman(F.col("numeral"), True).alias("lenient"))
+    return values(spark, [(x,) for x in ("II", "XLIX", "11", "111", "IIA", "I1")], "numeral string").select("numeral", F.coalesce(tx.roman(F.col("numeral")), F.lit(-1)).alias("strict"), tx.roman(F.col("numeral"), True).alias("lenient"))
 
 
 @query("fix_text", literal([(1, "isoflurano"), (2, "ISOFLURANO"), (3, "desflurano"), (4, "insuficiencia"), (5, "Intubação"), (6, "atlas"), (7, "recuperação")], ["id", "fixed"], {"id": "INT"}))

@@ -34,7 +34,7 @@ def content_tokens(spark, d):
     return T(spark, d, "documents").select("doc_id", F.size(tx.content_tokens(c("text"))).cast("long").alias("n_tokens"))
 
 
-@query("heading_level", f"WITH {SQL_LINES}, v AS (SELECT doc_id, regexp_replace(line, '[^\\p{{L}}]', '', 'g') AS letters FROM l WHERE trim(line) <> '') SELECT doc_id, count(*) FILTER (WHERE upper(letters) = letters) AS level1, count(*) FILTER (WHERE upper(letters) <> letters) AS level2 FROM v GROUP BY doc_id")
+@query("heading_level", f"WITH {SQL_LINES}, v AS (SELECT doc_id, regexp_replace(line, '[^\\p{{L}}]', '', 'g') AS letters FROM l WHERE trim(line) <> '') SELECT doc_id, count(*) FILTER (WHERE letters <> '' AND upper(letters) = letters) AS level1, count(*) FILTER (WHERE letters = '' OR upper(letters) <> letters) AS level2 FROM v GROUP BY doc_id")
 def heading_level(spark, d):
     level = tx.heading_level(c("line"))
     return doc_lines(spark, d).filter(F.trim("line") != "").groupBy(c("id").alias("doc_id")).agg(F.count_if(level == 1).alias("level1"), F.count_if(level == 2).alias("level2"))
