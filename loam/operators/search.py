@@ -21,8 +21,8 @@ def ranked_top(scored: DataFrame, k: int, by: str = "qid") -> DataFrame:
 def dense_topk(base: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """Exact inner products of queries (qid, vector[, tag]) with rows (id, vector[, tag]); tags, if any, must agree.
 
-    One scan of the rows for each block of queries; a batch of rows is one matrix product and gives at most
-    k rows a query.
+    One scan of the rows for each block of queries; a batch of rows is one matrix product, and a task keeps and
+    gives at most k rows a query.
     """
     tagged = "tag" in queries.columns
     n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
@@ -37,6 +37,7 @@ def dense_topk(base: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         def scan(batches, q=q, qid=qid, qtag=qtag):
             import pandas as pd
 
+            held = None
             for pdf in batches:
                 if not len(pdf):
                     continue
@@ -44,12 +45,16 @@ def dense_topk(base: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
                 ids = pdf["id"].to_numpy()
                 if qtag is not None:
                     score[qtag[:, None] != pdf["tag"].to_numpy()[None]] = -np.inf
-                for i in range(len(q)):
-                    s = score[i]
-                    near = np.flatnonzero(s >= np.partition(s, -k)[-k]) if len(s) > k else np.arange(len(s))
-                    near = near[np.lexsort((ids[near], -s[near]))][:k]
-                    near = near[np.isfinite(s[near])]
-                    yield pd.DataFrame({"qid": qid[i], "id": ids[near], "score": s[near]})
+                if score.shape[1] > k:
+                    near = (score >= np.partition(score, -k, axis=1)[:, -k, None]) & np.isfinite(score)
+                else:
+                    near = np.isfinite(score)
+                at, row = np.nonzero(near)
+                new = pd.DataFrame({"qid": qid[at], "id": ids[row], "score": score[at, row]})
+                held = new if held is None else pd.concat([held, new])
+                held = held.sort_values(["qid", "score", "id"], ascending=[True, False, True]).groupby("qid").head(k)
+            if held is not None:
+                yield held
 
         got = base.mapInPandas(scan, "qid long, id long, score double")
         found = got if found is None else found.union(got)
@@ -61,16 +66,19 @@ def dense_topk(base: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 20, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """Okapi scores of docs (id, text) for queries (qid, text); only positive ones, repeated query words count again."""
     words = docs.select("id", tokens(F.col("text")).alias("w"))
-    sizes = words.select("id", F.size("w").alias("dl"))
-    total = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    n, avgdl = float(total["n"]), float(total["avgdl"] or 1)
-    df = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.select("term", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf0"))
-    mean = idf.agg(F.avg("idf0").alias("mean")).first()["mean"] or 0.0
+    # The first pass over the texts gives three numbers; a document's size is added where its first distinct word is counted.
+    n = float(docs.count())
+    first = F.coalesce(F.col("pos"), F.lit(0)) == 0
+    df = words.select(F.size("w").alias("dl"), F.posexplode_outer(F.array_distinct("w")).alias("pos", "term")).groupBy("term")
+    df = df.agg(F.count("*").alias("df"), F.sum(F.when(first, F.col("dl"))).alias("size"), F.count(F.when(first, F.col("dl"))).alias("sized"))
+    idf0 = F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    whole = df.agg(F.avg(F.when(F.col("term").isNotNull(), idf0)).alias("mean"), (F.sum("size") / F.nullif(F.sum("sized"), F.lit(0))).alias("avgdl")).first()
+    mean, avgdl = whole["mean"] or 0.0, whole["avgdl"] or 1.0
     asked = queries.select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
     terms = asked.select("term").distinct()
-    weight = idf.join(terms, "term").select("term", F.when(F.col("idf0") < 0, epsilon * mean).otherwise(F.col("idf0")).alias("idf"))
+    # The second keeps the queries' words; how many documents hold each is counted on what is kept.
     tf = words.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(terms, "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"), F.min("dl").alias("dl"))
+    weight = tf.groupBy("term").agg(F.count("*").alias("df")).select("term", F.when(idf0 < 0, epsilon * mean).otherwise(idf0).alias("idf"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
     scored = tf.join(weight, "term").join(asked, "term").groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
     return ranked_top(scored.filter("score > 0"), k).select("qid", "id", "rank", "score")
