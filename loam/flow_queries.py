@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loam.plans import flow
-from loam.registry import SEARCHES, TOKENS, T, literal, query, values
+from loam.registry import SEARCHES, TOKENS, T, folded, literal, query, values
 
 c = F.col
 
@@ -24,17 +24,39 @@ def sql_bm25(p: str, docs: str, asked: str) -> str:
 {p}b AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM {p}sc WHERE score > 0)"""
 
 
+def sql_dense(p: str, docs: str, asked: str) -> str:
+    """The same by vectors: how often words begin with each letter, at length 1."""
+    sides = [(f"{p}d", "id", docs), (f"{p}a", "qid", asked)]
+    sides = [f"""{x}0 AS (SELECT {key}, substr(term, 1, 1) AS b, count(*)::DOUBLE AS x FROM (SELECT {key}, unnest({TOKENS}) AS term FROM {rows}) WHERE substr(term, 1, 1) BETWEEN 'a' AND 'z' AND ascii(term) BETWEEN 97 AND 122 GROUP BY ALL),
+{x} AS (SELECT {key}, b, x / sqrt(sum(x * x) OVER (PARTITION BY {key})) AS x FROM {x}0)""" for x, key, rows in sides]
+    return f"""{', '.join(sides)}, {p}b AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (SELECT qid, id, round(sum(d.x * a.x), 6) AS score FROM {p}d d JOIN {p}a a USING (b) GROUP BY qid, id) WHERE score > 0)"""
+
+
+def sql_hybrid(p: str, docs: str, asked: str, k: int) -> str:
+    return f"""{sql_bm25(p + 't', docs, asked)}, {sql_dense(p + 'v', docs, asked)}, {p}u AS (SELECT * FROM {p}tb WHERE rank <= {k} UNION ALL SELECT * FROM {p}vb WHERE rank <= {k}),
+{p}b AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM {p}u GROUP BY qid, id) QUALIFY rank <= {k})"""
+
+
+#: Stand-ins: a model that rewords, and how much of a question its context must hold to be on its topic, or to suffice.
+WORDS, ON_TOPIC, SUFFICES = {"und": "and", "que": "that", "les": "the"}, 0.8, 0.9
+FORMULAS = [(1, "Média", "the that", "a + b", "of"), (2, "Soma", "una", "a - b", "dans")]
+
 _ASKED = ", ".join("({}, '{}')".format(i, t.replace("\n", "' || chr(10) || '")) for i, t in QUESTIONS)
+_REWORDED = "text"
+for _old, _new in WORDS.items():
+    _REWORDED = f"regexp_replace({_REWORDED}, '\\b{_old}\\b', '{_new}', 'g')"
 _BASE = f"""WITH asked AS (SELECT qid::BIGINT AS qid, text, text LIKE '%estatuto%' AS norm FROM (VALUES {_ASKED}) v(qid, text)),
 focused AS (SELECT qid, CASE WHEN contains(text, 'Assertiva:') THEN trim(string_split(text, 'Assertiva:')[2]) ELSE text END AS text, norm FROM asked),
-dd AS (SELECT doc_id AS id, text, CASE WHEN lang = 'en' THEN 'book' ELSE 'norms' END AS source FROM documents),
+reworded AS (SELECT qid, {_REWORDED} AS text, norm FROM asked),
+dd AS (SELECT doc_id AS id, text, CASE WHEN lang = 'en' THEN 'book' ELSE 'norms' END AS source, doc_id - doc_id % 3 AS parent FROM documents),
 book AS (SELECT id, text FROM dd WHERE source = 'book'), norms AS (SELECT id, text FROM dd WHERE source = 'norms'), """
 
 
 def _end(sketch: list[str]) -> str:
-    """The answers, given ``picked`` (qid, id)."""
-    return f"""SELECT qid, coalesce(n, 0) AS n_context, CASE WHEN (length(text) + coalesce(chars + n + 1, 0)) % 2 = 1 THEN 'V' ELSE 'F' END AS answer, '{'>'.join(sketch)}' AS trace
-FROM asked LEFT JOIN (SELECT qid, count(*) AS n, sum(length(dd.text)) AS chars FROM picked JOIN dd USING (id) GROUP BY qid) USING (qid)"""
+    """The answers, given ``picked`` (qid, id) and, in some flows, ``support`` (qid, chars, to be added to the prompt's)."""
+    support = " LEFT JOIN support USING (qid)" if "formula" in sketch else ""
+    return f"""SELECT qid, coalesce(n, 0) AS n_context, CASE WHEN (length(text) + coalesce(chars + n + 1, 0){' + coalesce(added, 0)' if support else ''}) % 2 = 1 THEN 'V' ELSE 'F' END AS answer, '{'>'.join(sketch)}' AS trace
+FROM asked LEFT JOIN (SELECT qid, count(*) AS n, sum(length(dd.text)) AS chars FROM picked JOIN dd USING (id) GROUP BY qid) USING (qid){support}"""
 
 
 def _overlap(question: str, text: str) -> str:
@@ -42,15 +64,9 @@ def _overlap(question: str, text: str) -> str:
     return f"round(len(list_intersect({q}, {t})) / greatest(len({q}), 1), 6)"
 
 
-def _rerank(source: str) -> str:
-    return f"""rr AS (SELECT c.qid, c.id, c.source, {_overlap('a.text', 'dd.text')} AS score FROM {source} c JOIN asked a USING (qid) JOIN dd USING (id)),
-top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM rr QUALIFY rank <= 8)"""
-
-
-_ALL = sql_bm25("g", "dd", "asked")
-_SIDES = sql_bm25("k", "book", "ASKED") + ", " + sql_bm25("m", "norms", "ASKED")
-_QUOTA = _SIDES + """, quota AS (SELECT qid, id, rank, 'norms' AS source FROM mb JOIN asked USING (qid) WHERE norm AND rank <= 10
-UNION ALL SELECT qid, id, rank, 'book' FROM kb JOIN asked USING (qid) WHERE rank <= CASE WHEN norm THEN 10 ELSE 20 END)"""
+def _rerank(p: str, source: str, asked: str = "asked") -> str:
+    return f"""{p}r AS (SELECT c.qid, c.id, c.source, {_overlap('a.text', 'dd.text')} AS score FROM {source} c JOIN {asked} a USING (qid) JOIN dd USING (id)),
+{p} AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM {p}r QUALIFY rank <= 8)"""
 
 
 def _turns(ranked: str) -> str:
@@ -58,33 +74,68 @@ def _turns(ranked: str) -> str:
 picked AS (SELECT qid, id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY turn, source DESC, id) AS slot FROM turned) WHERE slot <= 8)"""
 
 
-_FIRST8 = f"{_ALL}, picked AS (SELECT qid, id FROM gb WHERE rank <= 8)"
-_RERANKED = f"{_ALL}, found AS (SELECT qid, id, 'all' AS source FROM gb WHERE rank <= 20), {_rerank('found')}, picked AS (SELECT qid, id FROM top)"
-_ROUTED = _SIDES.replace("ASKED", "asked") + ", picked AS (SELECT qid, id FROM kb JOIN asked USING (qid) WHERE NOT norm AND rank <= 8 UNION ALL SELECT qid, id FROM mb JOIN asked USING (qid) WHERE norm AND rank <= 8)"
-_QUOTED = f"{_QUOTA.replace('ASKED', 'asked')}, {_turns('quota')}"
-_WALK = f"""{_ALL}, deep AS (SELECT gb.*, source FROM gb JOIN dd USING (id) WHERE rank <= 16), home AS (SELECT qid, source AS home FROM deep WHERE rank = 1),
-read AS (SELECT qid, string_agg(text, chr(10)) AS context FROM deep JOIN dd USING (id) WHERE rank <= 4 GROUP BY qid),
-short AS (SELECT qid FROM asked a LEFT JOIN read USING (qid) WHERE context IS NULL OR {_overlap('a.text', 'context')} < 0.5),
-picked AS (SELECT qid, id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS slot FROM deep LEFT JOIN home USING (qid) WHERE rank <= 4 OR (qid IN (SELECT qid FROM short) AND source = home)) WHERE slot <= 8)"""
-# A gate with a low bar keeps all of BM25's contexts, and a question reformulated by the stand-in has the same words.
+def _gated(least: float, picked: str, name: str) -> str:
+    """Of ``picked``, the rows of questions whose whole context holds this share of their words."""
+    return f"""{name}c AS (SELECT qid, string_agg(dd.text, chr(10)) AS context FROM {picked} JOIN dd USING (id) GROUP BY qid),
+{name}q AS (SELECT qid FROM {name}c JOIN asked a USING (qid) WHERE {_overlap('a.text', 'context')} >= {least}), {name} AS (SELECT qid, id FROM {picked} WHERE qid IN (SELECT qid FROM {name}q))"""
+
+
+def _parents(chosen: str, name: str) -> str:
+    return f"{name} AS (SELECT DISTINCT qid, parent AS id FROM {chosen} JOIN dd USING (id))"
+
+
+def _quota(asked: str) -> str:
+    return f"""{sql_dense('k', 'book', asked)}, {sql_dense('m', 'norms', asked)}, quota AS (SELECT qid, id, rank, 'norms' AS source FROM mb JOIN asked USING (qid) WHERE norm AND rank <= 10
+UNION ALL SELECT qid, id, rank, 'book' FROM kb JOIN asked USING (qid) WHERE rank <= CASE WHEN norm THEN 10 ELSE 20 END)"""
+
+
+def _reranked(asked: str, name: str) -> str:
+    """Hybrid search, the best by the scorer, and their parents."""
+    return f"{sql_hybrid('h', 'dd', asked, 20)}, found AS (SELECT qid, id, 'all' AS source FROM hb), {_rerank('top', 'found', asked)}, {_parents('top', name)}"
+
+
+_FIRST8 = f"{sql_dense('g', 'dd', 'ASKED')}, NAME AS (SELECT qid, id FROM gb WHERE rank <= 8)"
+_ROUTED = f"""{sql_dense('k', 'book', 'asked')}, {sql_dense('m', 'norms', 'asked')}, picked AS (SELECT qid, id FROM kb JOIN asked USING (qid) WHERE NOT norm AND rank <= 8 UNION ALL SELECT qid, id FROM mb JOIN asked USING (qid) WHERE norm AND rank <= 8)"""
+_WALK = f"""{sql_bm25('g', 'dd', 'asked')}, deep AS (SELECT gb.*, source, text, first_value(source) OVER (PARTITION BY qid ORDER BY rank) AS home FROM gb JOIN dd USING (id) WHERE rank <= 16),
+walk AS (SELECT *, CASE WHEN rank <= 4 THEN 1 WHEN source = home THEN ceil(rank / 4.0) END AS round FROM deep), kept AS (SELECT * FROM walk WHERE round IS NOT NULL QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rank) <= 8),
+read AS (SELECT qid, r, string_agg(text, chr(10)) AS context FROM kept JOIN range(1, 4) t(r) ON round <= r GROUP BY qid, r),
+stop AS (SELECT qid, coalesce(min(r) FILTER (WHERE {_overlap('a.text', 'context')} >= {SUFFICES}), 4) AS stop FROM read JOIN asked a USING (qid) GROUP BY qid), picked AS (SELECT qid, id FROM kept JOIN stop USING (qid) WHERE round <= stop)"""
+_FORMULAS = """f AS (SELECT * FROM (VALUES (1, 'media', 3, 12), (1, 'that', 3, 12), (2, 'soma', 3, 11), (2, 'una', 3, 11), (2, 'dans', 1, 11)) v(fid, term, points, chars)),
+support AS (SELECT qid, sum(chars) + 2 * count(*) AS added FROM (SELECT DISTINCT qid, fid, chars FROM asked JOIN f ON contains(' ' || """ + folded("text") + """ || ' ', ' ' || term || ' ')) GROUP BY qid)"""
 SQL = {
-    "v0": "picked AS (SELECT 0 AS qid, 0 AS id WHERE false)", "v1": _FIRST8, "v2": _RERANKED, "v3": _RERANKED, "v5": _RERANKED, "v6": _FIRST8, "v7": _FIRST8, "v8": _ROUTED, "v10": _QUOTED,
-    "v11": f"{_QUOTA.replace('ASKED', 'asked')}, {_rerank('quota')}, {_turns('top')}", "v12": _QUOTED, "v13": f"{_QUOTA.replace('ASKED', 'focused')}, {_turns('quota')}", "v14": _WALK,
-    "v15": f"{sql_bm25('k', 'book', 'asked')}, picked AS (SELECT qid, id FROM kb WHERE rank <= 8)", "v16": _WALK,
+    "v0": "picked AS (SELECT 0 AS qid, 0 AS id WHERE false)",
+    "v1": _FIRST8.replace("ASKED", "asked").replace("NAME", "picked"),
+    "v2": _reranked("asked", "picked"),
+    "v3": _reranked("reworded", "picked"),
+    "v4": f"""{_reranked('reworded', 'once')}, {_gated(SUFFICES, 'once', 'enough')}, {sql_hybrid('z', 'dd', 'asked', 40)}, deeper AS (SELECT qid, id, 'all' AS source FROM zb WHERE qid NOT IN (SELECT qid FROM enough)),
+{_rerank('best', 'deeper')}, {_parents('best', 'twice')}, picked AS (SELECT * FROM enough UNION ALL SELECT * FROM twice)""",
+    "v5": f"{_reranked('asked', 'once')}, {_gated(ON_TOPIC, 'once', 'picked')}",
+    "v6": f"{_FIRST8.replace('ASKED', 'asked').replace('NAME', 'once')}, {_gated(ON_TOPIC, 'once', 'picked')}",
+    "v7": f"{_FIRST8.replace('ASKED', 'reworded').replace('NAME', 'once')}, {_gated(ON_TOPIC, 'once', 'picked')}",
+    "v8": _ROUTED,
+    "v9": f"{_ROUTED}, {_FORMULAS}",
+    "v10": f"{_quota('asked')}, {_turns('quota')}",
+    "v11": f"{_quota('asked')}, {_rerank('top', 'quota')}, {_turns('top')}",
+    "v12": f"{_quota('asked')}, {_turns('quota').replace('picked AS', 'once AS')}, {_parents('once', 'picked')}",
+    "v13": f"{_quota('focused')}, {_turns('quota')}",
+    "v14": _WALK,
+    "v15": f"{sql_dense('k', 'book', 'reworded')}, picked AS (SELECT qid, id FROM kb WHERE rank <= 8)",
+    "v16": _WALK,
 }
 
 
 def _variant(name: str):
     def run(spark, d):
-        docs = T(spark, d, "documents").select(c("doc_id").alias("id"), "text", F.when(c("lang") == "en", "book").otherwise("norms").alias("source"))
-        formulas = values(spark, [(1, "Média", "the that", "a + b", "of"), (2, "Soma", "una", "a - b", "dans")], "id long, name string, synonyms string, expression string, notes string")
-        return flow.run_flow(values(spark, QUESTIONS, "qid long, text string"), docs, flow.VARIANTS[name], flow.Options(formulas=formulas))
+        docs = T(spark, d, "documents").select(c("doc_id").alias("id"), "text", F.when(c("lang") == "en", "book").otherwise("norms").alias("source"), (c("doc_id") - c("doc_id") % 3).alias("parent"))
+        formulas = values(spark, FORMULAS, "id long, name string, synonyms string, expression string, notes string")
+        options = flow.Options(searcher=flow.SEARCHER[name], reword=flow.glossary(WORDS), on_topic=flow.covers(ON_TOPIC), suffices=flow.covers(SUFFICES), formulas=formulas)
+        return flow.run_flow(values(spark, QUESTIONS, "qid long, text string"), docs, flow.VARIANTS[name], options)
 
     return run
 
 
 for _name, _stages in flow.VARIANTS.items():
-    query(f"flow_{_name}", _BASE + SQL[_name] + " " + _end(_stages) if _name in SQL else None)(_variant(_name))
+    query(f"flow_{_name}", _BASE + SQL[_name] + " " + _end(_stages))(_variant(_name))
 
 
 # The rules on sketches.

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loam.functions import rules
 from loam.functions.text import focus_query, tokens
-from loam.operators.search import bm25_topk, formula_search, ranked_top
+from loam.operators.search import bm25_topk, dense_topk, formula_search, ranked_top, rrf_fuse
 
 # The stage names, in their canonical order.
 STAGES = ["reformulate", "route", "focus", "search", "quota", "navigate", "rerank", "expand_parent", "child_context", "interleave", "formula", "gate", "critique", "respond"]
@@ -84,6 +84,46 @@ def overlap(query, text):
     return F.round(F.size(F.array_intersect(q, tokens(text))) / F.greatest(F.size(q), F.lit(1)), 6)
 
 
+def _bound(value, body: Callable):
+    """body(value), with the value worked out once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def first_letters(text):
+    """A deterministic stand-in for an embedding model: how often words begin with each letter from a to z, at length 1."""
+    initials = F.array_join(F.transform(tokens(F.coalesce(text, F.lit(""))), lambda t: F.substring(t, 1, 1)), "")
+    counts = _bound(initials, lambda s: F.array(*[(F.length(s) - F.length(F.replace(s, F.lit(chr(97 + i))))).cast("double") for i in range(26)]))
+    norm = lambda v: F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), F.lit(1e-9))
+    return _bound(counts, lambda v: _bound(norm(v), lambda n: F.transform(v, lambda x: x / n)))
+
+
+def dense_search(embed: Callable = first_letters) -> Callable:
+    """A searcher by embedded texts: exact inner products above 0."""
+    side = lambda df, key: df.select(key, embed(F.col("text")).alias("vector"))
+    return lambda docs, queries, k: dense_topk(side(docs, "id"), side(queries, "qid"), k).filter("score > 0")
+
+
+def hybrid_search(embed: Callable = first_letters) -> Callable:
+    """A searcher that fuses the ranks of a dense one and of BM25, each as deep as what is asked for."""
+    dense = dense_search(embed)
+    return lambda docs, queries, k: rrf_fuse([bm25_topk(docs, queries, k), dense(docs, queries, k)], k)
+
+
+#: How the variants search: by vectors, but for those that fuse vectors with words, and the walks, which look words up.
+SEARCHER = {**dict.fromkeys(VARIANTS, dense_search()), **dict.fromkeys(("v2", "v3", "v4", "v5"), hybrid_search()), **dict.fromkeys(("v14", "v16"), bm25_topk)}
+
+
+def glossary(words: dict[str, str]) -> Callable:
+    """A stand-in for a model that rewords or translates: whole words are exchanged, one after the other."""
+
+    def reword(query):
+        for old, new in words.items():
+            query = F.regexp_replace(query, rf"\b{old}\b", new)
+        return query
+
+    return reword
+
+
 def covers(least: float) -> Callable:
     """A stand-in for a judge: whether the context holds at least this share of the question's words."""
     return lambda question, context: overlap(question, context) >= least
@@ -99,6 +139,7 @@ class Options:
     client: Callable[[str], str] = stub_client
     searcher: Callable = bm25_topk
     scorer: Callable = overlap
+    reword: Callable = lambda query: query
     on_topic: Callable = field(default_factory=lambda: covers(0.01))
     suffices: Callable = field(default_factory=lambda: covers(0.5))
     formulas: DataFrame | None = None
@@ -129,7 +170,7 @@ def _of(s: State, source: str) -> DataFrame:
 
 
 def _reformulate(s: State, o: Options) -> State:
-    short = F.substring(F.trim(F.regexp_replace("query", r"\s+", " ")), 1, 400)
+    short = F.substring(F.trim(F.regexp_replace(o.reword(F.col("query")), r"\s+", " ")), 1, 400)
     return replace(s, asked=s.asked.withColumn("query", F.when(short != "", short).otherwise(F.col("text"))))
 
 
@@ -214,25 +255,30 @@ def _critique(s: State, o: Options) -> State:
     """Questions whose context doesn't suffice are searched once more, with the question as it was put and twice the depth."""
     verdict = _judged(s, o.suffices)
     enough, short = (verdict.filter(x).select("qid") for x in ("yes", "not yes"))
-    again = replace(s, asked=s.asked.join(short, "qid", "left_semi").withColumn("query", F.col("text")), ranked=None, context=None)
-    again = _expand_parent(_rerank(_search(again, replace(o, k_search=2 * o.k_search)), o), o)
+    # All are searched again and only the short ones kept: a searcher that reads its queries first need not run what came before.
+    again = replace(s, asked=s.asked.withColumn("query", F.col("text")), ranked=None, context=None)
+    again = _search(again, replace(o, k_search=2 * o.k_search))
+    again = _expand_parent(_rerank(replace(again, ranked=again.ranked.join(short, "qid", "left_semi")), o), o)
     return replace(s, context=s.context.join(enough, "qid", "left_semi").unionByName(again.context))
 
 
 def _navigate(s: State, o: Options) -> State:
-    """A bounded walk over the library, for all questions at once: the first round searches; each further one reads on, for the
-    questions still short of a sufficient context, in the source of their best hit. What was read before isn't read again."""
+    """A bounded walk over the library, for all questions at once: the first round searches, each further one reads on in the
+    source of the question's best hit. A question stops after the first round with which its context suffices; what was read
+    before isn't read again.
+
+    What a question has read by a round doesn't depend on when others stop, so that one pass judges all rounds.
+    """
     each, most = max(1, o.k // 2), max(o.k, 8)
-    deep = o.searcher(s.docs.select("id", "text"), _queries(s), each * o.rounds).join(s.docs.select("id", "source"), "id")
-    home = deep.filter("rank = 1").select("qid", F.col("source").alias("home"))
-    first = deep.filter(F.col("rank") <= each)
-    walk = replace(s, ranked=first)
-    walk = _with_texts(walk, first.select("qid", F.col("rank").alias("slot"), "id", "source"))
-    short = _judged(walk, o.suffices).filter("not yes").select("qid")
-    further = deep.filter(F.col("rank") > each).join(short, "qid", "left_semi").join(home, "qid").filter("source = home")
-    picked = first.select("qid", "rank", "id", "source").unionByName(further.select("qid", "rank", "id", "source"))
-    slot = F.row_number().over(Window.partitionBy("qid").orderBy("rank")).cast("long")
-    return _with_texts(s, picked.withColumn("slot", slot).filter(F.col("slot") <= most).select("qid", "slot", "id", "source"))
+    deep = o.searcher(s.docs.select("id", "text"), _queries(s), each * o.rounds).join(s.docs.select("id", "source", "text"), "id")
+    home = F.first("source").over(Window.partitionBy("qid").orderBy("rank"))
+    walk = deep.withColumn("round", F.when(F.col("rank") <= each, 1).when(F.col("source") == home, F.ceil(F.col("rank") / each)).cast("int")).filter(F.col("round").isNotNull())
+    walk = walk.withColumn("slot", F.row_number().over(Window.partitionBy("qid").orderBy("rank")).cast("long")).filter(F.col("slot") <= most)
+    read = s.asked.select("qid", "text").join(walk.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("slot", "id", "round", "source", F.col("text").alias("t")))).alias("rows")), "qid")
+    by = lambda r: F.array_join(F.transform(F.filter("rows", lambda x: x["round"] <= r), lambda x: x["t"]), "\n")
+    stop = F.coalesce(*[F.when(o.suffices(F.col("text"), by(r)), r) for r in range(1, o.rounds)], F.lit(o.rounds))
+    picked = read.select("qid", stop.alias("stop"), "rows").select("qid", "stop", F.explode("rows").alias("x")).filter(F.col("x.round") <= F.col("stop"))
+    return replace(s, context=picked.select("qid", "x.slot", "x.id", F.col("x.t").alias("text"), "x.source"))
 
 
 def _formula(s: State, o: Options) -> State:
