@@ -59,3 +59,13 @@ def p95_index(df: DataFrame, by: str, value: str) -> DataFrame:
     run = counts.withColumn("upto", F.sum("c").over(w.orderBy(value))).withColumn("n", F.sum("c").over(w))
     at = F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1) + 1
     return run.filter(F.col("upto") >= at).groupBy(by).agg(F.min("n").alias("n"), F.min(value).alias("p95"))
+
+
+def stratified(df: DataFrame, by: str, order: list[str], n: int) -> DataFrame:
+    """``n`` rows: an equal whole quota of each class, in the given order, and the rest of the places filled from all that is left.
+
+    No class gives more than n rows, so that only n rows a class go beyond its window, whose limit each task applies before the shuffle.
+    """
+    classes = max(1, df.select(by).distinct().count())
+    each = df.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("_n") <= n)
+    return each.withColumn("by_quota", F.col("_n") <= n // classes).orderBy(F.desc("by_quota"), *order).limit(n).drop("_n")

@@ -186,10 +186,10 @@ def seeded_sample(spark, d):
     return T(spark, d, "documents").orderBy(F.sha1(F.concat(F.lit("7:"), F.col("doc_id").cast("string"))), "doc_id").limit(100).select("doc_id")
 
 
-@query("stratified_sample", "WITH h AS (SELECT doc_id, lang, sha1('9:' || doc_id) AS h FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY h, doc_id) AS n FROM h) SELECT lang, doc_id, n FROM r WHERE n <= 25")
+@query("stratified_sample", "WITH h AS (SELECT doc_id, coalesce(lang, '?') AS lang, sha1('9:' || doc_id) AS h FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY h, doc_id) AS n FROM h), q AS (SELECT *, 102 // (SELECT count(DISTINCT lang) FROM h) AS quota FROM r), o AS (SELECT *, n <= quota AS by_quota, row_number() OVER (ORDER BY n > quota, h, doc_id) AS place FROM q WHERE n <= 102) SELECT lang, doc_id, by_quota FROM o WHERE place <= 102")
 def stratified_sample(spark, d):
-    h = T(spark, d, "documents").select("lang", "doc_id", F.sha1(F.concat(F.lit("9:"), F.col("doc_id").cast("string"))).alias("h"))
-    return h.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")).cast("long")).filter("n <= 25").drop("h")
+    h = F.sha1(F.concat(F.lit("9:"), F.col("doc_id").cast("string")))
+    return stats.stratified(T(spark, d, "documents").select(F.coalesce("lang", F.lit("?")).alias("lang"), "doc_id", h.alias("h")), "lang", ["h", "doc_id"], 102).select("lang", "doc_id", "by_quota")
 
 
 # Paired statistics: two arms per labelled document, classes are languages.
@@ -237,13 +237,13 @@ def overlap_chance(spark, d):
     return facts(spark, d).agg(F.count_if((F.col("a") == 0) & (F.col("b") == 0)).alias("both_wrong"), F.round(F.count_if(F.col("a") == 0) * F.count_if(F.col("b") == 0) / F.count("*"), 9).alias("by_chance"))
 
 
-ARMS = "arms AS (SELECT doc_id, 'a' AS arm, a AS ok FROM facts UNION ALL SELECT doc_id, 'b', b FROM facts UNION ALL SELECT doc_id, 'c', c FROM facts WHERE doc_id % 5 <> 0)"
+# Arms a and b answered the labelled documents, arm c all.
+ARMS = "arms AS (SELECT doc_id, 'a' AS arm, a AS ok FROM facts UNION ALL SELECT doc_id, 'b', b FROM facts UNION ALL SELECT doc_id, 'c', CAST('0x' || substr(sha1('arm:' || doc_id), 1, 8) AS BIGINT) % 2 FROM documents)"
 
 
 def arms(spark, d):
-    f = facts(spark, d)
-    every = f.select("doc_id", F.explode(F.array(*[F.struct(F.lit(x).alias("arm"), F.col(x).alias("ok")) for x in "abc"])).alias("x")).select("doc_id", "x.arm", "x.ok")
-    return every.filter("arm != 'c' or doc_id % 5 != 0")
+    two = facts(spark, d).select("doc_id", F.explode(F.array(*[F.struct(F.lit(x).alias("arm"), F.col(x).alias("ok")) for x in "ab"])).alias("x")).select("doc_id", "x.arm", "x.ok")
+    return two.unionByName(T(spark, d, "documents").select("doc_id", F.lit("c").alias("arm"), (tx.hash_share("arm", F.col("doc_id")) % 2).cast("int").alias("ok")))
 
 
 @query("universe", f"WITH {FACTS}, {ARMS} SELECT doc_id FROM arms GROUP BY doc_id HAVING count(DISTINCT arm) = 3")
