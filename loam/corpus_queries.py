@@ -54,10 +54,9 @@ def html_escape(spark, d):
     return T(spark, d, "pages").select("page_id", F.sha1(tx.html_escape(c("html"))).alias("escaped"))
 
 
-@query("clean_page", "SELECT doc_id, sha1(trim(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'))) AS cleaned FROM documents")
+@query("clean_page", "SELECT doc_id, sha1(trim(regexp_replace(regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '^\\s*[0-9]+\\s*$')), chr(10)), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'))) AS cleaned FROM documents")
 def clean_page(spark, d):
-    collapsed = F.regexp_replace(F.regexp_replace("text", "[ \t]+", " "), "\n{3,}", "\n\n")
-    return T(spark, d, "documents").select("doc_id", F.sha1(F.trim(collapsed)).alias("cleaned"))
+    return T(spark, d, "documents").select("doc_id", F.sha1(tx.clean_page(c("text"))).alias("cleaned"))
 
 
 # Catalogue and levels: a language is a book, a source a chapter.

@@ -29,6 +29,11 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda t: F.length(t) > 1)
 
 
+def fold_header(text: Column) -> Column:
+    """Lower-case, accents dropped, all else kept."""
+    return F.translate(F.lower(text), ACCENTED, PLAIN)
+
+
 def fold(text: Column) -> Column:
     """Lower-case, accents dropped, everything but a-z and 0-9 one space."""
     return F.trim(F.regexp_replace(F.translate(F.lower(text), ACCENTED, PLAIN), "[^a-z0-9]+", " "))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loam.functions import rules
+from loam.functions.text import content_tokens
+
 # Fixed value: what a heading line looks like.
 HEADING = "^[A-ZÁÂÃÀÉÊÍÓÔÕÚÜÇ][A-Za-zÀ-ÿ -]{2,45}$"
 
@@ -119,16 +122,56 @@ def answer_sheet(sheets: DataFrame) -> DataFrame:
     return found.groupBy("sheet", "q").agg(F.max_by("a", "pos").alias("letter")).select("sheet", F.concat(F.lit("q"), F.lpad(F.col("q").cast("string"), 4, "0")).alias("qid"), "letter")
 
 
+# Fixed value: how an annulled question is marked.
+ANNULLED = r"(?i)quest[aã]o\s+anulada"
+
+
 def parse_mcq(exams: DataFrame) -> DataFrame:
-    """Numbered blocks of (exam, text) with four lettered alternatives and an answer; annulled or incomplete ones are dropped."""
-    blocks = exams.select("exam", F.explode(F.split("text", r"(?m)(?=^\s*[0-9]+\s*[-)–])")).alias("block")).filter(F.col("block").rlike(r"^\s*[0-9]+\s*[-)–]"))
-    alt = lambda x: F.trim(F.regexp_extract("block", rf"(?m)^\s*{x}\)[ \t]*(.*)$", 1))
-    out = blocks.select(
-        "exam",
-        F.regexp_extract("block", r"^\s*([0-9]+)", 1).cast("int").alias("number"),
-        F.trim(F.regexp_extract("block", r"^\s*[0-9]+\s*[-)–]\s*(.*)", 1)).alias("stem"),
-        *[alt(x).alias(x.lower()) for x in "ABCD"],
-        F.regexp_extract("block", r"(?i)resposta:\s*([A-D])", 1).alias("answer"),
-        F.col("block").rlike("(?i)anulad").alias("annulled"),
-    )
-    return out.filter("not annulled and a != '' and b != '' and c != '' and d != '' and answer != ''").drop("annulled")
+    """Numbered blocks of (exam, text) with lettered alternatives, A to E, and an answer; alternatives and stems may run over lines.
+
+    Of a letter that stands twice the last counts; what follows the answer's line is left out. Blocks of instructions, annulled
+    ones and those without an answer or with one of A to D empty are dropped.
+    """
+    body = rules.exam_body(F.col("text"))
+    blocks = exams.select("exam", F.explode(F.split(body, r"(?m)(?=^[ \t]*[0-9]+[ \t]*[-)–])")).alias("block")).filter(F.col("block").rlike(r"^\s*[0-9]+\s*[-)–]"))
+    blocks = blocks.filter(~F.col("block").rlike(ANNULLED) & ~rules.is_instructions(F.col("block")))
+    joined = lambda x: F.trim(F.regexp_replace(x, r"\s*\n\s*", " "))
+    parts = F.split(F.regexp_replace("block", r"(?ims)^[ \t]*Resposta:.*", ""), r"(?m)(?=^[ \t]*[A-Ea-e][).])")
+    rows = blocks.select("exam", F.regexp_extract("block", r"^\s*([0-9]+)", 1).cast("int").alias("number"), F.upper(F.regexp_extract("block", r"(?im)^[ \t]*Resposta:\s*([A-E])", 1)).alias("answer"), parts.alias("p"))
+    mark = lambda x: F.upper(F.regexp_extract(x, r"^\s*([A-Ea-e])[).]", 1))
+    stem = F.trim(F.regexp_replace(F.regexp_replace(F.col("p")[0], r"^\s*[0-9]+\s*[-)–]\s*", ""), r"\s+", " "))
+    alt = lambda letter: F.coalesce(joined(F.regexp_replace(F.try_element_at(F.filter("p", lambda x: mark(x) == letter), F.lit(-1)), r"^\s*[A-Ea-e][).]", "")), F.lit(""))
+    out = rows.select("exam", "number", stem.alias("stem"), *[alt(x).alias(x.lower()) for x in "ABCD"], "answer")
+    return out.filter("a != '' and b != '' and c != '' and d != '' and answer != ''")
+
+
+def outline_intervals(outline: DataFrame, last_page: int) -> DataFrame:
+    """(id, depth, path, first_page, last_page) of an outline (id, parent, title, page), walked from its roots by a recursive query.
+
+    An entry ends before the next one's page, whatever their depths, or on its own page if both share it. An entry whose parent
+    is missing isn't reached.
+    """
+    sql = """WITH RECURSIVE walk(id, depth, path, page) AS (
+        SELECT id, 0, title, page FROM {outline} WHERE parent IS NULL
+        UNION ALL SELECT o.id, w.depth + 1, w.path || ' > ' || o.title, o.page FROM {outline} o JOIN walk w ON o.parent = w.id) SELECT * FROM walk"""
+    walk = outline.sparkSession.sql(sql, outline=outline)
+    following = F.lead("page").over(Window.orderBy("page", "depth", "id"))  # an outline of one book
+    return walk.select("id", "depth", "path", F.col("page").alias("first_page"), F.coalesce(F.greatest("page", following - 1), F.lit(last_page)).alias("last_page"))
+
+
+def join_answers(sheet: DataFrame, labels: DataFrame, key: DataFrame) -> DataFrame:
+    """(id, letter, correct) of answers (label, letter) whose label (label, id) and key (id, answer) are known."""
+    return sheet.join(labels, "label").join(key, "id").select("id", "letter", (F.col("letter") == F.col("answer")).cast("int").alias("correct"))
+
+
+def chapter_topics(texts: DataFrame, most: int = 12) -> DataFrame:
+    """(chapter, topics) of (chapter, text): a stand-in for a summarising model, the content words that most texts of a chapter hold."""
+    words = texts.select("chapter", F.explode(content_tokens(F.col("text"))).alias("w")).groupBy("chapter", "w").agg(F.count("*").alias("n"))
+    top = words.withColumn("rank", F.row_number().over(Window.partitionBy("chapter").orderBy(F.desc("n"), "w"))).filter(F.col("rank") <= most)
+    return top.groupBy("chapter").agg(F.array_sort(F.collect_list(F.struct("rank", "w"))).alias("x")).select("chapter", F.array_join(F.transform("x", lambda x: x["w"]), ", ").alias("topics"))
+
+
+def first_of(df: DataFrame, key: list[str], order: str) -> DataFrame:
+    """The first row of each key."""
+    kept = F.min_by(F.struct(*df.columns), order)
+    return df.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(kept.alias("x")).select("x.*")

@@ -80,7 +80,7 @@ def l2_normalize(spark, d):
 
 @query("recall_mrr", f"""WITH {DENSE}, f AS (SELECT qid, id, tag = label AS carries, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s WHERE id <> qid),
 m AS (SELECT qid, min(rank) FILTER (WHERE carries AND rank <= 100) AS first FROM f GROUP BY qid)
-SELECT count(*) AS n, round(avg(CASE WHEN first <= 4 THEN 1.0 ELSE 0 END), 9) AS recall4, round(avg(CASE WHEN first <= 8 THEN 1.0 ELSE 0 END), 9) AS recall8, round(avg(CASE WHEN first <= 20 THEN 1.0 ELSE 0 END), 9) AS recall20,
+SELECT count(*) AS n, round(avg(CASE WHEN first <= 4 THEN 1.0 ELSE 0 END), 9) AS recall4, round(avg(CASE WHEN first <= 8 THEN 1.0 ELSE 0 END), 9) AS recall8, round(avg(CASE WHEN first <= 20 THEN 1.0 ELSE 0 END), 9) AS recall20, round(avg(CASE WHEN first <= 50 THEN 1.0 ELSE 0 END), 9) AS recall50, round(avg(CASE WHEN first <= 100 THEN 1.0 ELSE 0 END), 9) AS recall100,
 round(avg(coalesce(1.0 / first, 0)), 9) AS mrr, median(first)::DOUBLE AS median_rank, count(*) FILTER (WHERE first IS NULL) AS never FROM m""")
 def recall_mrr(spark, d):
     e, q = dense_sides(spark, d)
@@ -90,7 +90,7 @@ def recall_mrr(spark, d):
     found = found.join(label, "id").join(label.select(F.col("id").alias("qid"), F.col("label").alias("tag")), "qid")
     first = found.groupBy("qid").agg(F.expr("min(rank) filter (where label = tag)").alias("first"))
     at = lambda k: F.round(F.avg(F.when(F.col("first") <= k, 1.0).otherwise(0.0)), 9).alias(f"recall{k}")
-    return first.agg(F.count("*").alias("n"), at(4), at(8), at(20), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 9).alias("mrr"), F.median("first").alias("median_rank"), F.count_if(F.col("first").isNull()).alias("never"))
+    return first.agg(F.count("*").alias("n"), *map(at, (4, 8, 20, 50, 100)), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 9).alias("mrr"), F.median("first").alias("median_rank"), F.count_if(F.col("first").isNull()).alias("never"))
 
 
 # Text search over whole documents.
@@ -443,10 +443,13 @@ def answer_sheet(spark, d):
     return structure.answer_sheet(values(spark, [("s", "q0001: V\nQ2 - f\nsome prose\nq0003: c\nq0001: F")], "sheet string, text string"))
 
 
-@query("parse_mcq", literal([("e", 1, "First stem", "x", "y", "z", "w", "B")], ["exam", "number", "stem", "a", "b", "c", "d", "answer"], {"number": "INT"}))
+@query("parse_mcq", literal([("e", 1, "First stem that runs on", "x", "y and on", "z", "w", "B"), ("e", 4, "Fourth", "x", "y", "z", "w", "E")], ["exam", "number", "stem", "a", "b", "c", "d", "answer"], {"number": "INT"}))
 def parse_mcq(spark, d):
-    text = "1) First stem\nA) x\nB) y\nC) z\nD) w\nResposta: B\n2) Second\nA) x\nB) y\nC) z\nD) w\nANULADA\nResposta: A\n3) Third\nA) x\nB)\nC) z\nD) w\nResposta: C\n"
-    return structure.parse_mcq(values(spark, [("e", text)], "exam string, text string"))
+    blocks = [
+        "PROVA NACIONAL 2019\n1) First stem\n  that runs on\nA) x\nB) y\n   and on\n17\nC) z\nD) w\nResposta: B\nA comment after it", "2) Second\nA) x\nB) y\nC) z\nD) w\nQuestão  ANULADA\nResposta: A",
+        "3) Third\nA) x\nB)\nC) z\nD) w\nResposta: C", "4 - Fourth\na. x\nb. y\nc. z\nd. w\ne. v\nresposta: e", "5) Use o cartao de resposta\nA) x\nB) y\nC) z\nD) w\nResposta: C", "6) No answer\nA) x\nB) y\nC) z\nD) w\n",
+    ]
+    return structure.parse_mcq(values(spark, [("e", "\n".join(blocks))], "exam string, text string"))
 
 
 @query("roman", literal([("II", 2, 2), ("XLIX", 49, 49), ("11", -1, 2), ("111", -1, 3), ("IIA", -1, 2), ("I1", -1, 1)], ["numeral", "strict", "lenient"], {"strict": "INT", "lenient": "INT"}))
@@ -472,4 +475,4 @@ def sketch_repair(spark, d):
     return values(spark, [(i, ">".join(flow.repair(s))) for i, s in enumerate(sketches, 1)], "id int, sketch string")
 
 
-from loam import corpus_queries, flow_queries, rule_queries  # noqa: E402, F401  their queries register themselves
+from loam import corpus_queries, flow_queries, rule_queries, table_queries  # noqa: E402, F401  their queries register themselves

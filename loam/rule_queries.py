@@ -219,10 +219,10 @@ def cfg_default(spark, d):
     return values(spark, [(1, None), (2, 5)], "id int, k int").select("id", F.coalesce("k", F.lit(20)).alias("k"))
 
 
-@query("annulled", literal([(2,)], ["id"], {"id": "INT"}))
+@query("annulled", literal([(2,), (4,)], ["id"], {"id": "INT"}))
 def annulled(spark, d):
-    rows = values(spark, [(1, "Questão ANULADA"), (2, "A dose é"), (3, "Leia as INSTRUÇÕES antes")], "id int, text string")
-    return rows.filter(~c("text").rlike("(?i)anulad") & ~rules.is_instructions(c("text"))).select("id")
+    rows = values(spark, [(1, "Questão ANULADA"), (2, "A dose é"), (3, "Leia as INSTRUÇÕES antes"), (4, "A anulada não é a questão")], "id int, text string")
+    return rows.filter(~c("text").rlike(structure.ANNULLED) & ~rules.is_instructions(c("text"))).select("id")
 
 
 @query("no_invented_key", literal([(1,)], ["id"], {"id": "INT"}))

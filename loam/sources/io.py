@@ -14,6 +14,11 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def parse_jsonl(lines: DataFrame, schema: str) -> DataFrame:
+    """Rows of JSON lines (line); blank ones are skipped."""
+    return lines.filter(F.trim("line") != "").select(F.from_json("line", schema).alias("x")).select("x.*")
+
+
 def read_pages(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
     pages = read_jsonl(spark, path, PAGE_SCHEMA)
     return pages.filter(F.col("pagina").between(first if first is not None else -(1 << 31), last if last is not None else (1 << 31) - 1))
@@ -56,3 +61,15 @@ def manifest(spark: SparkSession, path: str, least_bytes: int = 0) -> DataFrame:
 
 def append_results(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
+
+
+def append_journal(df: DataFrame, path: str) -> None:
+    """Events as JSON lines after those already there."""
+    df.write.mode("append").json(path)
+
+
+def write_vectors(df: DataFrame, path: str) -> None:
+    """(id, vector) with distinct ids, or nothing is written."""
+    if df.groupBy("id").count().filter("count > 1").limit(1).count():
+        raise ValueError("an id has two vectors")
+    df.select("id", "vector").write.mode("overwrite").parquet(path)

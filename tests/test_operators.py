@@ -1,5 +1,6 @@
 """Operators on literal rows worked out by hand."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from loam.functions import text as tx
@@ -91,3 +92,39 @@ def test_flow_stages_take_effect(spark):
     # A normative question gets norms and book, another the book only.
     assert ran(["route", "quota", "interleave"]) == {1: 2, 2: 3, 3: 0}
     assert ran(["reformulate", "search", "rerank", "expand_parent", "critique"], suffices=flow.covers(2.0)) == {1: 2, 2: 2, 3: 0}
+
+
+def test_vectors_and_journals(spark, tmp_path):
+    rows = spark.createDataFrame([(1, [0.5, 1.0]), (2, [1.0, 0.0])], "id long, vector array<double>")
+    io.write_vectors(rows, str(tmp_path / "vectors"))
+    assert spark.read.parquet(str(tmp_path / "vectors")).count() == 2
+    with pytest.raises(ValueError):
+        io.write_vectors(rows.union(rows), str(tmp_path / "again"))
+    for _ in range(2):
+        io.append_journal(spark.createDataFrame([("step", 1)], "event string, n int"), str(tmp_path / "journal"))
+    assert spark.read.json(str(tmp_path / "journal")).count() == 2
+
+
+def test_stratified_fills_from_the_rest(spark):
+    df = spark.createDataFrame([("a", i) for i in range(2)] + [("b", i) for i in range(2, 12)], "k string, v int")
+    got = stats.stratified(df, "k", ["v"], 8).collect()
+    assert sorted(r["v"] for r in got) == list(range(8)) and sum(r["by_quota"] for r in got) == 6
+    assert stats.stratified(df.limit(0), "k", ["v"], 8).count() == 0
+
+
+def test_dense_ties_go_to_the_smaller_id_across_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        base = spark.createDataFrame([(i, [1.0, float(i % 2)]) for i in range(9)], "id long, vector array<double>").coalesce(1)
+        got = search.dense_topk(base, spark.createDataFrame([(7, [0.0, 1.0])], "qid long, vector array<double>"), 3).orderBy("rank").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [r["id"] for r in got] == [1, 3, 5]
+
+
+def test_walk_stops_when_its_context_suffices(spark):
+    docs = spark.createDataFrame([(i, f"alpha w{i} " + ("omega" if i == 5 else "other"), "book") for i in range(12)], "id long, text string, source string")
+    asked = spark.createDataFrame([(1, "alpha"), (2, "alpha omega"), (3, "alpha missing")], "qid long, text string")
+    options = flow.Options(k=2, rounds=4, suffices=flow.covers(1.0))
+    got = {r["qid"]: r["n_context"] for r in flow.run_flow(asked, docs, ["navigate", "respond"], options).collect()}
+    assert got == {1: 1, 2: 1, 3: 4}
