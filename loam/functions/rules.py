@@ -23,9 +23,9 @@ SPLIT_NAMES = [("metoxiflu", "rano"), ("isoflu", "rano"), ("desflu", "rano"), ("
 WATERMARKS = [r"(?im)^\s*APOSTILASMEDICINA@HOTMAIL\.COM\s*$", r"(?im)^\s*Produtos:\s*https?://\S+\s*$", r"(?im)^\s*lista\.mercadolivre\.com\.br\S*\s*$"]
 # Words that say nothing of an assertion's matter.
 EMPTY_WORDS = (
-    "assertiva sobre seguinte seguintes questao prova considere relacao respeito acerca julgue trimestral resposta paciente "
-    "durante quando porque entre maior menor pode podem deve devem apresenta apresentam"
-).split()
+    "assertiva", "sobre", "seguinte", "seguintes", "questao", "prova", "considere", "relacao", "respeito", "acerca", "julgue", "trimestral", "resposta",
+    "paciente", "durante", "quando", "porque", "entre", "maior", "menor", "pode", "podem", "deve", "devem", "apresenta", "apresentam",
+)
 # Spellings that two languages share after these replacements, in this order.
 COGNATE_SPELLINGS = [("ph", "f"), ("th", "t"), ("y", "i"), ("ct", "t"), ("cc", "c"), ("qu", "c"), ("k", "c"), ("ss", "s"), ("z", "s"), ("mm", "m"), ("nn", "n")]
 # How a unit is written in English, as patterns.
@@ -92,7 +92,7 @@ def shared_spelling(text: Column) -> Column:
 def cognates(text: Column) -> Column:
     """Distinct stems of five letters of the words of six letters or more."""
     words = F.regexp_extract_all(text, F.lit("[A-Za-zÀ-ÿ]{6,}"), F.lit(0))
-    words = F.filter(words, lambda w: ~F.lower(w).isin(EMPTY_WORDS))
+    words = F.filter(words, lambda w: ~F.lower(w).isin(*EMPTY_WORDS))
     stems = F.filter(F.transform(words, shared_spelling), lambda s: F.length(s) >= 5)
     return F.array_distinct(F.transform(stems, lambda s: F.substring(s, 1, 5)))
 

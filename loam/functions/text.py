@@ -21,7 +21,9 @@ def _folds() -> tuple[str, str]:
 
 ACCENTED, PLAIN = _folds()
 # Stop-words of the formulary search.
-STOP_WORDS = "de da do a o e em para com qual como que no na um uma por se the of".split()
+STOP_WORDS = (
+    "de", "da", "do", "a", "o", "e", "em", "para", "com", "qual", "como", "que", "no", "na", "um", "uma", "por", "se", "the", "of",
+)
 
 
 def tokens(text: Column) -> Column:
