@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from loam.llm.decontaminate import op12_decontamination
 from loam.llm.jaccard import op10_jaccard
 from loam.llm.language import op7_language
 from loam.llm.lm import op6_lm
 from loam.llm.media import op3_media
+from loam.llm.merkle import op11_merkle
 from loam.llm.mixing import op1_mixing
 from loam.llm.neighbours import op2_neighbours
 from loam.llm.packing import op4_packing
 from loam.llm.quality import op8_quality
+from loam.llm.resampling import op13_resampling
 from loam.llm.sharding import op9_sharding
 from loam.llm.warc import op5_warc
 
@@ -28,6 +31,9 @@ def queries() -> dict[str, Callable]:
         "op8_quality": op8_quality,
         "op9_sharding": op9_sharding,
         "op10_jaccard": op10_jaccard,
+        "op11_merkle": op11_merkle,
+        "op12_decontamination": op12_decontamination,
+        "op13_resampling": op13_resampling,
     }
 
 
