@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loam.functions import text as tx
-from loam.operators import search, structure
-from loam.registry import BM25, SQL_HEADS, SQL_LINES, SQL_WORDS, T, doc_lines, doc_texts, facts, FACTS, folded, literal, query, searches, values
+from loam.operators import structure
+from loam.registry import BM25, SQL_HEADS, SQL_LINES, SQL_WORDS, T, bm25, doc_lines, doc_texts, facts, FACTS, folded, literal, query, values
 
 c = F.col
 
@@ -86,7 +86,7 @@ def index_build(spark, d):
 
 # Contexts: a source is the parent of its documents.
 def hits(spark, d, k=20):
-    return search.bm25_topk(doc_texts(spark, d), searches(spark), k)
+    return bm25(spark, d, k)
 
 
 @query("context_parent", f"WITH {BM25}, k AS (SELECT b.qid, d.source, b.rank, b.id FROM b JOIN documents d ON d.doc_id = b.id WHERE rank <= 8) SELECT qid::BIGINT AS qid, source, min(rank) AS rank FROM k GROUP BY qid, source")

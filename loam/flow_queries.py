@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loam.plans import flow
-from loam.registry import SEARCHES, TOKENS, T, folded, literal, query, values
+from loam.registry import TOKENS, T, folded, literal, query, text_index, values
 
 c = F.col
 
-#: Some name a norm, one has an assertion of its own.
-QUESTIONS = [*SEARCHES, (500, "estatuto les une dans tion"), (600, "the that estatuto"), (700, "una los que\n\nAssertiva: und der nicht")]
+#: The questions are the benchmark's items: a quarter names a norm, a quarter has an assertion of its own.
+ASKED = """CASE item_id % 4 WHEN 1 THEN concat('estatuto ', text) WHEN 3 THEN concat(text, chr(10), chr(10), 'Assertiva: ', substr(text, 1, 80)) ELSE text END"""
+
+
+def questions(spark, d):
+    return T(spark, d, "benchmark").select(c("item_id").alias("qid"), F.expr(ASKED).alias("text"))
 
 
 def sql_bm25(p: str, docs: str, asked: str) -> str:
@@ -41,11 +45,11 @@ def sql_hybrid(p: str, docs: str, asked: str, k: int) -> str:
 WORDS, ON_TOPIC, SUFFICES = {"und": "and", "que": "that", "les": "the"}, 0.8, 0.9
 FORMULAS = [(1, "Média", "the that", "a + b", "of"), (2, "Soma", "una", "a - b", "dans")]
 
-_ASKED = ", ".join("({}, '{}')".format(i, t.replace("\n", "' || chr(10) || '")) for i, t in QUESTIONS)
 _REWORDED = "text"
 for _old, _new in WORDS.items():
     _REWORDED = f"regexp_replace({_REWORDED}, '\\b{_old}\\b', '{_new}', 'g')"
-_BASE = f"""WITH asked AS (SELECT qid::BIGINT AS qid, text, text LIKE '%estatuto%' AS norm FROM (VALUES {_ASKED}) v(qid, text)),
+_REWORDED = f"substr(trim(regexp_replace({_REWORDED}, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')), 1, 400)"
+_BASE = f"""WITH asked AS (SELECT item_id AS qid, {ASKED} AS text, item_id % 4 = 1 AS norm FROM benchmark),
 focused AS (SELECT qid, CASE WHEN contains(text, 'Assertiva:') THEN trim(string_split(text, 'Assertiva:')[2]) ELSE text END AS text, norm FROM asked),
 reworded AS (SELECT qid, {_REWORDED} AS text, norm FROM asked),
 dd AS (SELECT doc_id AS id, text, CASE WHEN lang = 'en' THEN 'book' ELSE 'norms' END AS source, doc_id - doc_id % 3 AS parent FROM documents),
@@ -128,8 +132,8 @@ def _variant(name: str):
     def run(spark, d):
         docs = T(spark, d, "documents").select(c("doc_id").alias("id"), "text", F.when(c("lang") == "en", "book").otherwise("norms").alias("source"), (c("doc_id") - c("doc_id") % 3).alias("parent"))
         formulas = values(spark, FORMULAS, "id long, name string, synonyms string, expression string, notes string")
-        options = flow.Options(searcher=flow.SEARCHER[name], reword=flow.glossary(WORDS), on_topic=flow.covers(ON_TOPIC), suffices=flow.covers(SUFFICES), formulas=formulas)
-        return flow.run_flow(values(spark, QUESTIONS, "qid long, text string"), docs, flow.VARIANTS[name], options)
+        options = flow.Options(searcher=flow.searcher_of(name, text_index(spark, d)), reword=flow.glossary(WORDS), on_topic=flow.covers(ON_TOPIC), suffices=flow.covers(SUFFICES), formulas=formulas)
+        return flow.run_flow(questions(spark, d), docs, flow.VARIANTS[name], options)
 
     return run
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loam.functions import rules
 from loam.functions.text import focus_query, tokens
+from loam.operators import index
 from loam.operators.search import bm25_topk, dense_topk, formula_search, ranked_top, rrf_fuse
 
 # The stage names, in their canonical order.
@@ -103,14 +104,21 @@ def dense_search(embed: Callable = first_letters) -> Callable:
     return lambda docs, queries, k: dense_topk(side(docs, "id"), side(queries, "qid"), k).filter("score > 0")
 
 
-def hybrid_search(embed: Callable = first_letters) -> Callable:
+def indexed_search(path: str) -> Callable:
+    """A searcher by words in the inverted index of all documents."""
+    return lambda docs, queries, k: index.search(docs.sparkSession, path, queries, k)
+
+
+def hybrid_search(embed: Callable = first_letters, words: Callable = bm25_topk) -> Callable:
     """A searcher that fuses the ranks of a dense one and of BM25, each as deep as what is asked for."""
     dense = dense_search(embed)
-    return lambda docs, queries, k: rrf_fuse([bm25_topk(docs, queries, k), dense(docs, queries, k)], k)
+    return lambda docs, queries, k: rrf_fuse([words(docs, queries, k), dense(docs, queries, k)], k)
 
 
-#: How the variants search: by vectors, but for those that fuse vectors with words, and the walks, which look words up.
-SEARCHER = {**dict.fromkeys(VARIANTS, dense_search()), **dict.fromkeys(("v2", "v3", "v4", "v5"), hybrid_search()), **dict.fromkeys(("v14", "v16"), bm25_topk)}
+def searcher_of(variant: str, path: str, embed: Callable = first_letters) -> Callable:
+    """How a variant searches: by vectors, but for those that fuse vectors with words, and the walks, which look words up."""
+    words = indexed_search(path)
+    return hybrid_search(embed, words) if variant in ("v2", "v3", "v4", "v5") else words if variant in ("v14", "v16") else dense_search(embed)
 
 
 def glossary(words: dict[str, str]) -> Callable:

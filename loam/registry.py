@@ -7,8 +7,9 @@ from pyspark.sql import Window
 
 from loam.functions import rules
 from loam.functions import text as tx
-from loam.operators import search, stats, structure
+from loam.operators import index, search, stats, structure
 from loam.plans import flow
+from loam.sources.store import workspace
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -93,13 +94,12 @@ def recall_mrr(spark, d):
     return first.agg(F.count("*").alias("n"), *map(at, (4, 8, 20, 50, 100)), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 9).alias("mrr"), F.median("first").alias("median_rank"), F.count_if(F.col("first").isNull()).alias("never"))
 
 
-# Text search over whole documents.
-SEARCHES = [(100, "the that of the"), (200, "und der nicht einer"), (300, "que los con para"), (400, "les une dans tion")]
+# Text search over whole documents; the questions are the benchmark's items.
 TOKENS = "list_filter(string_split(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda x: length(x) > 1)"
 BM25 = f"""w AS (SELECT doc_id AS id, {TOKENS} AS w FROM documents), n AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS avgdl FROM w),
 df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(w)) AS term FROM w) GROUP BY term),
 i0 AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS idf0 FROM df, n), idf AS (SELECT term, CASE WHEN idf0 < 0 THEN 0.25 * (SELECT avg(idf0) FROM i0) ELSE idf0 END AS idf FROM i0),
-q AS (SELECT qid, term, count(*) AS times FROM (SELECT qid, unnest(string_split(t, ' ')) AS term FROM (VALUES {', '.join(f"({i}, '{t}')" for i, t in SEARCHES)}) v(qid, t)) GROUP BY ALL),
+q AS (SELECT qid, term, count(*) AS times FROM (SELECT item_id AS qid, unnest({TOKENS}) AS term FROM benchmark) GROUP BY ALL),
 tf AS (SELECT id, term, count(*) AS tf, min(dl) AS dl FROM (SELECT id, len(w) AS dl, unnest(w) AS term FROM w) GROUP BY id, term),
 sc AS (SELECT qid, id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM tf JOIN idf USING (term) JOIN q USING (term), n GROUP BY qid, id),
 b AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM sc WHERE score > 0)"""
@@ -109,8 +109,25 @@ def doc_texts(spark, d):
     return T(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
-def searches(spark):
-    return values(spark, SEARCHES, "qid long, text string")
+def searches(spark, d):
+    return T(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
+
+
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def text_index(spark, d) -> str:
+    """The folder of an inverted index of all documents, built once an application and input."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _indexes:
+        path = f"{workspace(spark)}/index"
+        index.add(doc_texts(spark, d), path, 0)
+        _indexes[key] = path
+    return _indexes[key]
+
+
+def bm25(spark, d, k: int):
+    return index.search(spark, text_index(spark, d), searches(spark, d), k)
 
 
 @query("tokenize_stats", f"SELECT doc_id, len(w) AS n_tokens, len(list_distinct(w)) AS n_distinct FROM (SELECT doc_id, {TOKENS} AS w FROM documents)")
@@ -121,16 +138,16 @@ def tokenize_stats(spark, d):
 
 @query("bm25_topk", f"WITH {BM25} SELECT qid::BIGINT AS qid, id, rank, score FROM b WHERE rank <= 20")
 def bm25_topk(spark, d):
-    return search.bm25_topk(doc_texts(spark, d), searches(spark), 20)
+    return bm25(spark, d, 20)
 
 
-@query("rrf_hybrid", f"""WITH {BM25}, e AS (SELECT a.vec_id AS qid, c.vec_id AS id, round(list_dot_product(a.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings c WHERE a.vec_id IN (100, 200, 300, 400)),
+@query("rrf_hybrid", f"""WITH {BM25}, e AS (SELECT a.vec_id AS qid, c.vec_id AS id, round(list_dot_product(a.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings c WHERE a.vec_id IN (SELECT item_id FROM benchmark)),
 er AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM e), u AS (SELECT qid, id, rank FROM b WHERE rank <= 20 UNION ALL SELECT qid, id, rank FROM er WHERE rank <= 20),
 f AS (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM u GROUP BY qid, id), g AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM f) SELECT qid::BIGINT AS qid, id, rank, score FROM g WHERE rank <= 10""")
 def rrf_hybrid(spark, d):
-    e, q = dense_sides(spark, d)
-    dense = search.dense_topk(e, q.filter(F.col("qid").isin([i for i, _ in SEARCHES])), 20)
-    return search.rrf_fuse([search.bm25_topk(doc_texts(spark, d), searches(spark), 20), dense], 10)
+    e, _ = dense_sides(spark, d)
+    q = e.join(searches(spark, d).select(F.col("qid").alias("id")), "id", "left_semi").withColumnRenamed("id", "qid")
+    return search.rrf_fuse([bm25(spark, d, 20), search.dense_topk(e, q, 20)], 10)
 
 
 def folded(c):
@@ -475,4 +492,4 @@ def sketch_repair(spark, d):
     return values(spark, [(i, ">".join(flow.repair(s))) for i, s in enumerate(sketches, 1)], "id int, sketch string")
 
 
-from loam import corpus_queries, flow_queries, rule_queries, table_queries  # noqa: E402, F401  their queries register themselves
+from loam import corpus_queries, flow_queries, index_queries, rule_queries, table_queries  # noqa: E402, F401  their queries register themselves

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from loam.functions import rules
 from loam.functions import text as tx
-from loam.operators import search, structure
+from loam.operators import structure
 from loam.plans import flow
-from loam.registry import BM25, SEARCHES, SQL_LINES, TOKENS, T, doc_lines, doc_texts, folded, literal, query, searches, values
+from loam.registry import BM25, SQL_LINES, TOKENS, T, bm25, doc_lines, doc_texts, folded, literal, query, searches, values
 
 c = F.col
 
@@ -114,32 +114,32 @@ def set_except(spark, d):
 
 
 # Search and contexts.
-_Q = f"asked AS (SELECT qid, list_distinct(string_split(t, ' ')) AS q FROM (VALUES {', '.join(f'''({i}, '{t}')''' for i, t in SEARCHES)}) v(qid, t))"
+_Q = f"asked AS (SELECT item_id AS qid, list_distinct({TOKENS}) AS q FROM benchmark)"
 
 
 @query("rerank", f"WITH {BM25}, {_Q}, s AS (SELECT b.qid, id, round(len(list_intersect(asked.q, {TOKENS})) / len(asked.q), 6) AS score FROM b JOIN documents ON doc_id = id JOIN asked ON asked.qid = b.qid WHERE rank <= 20), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s) SELECT qid::BIGINT AS qid, id, score::DOUBLE AS score, rank FROM r WHERE rank <= 8")
 def rerank(spark, d):
-    asked = searches(spark).withColumn("query", c("text"))
+    asked = searches(spark, d).withColumn("query", c("text"))
     docs = doc_texts(spark, d)
-    start = flow.State(asked, docs, ranked=search.bm25_topk(docs, searches(spark), 20).withColumn("source", F.lit("all")))
+    start = flow.State(asked, docs, ranked=bm25(spark, d, 20).withColumn("source", F.lit("all")))
     return flow._rerank(start, flow.Options()).ranked.select("qid", "id", "score", "rank")
 
 
 @query("context_child", f"WITH {BM25} SELECT qid::BIGINT AS qid, rank AS slot, id FROM b WHERE rank <= 8")
 def context_child(spark, d):
-    return search.bm25_topk(doc_texts(spark, d), searches(spark), 8).select("qid", c("rank").alias("slot"), "id")
+    return bm25(spark, d, 8).select("qid", c("rank").alias("slot"), "id")
 
 
 @query("context_provenance", f"WITH {BM25} SELECT source, count(*) AS n, count(DISTINCT qid) AS questions FROM b JOIN documents ON doc_id = id WHERE rank <= 8 GROUP BY source")
 def context_provenance(spark, d):
-    found = search.bm25_topk(doc_texts(spark, d), searches(spark), 8).join(T(spark, d, "documents").select(c("doc_id").alias("id"), "source"), "id")
+    found = bm25(spark, d, 8).join(T(spark, d, "documents").select(c("doc_id").alias("id"), "source"), "id")
     return found.groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("qid").alias("questions"))
 
 
 @query("term_coverage", f"WITH {BM25}, {_Q}, s AS (SELECT b.id, len(list_intersect(asked.q, {TOKENS})) / len(asked.q) AS share FROM b JOIN documents ON doc_id = id JOIN asked ON asked.qid = b.qid WHERE rank <= 20) SELECT quality, count(*) AS n, round(avg(share), 9) AS coverage FROM s JOIN labels ON labels.doc_id = s.id GROUP BY quality")
 def term_coverage(spark, d):
     docs = doc_texts(spark, d)
-    found = search.bm25_topk(docs, searches(spark), 20).join(docs, "id").join(searches(spark).withColumnRenamed("text", "q"), "qid")
+    found = bm25(spark, d, 20).join(docs, "id").join(searches(spark, d).withColumnRenamed("text", "q"), "qid")
     q = F.array_distinct(tx.tokens(c("q")))
     rows = found.select("id", (F.size(F.array_intersect(q, tx.tokens(c("text")))) / F.size(q)).alias("share"))
     return rows.join(T(spark, d, "labels").select(c("doc_id").alias("id"), "quality"), "id").groupBy("quality").agg(F.count("*").alias("n"), F.round(F.avg("share"), 9).alias("coverage"))
