@@ -45,9 +45,7 @@ def sql_hybrid(p: str, docs: str, asked: str, k: int) -> str:
 WORDS, ON_TOPIC, SUFFICES = {"und": "and", "que": "that", "les": "the"}, 0.8, 0.9
 FORMULAS = [(1, "Média", "the that", "a + b", "of"), (2, "Soma", "una", "a - b", "dans")]
 
-_REWORDED = "text"
-for _old, _new in WORDS.items():
-    _REWORDED = f"regexp_replace({_REWORDED}, '\\b{_old}\\b', '{_new}', 'g')"
+_REWORDED = f"array_to_string(list_transform(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+'), lambda x: CASE x {' '.join(f'WHEN {chr(39)}{a}{chr(39)} THEN {chr(39)}{b}{chr(39)}' for a, b in WORDS.items())} ELSE x END), '')"
 _REWORDED = f"substr(trim(regexp_replace({_REWORDED}, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')), 1, 400)"
 _BASE = f"""WITH asked AS (SELECT item_id AS qid, {ASKED} AS text, item_id % 4 = 1 AS norm FROM benchmark),
 focused AS (SELECT qid, CASE WHEN contains(text, 'Assertiva:') THEN trim(string_split(text, 'Assertiva:')[2]) ELSE text END AS text, norm FROM asked),

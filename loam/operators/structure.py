@@ -55,46 +55,6 @@ def column_order(rows: DataFrame, middle: float = 352.0) -> DataFrame:
     return banded.withColumn("pos", F.row_number().over(order).cast("long")).select("page", "pos", "line")
 
 
-def window_text(docs: DataFrame, target: int = 1638, overlap: float = 0.15) -> DataFrame:
-    """(id, ordinal, start, stop, chunk): greedy windows of words, cut after a sentence in their last quarter if one ends there.
-
-    Where a window ends decides where the next begins, so that this runs through each text in order.
-    """
-    kind = docs.schema["id"].dataType.simpleString()
-
-    def run(batches):
-        import re
-
-        import pandas as pd
-
-        for pdf in batches:
-            rows = []
-            for key, text in zip(pdf["id"], pdf["text"]):
-                spans = [m.span() for m in re.finditer(r"\S+", text or "")]
-                i = n = 0
-                while i < len(spans):
-                    j = i
-                    while j < len(spans) and spans[j][1] - spans[i][0] < target:
-                        j += 1
-                    j = max(j, i + 1)
-                    if j < len(spans):
-                        floor = i + (j - i) * 3 // 4
-                        ends = [k for k in range(j, floor, -1) if text[spans[k - 1][1] - 1] in ".!?"]
-                        j = ends[0] if ends else j
-                    rows.append((key, n, spans[i][0], spans[j - 1][1], text[spans[i][0] : spans[j - 1][1]]))
-                    n += 1
-                    if j >= len(spans):
-                        break
-                    back = spans[j - 1][1] - target * overlap
-                    k = j
-                    while k > i + 1 and spans[k - 1][0] >= back:
-                        k -= 1
-                    i = max(k, i + 1)
-            yield pd.DataFrame(rows, columns=["id", "ordinal", "start", "stop", "chunk"])
-
-    return docs.select("id", "text").mapInPandas(run, f"id {kind}, ordinal long, start long, stop long, chunk string")
-
-
 def split_articles(docs: DataFrame) -> DataFrame:
     """(id, pos, kind, label, chapter, body) of texts cut at articles and annexes; the chapter is carried on; no article: the whole text."""
     mark = r"(?m)(?=^[ \t]*(?:Art\.?|ARTIGO|Artigo|ANEXO|CAP[IÍ]TULO)[ \t]+[0-9IVXLC]+)"

@@ -126,7 +126,7 @@ def glossary(words: dict[str, str]) -> Callable:
 
     def reword(query):
         for old, new in words.items():
-            query = F.regexp_replace(query, rf"\b{old}\b", new)
+            query = F.regexp_replace(query, rf"(?<![\p{{L}}\p{{N}}_]){old}(?![\p{{L}}\p{{N}}_])", new)
         return query
 
     return reword

@@ -386,11 +386,6 @@ def chunk_ids(spark, d):
     return T(spark, d, "documents").select("doc_id", tx.chunk_id(F.array("lang", "source"), F.col("text")).alias("chunk_id"))
 
 
-@query("chunk_windows")
-def chunk_windows(spark, d):
-    return structure.window_text(doc_texts(spark, d))
-
-
 @query("monotonicity", "WITH s AS (SELECT conv_id, CASE WHEN length(text) >= lag(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) THEN 1.0 WHEN lag(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) IS NOT NULL THEN 0.0 END AS up FROM conversations) SELECT conv_id, count(*) AS n, round(CASE WHEN count(*) < 3 THEN 0.0 ELSE avg(up) END, 9) AS share FROM s GROUP BY conv_id")
 def monotonicity(spark, d):
     return structure.monotonicity(T(spark, d, "conversations").withColumn("chars", F.length("text")), "conv_id", "turn", "chars")
@@ -492,4 +487,4 @@ def sketch_repair(spark, d):
     return values(spark, [(i, ">".join(flow.repair(s))) for i, s in enumerate(sketches, 1)], "id int, sketch string")
 
 
-from loam import corpus_queries, flow_queries, index_queries, rule_queries, table_queries  # noqa: E402, F401  their queries register themselves
+from loam import chunk_queries, corpus_queries, flow_queries, index_queries, rule_queries, table_queries  # noqa: E402, F401  their queries register themselves

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loam.functions import text as tx
-from loam.operators import search, stats, structure
+from loam.operators import chunk, search, stats, structure
 from loam.plans import flow
 from loam.sources import io
 from loam.streaming.incremental import index_stream
@@ -20,15 +20,36 @@ def test_mcnemar_and_holm(spark):
 
 def test_window_text_invariants(spark):
     text = " ".join(f"word{i}{'.' if i % 9 == 0 else ''}" for i in range(2000))
-    rows = structure.window_text(spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "x" * 5000)], "id long, text string"), 600).collect()
+    rows = chunk.window_text(spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "x" * 5000)], "id long, text string"), 600).collect()
     mine = sorted((r for r in rows if r["id"] == 1), key=lambda r: r["ordinal"])
-    assert mine[0]["start"] == 0 and mine[-1]["stop"] == len(text)
-    assert all(a["start"] < b["start"] <= a["stop"] for a, b in zip(mine, mine[1:]))
-    assert all(len(r["chunk"]) <= 600 for r in mine)
+    assert mine[0]["first"] == 0 and mine[-1]["first"] + mine[-1]["words"] == 2000
+    assert all(a["first"] < b["first"] <= a["first"] + a["words"] for a, b in zip(mine, mine[1:]))
+    assert all(r["chunk"] == " ".join(text.split()[r["first"] : r["first"] + r["words"]]) and len(r["chunk"]) < 610 for r in mine)
+    assert all(r["chunk"].endswith(".") for r in mine[:-1])
     assert [r["chunk"] for r in rows if r["id"] == 4] == ["x" * 5000]
     assert not [r for r in rows if r["id"] in (2, 3)]
 
 
+def test_chunks_by_hand(spark):
+    prose = "One two three four five six seven eight."
+    pages = [("b", 1, 1, f"lead {prose}\nINTRO\n{prose}\nFirst Part\n{prose}"), ("b", 2, 1, f"goes on {prose}\nSECOND\n{prose}\nNot a heading\nshort"), ("b", 3, 2, prose), ("c", 1, None, "  \n"), ("c", 2, None, prose), ("d", 1, None, None)]
+    got = chunk.build_parents(spark.createDataFrame(pages, "book string, page int, chapter int, text string")).collect()
+    rows = {(r["book"], r["run"], r["island"]): (r["path"], r["first_page"], r["last_page"], r["text"]) for r in got}
+    assert rows == {
+        ("b", 0, 0): ([], 1, 1, f"lead {prose}\n"), ("b", 0, 1): (["INTRO"], 1, 1, prose + "\n"), ("b", 0, 2): (["INTRO", "First Part"], 1, 2, f"{prose}\ngoes on {prose}\n"),
+        ("b", 0, 3): (["SECOND"], 2, 2, f"{prose}\nNot a heading\nshort\n"), ("b", 1, 0): ([], 3, 3, prose + "\n"), ("c", 0, 0): ([], 1, 2, f"  \n\n{prose}\n"),
+    }
+    merged = {(r["book"], r["run"], r["island"]): (r["path"], r["last_page"], r["text"]) for r in chunk.merge_parents(spark.createDataFrame(got), 60).collect()}
+    assert merged[("b", 0, 0)] == ([], 1, f"lead {prose}\n\nINTRO {prose}\n") and ("b", 0, 1) not in merged and len(merged) == 5
+    whole = chunk.chunk(spark.createDataFrame(pages, "book string, page int, chapter int, text string"), 10, 0.2, least=0).collect()
+    parents = [r for r in whole if r["level"] == "parent"]  # two have the same path and text, so the same id
+    assert len(parents) == 6 and len({r["id"] for r in parents}) == 5 and {r["parent_id"] for r in whole if r["level"] == "child"} == {r["id"] for r in parents}
+    for p in parents:
+        assert [r["text"] for r in sorted((r for r in whole if r["parent_id"] == p["id"] and r["book"] == p["book"] and r["first_page"] == p["first_page"]), key=lambda r: r["ordinal"])] == [c for _, _, c in chunk.windows_of(p["text"], 32, 0.2)]
+    flat = chunk.chunk(spark.createDataFrame(pages, "book string, page int, chapter int, text string"), hierarchy=False).filter("level = 'parent'").collect()
+    assert sorted((r["book"], r["first_page"], tuple(r["path"])) for r in flat) == [("b", 1, ()), ("b", 2, ()), ("b", 3, ()), ("c", 2, ())]
+
+
 def test_citations_are_whole_words(spark):
     quotes = spark.createDataFrame([(1, "one two three four five six"), (2, "one two three"), (3, "Ó-ne two, three four five SIX!")], "quote_id long, quote string")
     docs = spark.createDataFrame([(1, "zero ONE two three, four five six seven"), (2, "one two three four five sixty"), (3, None)], "id long, text string")
