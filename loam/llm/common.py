@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 
 _own: list[str] = []
 _made: set[str] = set()
-#: Files a core that a written table has at most; a partition may be read in parts, and many small files cost more than they help.
-FILES_A_CORE = 8
+#: Small tables are written in so few files a core; larger ones keep their tasks unless a file would hold fewer than FILE_BYTES.
+FILES_A_CORE, FILE_BYTES = 8, 16 << 20
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -58,12 +58,14 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str = "table", whole_partitions: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back with the same schema.
 
-    Partitions are written together where they far outnumber the cores, unless ``whole_partitions`` (their numbers count).
+    Partitions of a small table are written together where they far outnumber the cores, unless ``whole_partitions`` (their
+    numbers count). The planner's size of the table bounds that: its bytes a task don't grow with the input.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
     if not whole_partitions:
-        df = df.coalesce(FILES_A_CORE * spark.sparkContext.defaultParallelism)
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        df = df.coalesce(min(max(FILES_A_CORE * spark.sparkContext.defaultParallelism, -(-size // FILE_BYTES)), (1 << 31) - 1))
     # Row groups small enough that a writing task buffers little and a reading task can split the file.
     df.write.option("parquet.block.size", 32 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -16,13 +16,13 @@ all others; repeated rows give equal rows; extra columns are ignored; an empty t
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.llm.common import doc_fold, lean
 
 DIM = 2048
-PER_LANGUAGE, MOST = 600, 4800
+PER_LANGUAGE, MOST, LANGUAGES = 600, 4800, 500
 AMBIGUOUS = 0.1
 #: Texts are featurised in pieces of so many characters, so that memory stays bounded; counts are those of whole texts.
 PIECE = 1 << 20
@@ -148,24 +148,34 @@ def featurise(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataF
     return docs.select(*keep, text_col).mapInArrow(lean(run), schema)
 
 
-def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """Fits on rows with a language and a fold (crc32 of the id, modulo 3) other than 1."""
+def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", languages: int = LANGUAGES) -> Model | None:
+    """Fits on rows with a language and a fold (crc32 of the id, modulo 3) other than 1.
+
+    At most ``languages`` of them, those with the most different rows, and of each at most ``per_language`` rows, or fewer that make ``most``
+    together: those that a hash of id and text picks among the different ones. A row that repeats counts once, so
+    that nothing beyond these bounds is brought together, and no language goes without rows because another row of it is frequent.
+    """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (doc_fold(F.col("id")) % 3 != 1))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = rows.withColumn("row", F.xxhash64("id", "text", F.lit("language")))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("row").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    counts = {r["lang"]: max(1, r["n"]) for r in counts}
     if not counts:
         return None
     each = max(1, min(per_language, most // len(counts)))
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, each / n))])
-    luck = F.pmod(F.xxhash64(F.col("id"), F.lit("language")), F.lit(1 << 20)) / float(1 << 20)
-    got = featurise(rows.filter(luck < share[F.col("lang")]), ["id", "lang"]).filter("vector is not null").select("id", "lang", "vector").toPandas()
+    # Twice as many as wanted, as the counts are estimates; then each row once, and the first of each language.
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2.0 * each / n))])
+    luck = F.pmod(F.col("row"), F.lit(1 << 30)) / float(1 << 30)
+    some = rows.filter(luck < share[F.col("lang")]).withColumn("luck", luck).dropDuplicates(["lang", "row"])
+    vectors = featurise(some, ["id", "lang", "luck"]).filter("vector is not null")
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("luck", "id", "vector"))
+    got = vectors.withColumn("nth", first).filter(F.col("nth") <= each).select("id", "lang", "vector").toPandas()
     if not len(got):
         return None
     got = got.sort_values(["lang", "id", "vector"], kind="stable")
-    got = got.groupby("lang").head(2 * each)
-    languages = sorted(got["lang"].unique())
-    number = {x: i for i, x in enumerate(languages)}
-    return fit(np.stack([np.frombuffer(v, np.float32) for v in got["vector"]]), got["lang"].map(number).to_numpy(), languages)
+    names = sorted(got["lang"].unique())
+    number = {x: i for i, x in enumerate(names)}
+    return fit(np.stack([np.frombuffer(v, np.float32) for v in got["vector"]]), got["lang"].map(number).to_numpy(), names)
 
 
 def identify(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text") -> DataFrame:

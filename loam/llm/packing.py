@@ -97,15 +97,15 @@ def encoder(path: str) -> Encoder:
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each document's ids cut into windows and a tail: doc_id, start, length, doc_tokens, ids (little-endian uint32), and the
-    task that cut it with the piece's rank among the task's pieces of that length."""
+    """Each document's ids cut into windows and a tail: doc_id, start, length, doc_tokens, ids (little-endian uint32), the
+    task that cut it, the piece's rank among the task's pieces of that length and its number among all of the task."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        enc, task, seen = encoder(tokenizer_path), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
+        enc, task, seen, cut_before = encoder(tokenizer_path), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64), 0
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             row, start, length, total, blob, nth = [], [], [], [], [], []
@@ -121,13 +121,15 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, id_
                     nth.append(int(seen[m]))
                     seen[m] += 1
             longs = [pa.array(x, pa.int64()) for x in (start, length, total)]
+            number = pa.array(np.arange(cut_before, cut_before + len(row)))
+            cut_before += len(row)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row, pa.int64())), *longs, pa.array(blob, pa.binary()), pa.array([task] * len(row), pa.int32()), pa.array(nth, pa.int64())],
-                names=["doc_id", "start", "length", "doc_tokens", "ids", "task", "nth"],
+                [batch.column(0).take(pa.array(row, pa.int64())), *longs, pa.array(blob, pa.binary()), pa.array([task] * len(row), pa.int32()), pa.array(nth, pa.int64()), number],
+                names=["doc_id", "start", "length", "doc_tokens", "ids", "task", "nth", "number"],
             )
 
     narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return narrow.mapInArrow(lean(cut), f"doc_id {id_type}, start long, length long, doc_tokens long, ids binary, task int, nth long")
+    return narrow.mapInArrow(lean(cut), f"doc_id {id_type}, start long, length long, doc_tokens long, ids binary, task int, nth long, number long")
 
 
 def combinations(window: int, lengths: np.ndarray) -> np.ndarray:
@@ -262,29 +264,27 @@ def pack_rest(lengths: np.ndarray, window: int = WINDOW) -> list[list[tuple[int,
 
 def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces with their ids and places: doc_id, start, length, doc_tokens, ids, sequence_id, offset. Sequences of the plan are
-    numbered from 0; those that a task makes by itself (full windows, what the plan leaves) from its own number times 2^40."""
+    numbered from 0; each of those that a task makes by itself (full windows, what the plan leaves) is numbered by its first piece, as the
+    stored table of pieces names it, and where in that piece it begins. So numbers are the same whatever is done to the result."""
     pieces = materialise(token_pieces(docs, tokenizer_path, window, id_col, text_col), "pieces", whole_partitions=True)
     counts = pieces.filter(F.col("length") < window).groupBy("length", "task").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     ahead = materialise(counts.select("length", "task", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead")), "ahead")
     histogram = ahead.groupBy("length").agg(F.sum("n").alias("n")).collect()  # at most window - 1 rows
     plan = Plan(*recipe({r["length"]: r["n"] for r in histogram}, window))
-    ranked = pieces.join(small(ahead.drop("n")), ["length", "task"], "left").select("doc_id", "start", "length", "doc_tokens", "ids", (F.col("nth") + F.col("ahead")).alias("rank"))
+    ranked = pieces.join(small(ahead.drop("n")), ["length", "task"], "left").select("doc_id", "start", "length", "doc_tokens", "ids", (F.col("nth") + F.col("ahead")).alias("rank"), ((F.col("task") + 1).cast("long") * (1 << 40) + F.col("number") * (1 << 10)).alias("name"))
 
     def place(batches):
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId() + 1 << 40
         names = ["doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset"]
 
         def packed(held):
-            nonlocal number
             table = pa.Table.from_batches(held)
-            lengths, starts, blobs = table.column(2).to_numpy(), table.column(1).to_numpy(), table.column(4).to_pylist()
+            lengths, starts, blobs, name = table.column(2).to_numpy(), table.column(1).to_numpy(), table.column(4).to_pylist(), table.column(6).to_numpy()
             row, start, length, blob, seq, offset = [], [], [], [], [], []
             for pieces_of in pack_rest(lengths, window):
-                at = 0
+                at, number = 0, int(name[pieces_of[0][0]]) + pieces_of[0][1]
                 for i, a, n in pieces_of:
                     row.append(i)
                     start.append(starts[i] + a)
@@ -293,7 +293,6 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, id_col: str
                     seq.append(number)
                     offset.append(at)
                     at += n
-                number += 1
             take = pa.array(row, pa.int64())
             cols = [table.column(0).take(take), pa.array(start, pa.int64()), pa.array(length, pa.int64()), table.column(3).take(take), pa.array(blob, pa.binary()), pa.array(seq, pa.int64()), pa.array(offset, pa.int64())]
             yield from pa.Table.from_arrays(cols, names=names).to_batches(2000)
@@ -306,8 +305,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, id_col: str
             full = length == window
             taken, seq, offset = plan.places(length, rank)
             taken |= full
-            seq[full], offset[full] = number + np.arange(full.sum()), 0
-            number += int(full.sum())
+            seq[full], offset[full] = batch.column(6).to_numpy()[full], 0
             known, batch = batch.filter(pa.array(taken)), batch.filter(pa.array(~taken))
             if known.num_rows:
                 yield pa.RecordBatch.from_arrays([*known.columns[:5], pa.array(seq[taken]), pa.array(offset[taken])], names=names)

@@ -122,23 +122,29 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = TREES) -> Forest:
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Forest:
-    """Fits on labelled rows with a fold (crc32 of the id, modulo 3) other than 1."""
+    """Fits on at most ``most`` different labelled rows with a fold (crc32 of the id, modulo 3) other than 1."""
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("y")).filter("id is not null and y in (0, 1)")
     known = known.filter(doc_fold(F.col("id")) % 3 != 1).groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).filter("y = z").drop("z")
     n = known.count()
     luck = F.pmod(F.xxhash64(F.col("id"), F.lit("quality")), F.lit(1 << 24)) / float(1 << 24)
     known = known.filter(luck < min(1.0, most / max(1, n)))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(small(known), "id")
+    # An id may stand for any number of rows: of the different ones, a hash of id and text picks about ``most``, twice at first, as the count is an estimate.
+    rows = rows.withColumn("row", F.xxhash64("id", F.coalesce("text", F.lit("")), F.lit("quality")))
+    n_rows = rows.agg(F.approx_count_distinct("row")).first()[0]
+    luck = F.pmod(F.col("row"), F.lit(1 << 30)) / float(1 << 30)
+    rows = rows.filter(luck < min(1.0, 2.0 * most / max(1, n_rows))).withColumn("luck", luck).dropDuplicates(["row"])
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             blobs = [statistics(t).tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], names=["id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(blobs, pa.binary()), batch.column(3)], names=["id", "y", "x", "luck"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    got = rows.select("id", "y", "text").mapInArrow(lean(run), f"id {kinds['id']}, y {kinds['y']}, x binary").toPandas().sort_values(["id", "x"], kind="stable")
+    found = rows.select("id", "y", "text", "luck").mapInArrow(lean(run), f"id {kinds['id']}, y {kinds['y']}, x binary, luck double")
+    got = found.orderBy("luck", "id", "x").limit(most).toPandas().sort_values(["id", "x"], kind="stable")
     x = np.stack([np.frombuffer(b, np.float32) for b in got["x"]]).astype(float) if len(got) else np.zeros((0, len(NAMES)))
     return grow(x, got["y"].to_numpy().astype(float))
 
