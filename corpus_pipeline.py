@@ -62,8 +62,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix draws it, in the order of the mix: blocks one after another, each in its permutation.
 
-    Rows that repeat whole are one document, drawn as often as one. Whole blocks go to a task, which writes them in order of place;
-    the next stage reads and packs them in that order.
+    Rows that repeat whole are one document, drawn as often as one. Whole blocks go to a task, which writes them in order of place.
+    Stages hand on the columns of documents only, so that the next one plans its sequences over all blocks: it keeps the
+    mix's shares, not its order.
     """
     draws = materialise(mixing.mix(docs).select("doc_id", "text_hash", "block", "place"), "draws")
     whole = _hashed(docs)
