@@ -168,44 +168,3 @@ def scoreboard(spark, d):
     s = facts(spark, d).select(F.explode(F.array(*[F.struct(F.lit(x).alias("system"), c(x).alias("ok")) for x in "abc"])).alias("x"))
     t = s.groupBy(c("x.system").alias("system")).agg(F.count("*").alias("n"), F.avg("x.ok").alias("acc"))
     return t.select("system", "n", F.round("acc", 9).alias("accuracy"), F.row_number().over(Window.orderBy(F.desc("acc"), "system")).cast("long").alias("place"))
-
-
-# Literal fixtures.
-@query("carry_header", literal([(1, "C1"), (2, "C1"), (3, "C2"), (4, "C2")], ["page", "chapter"], {"page": "INT"}))
-def carry_header(spark, d):
-    pages = values(spark, [(1, "C1"), (2, None), (3, "C2"), (4, None)], "page int, head string").withColumn("book", F.lit(1))
-    return structure.carried(pages, "book", "page", "head", "chapter").select("page", "chapter")
-
-
-@query("pos_to_page", literal([(0, 1), (9, 1), (10, 2), (24, 2), (25, 3)], ["pos", "page"], {"pos": "INT", "page": "INT"}))
-def pos_to_page(spark, d):
-    pages = values(spark, [(1, 10), (2, 15), (3, 5)], "page int, chars int").withColumn("upto", F.sum("chars").over(Window.orderBy("page"))).withColumn("since", c("upto") - c("chars"))
-    return values(spark, [(i,) for i in (0, 9, 10, 24, 25)], "pos int").join(pages, F.expr("pos >= since and pos < upto")).select("pos", "page")
-
-
-@query("build_question", literal([(1, "Stem\nClaim"), (2, "Stem\nA) x\nB) y")], ["id", "question"], {"id": "INT"}))
-def build_question(spark, d):
-    rows = values(spark, [(1, "Stem", "Claim", None), (2, "Stem", None, {"B": "y", "A": "x"})], "id int, stem string, claim string, alts map<string,string>")
-    alts = F.array_join(F.transform(F.array_sort(F.map_entries("alts")), lambda e: F.concat(e["key"], F.lit(") "), e["value"])), "\n")
-    return rows.select("id", F.concat_ws("\n", "stem", "claim", alts).alias("question"))
-
-
-@query("valid_letter", literal([(1, "V", 1), (2, "A", 0), (3, "D", 1)], ["id", "letter", "valid"], {"id": "INT", "valid": "INT"}))
-def valid_letter(spark, d):
-    rows = values(spark, [(1, "vf", " v "), (2, "vf", "A"), (3, "mcq", "d")], "id int, kind string, answer string").withColumn("letter", tx.first_letter(c("answer")))
-    return rows.select("id", "letter", F.when(c("kind") == "vf", c("letter").isin("V", "F")).otherwise(c("letter").isin("A", "B", "C", "D")).cast("int").alias("valid"))
-
-
-@query("gate", literal([(1, 0), (2, 1), (3, 0)], ["id", "keeps"], {"id": "INT", "keeps": "INT"}))
-def gate(spark, d):
-    rows = values(spark, [(1, "NAO"), (2, "SIM"), (3, "NÃO_TRATA")], "id int, reply string")
-    return rows.select("id", (~F.contains(tx.fold(c("reply")), F.lit("nao"))).cast("int").alias("keeps"))
-
-
-@query("parse_vf", literal([("e", 1, "a", "first claim", "V"), ("e", 1, "b", "second claim", "F"), ("e", 2, "a", "third claim", "F")], ["exam", "number", "letter", "claim", "answer"], {"number": "INT"}))
-def parse_vf(spark, d):
-    exams = values(spark, [("e", "1) Stem one\na) first claim (V)\nb) second claim (F)\n2) Stem two\na) third claim (F)\n")], "exam string, text string")
-    blocks = exams.select("exam", F.explode(F.split("text", r"(?m)(?=^[0-9]+\))")).alias("block")).filter(c("block").rlike(r"^[0-9]+\)"))
-    lines = blocks.select("exam", F.regexp_extract("block", "^([0-9]+)", 1).cast("int").alias("number"), F.explode(F.split("block", "\n")).alias("line")).filter(c("line").rlike(r"^[a-e]\) .*\([VF]\)$"))
-    part = lambda i: F.regexp_extract("line", r"^([a-e])\) (.*) \(([VF])\)$", i)
-    return lines.select("exam", "number", part(1).alias("letter"), part(2).alias("claim"), part(3).alias("answer"))

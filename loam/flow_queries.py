@@ -138,31 +138,3 @@ def _variant(name: str):
 
 for _name, _stages in flow.VARIANTS.items():
     query(f"flow_{_name}", _BASE + SQL[_name] + " " + _end(_stages))(_variant(_name))
-
-
-# The rules on sketches.
-@query("sketch_update", literal([(1, "reformulate>search>respond"), (2, "reformulate>respond"), (3, "route>quota>interleave>respond")], ["id", "sketch"], {"id": "INT"}))
-def sketch_update(spark, d):
-    proposed = [["respond", "search", "reformulate", "search", "teleport"], ["gate", "reformulate"], ["interleave", "quota", "route"]]
-    return values(spark, [(i, ">".join(flow.canonical(s))) for i, s in enumerate(proposed, 1)], "id int, sketch string")
-
-
-@query("prompt_update", literal([(1, 100), (2, 10), (3, 10)], ["id", "chars"], {"id": "INT", "chars": "INT"}))
-def prompt_update(spark, d):
-    return values(spark, [(i, len(flow.accept_prompt("o" * 10, "n" * n))) for i, n in enumerate((100, 80, 2500), 1)], "id int, chars int")
-
-
-@query("evaluate_select", literal([(2, "b", 0.7)], ["step", "sketch", "score"], {"step": "INT", "score": "DOUBLE"}))
-def evaluate_select(spark, d):
-    return flow.best_sketch(values(spark, [(1, "a", 0.5), (2, "b", 0.7), (3, "c", 0.7)], "step int, sketch string, score double"))
-
-
-@query("sink_diagram", literal([(1, "graph TD;\n\t__start__ --> search;\n\tsearch --> expand_parent;\n\texpand_parent --> respond;\n\trespond --> __end__;")], ["id", "diagram"], {"id": "INT"}))
-def sink_diagram(spark, d):
-    return values(spark, [(1, flow.diagram(["search"]))], "id int, diagram string")
-
-
-@query("schema_for", literal([("mcq", "estrita", "letra>citacoes"), ("vf", "estrita", "resposta>citacoes"), ("vf", "falsificacao", "erro_apontado>resposta>citacoes"), ("vf", "confiante", "ressalva>resposta>citacoes")], ["mode", "anchoring", "fields"]))
-def schema_for(spark, d):
-    cases = [("mcq", "estrita"), ("vf", "estrita"), ("vf", "falsificacao"), ("vf", "confiante")]
-    return values(spark, [(m, a, ">".join(flow.answer_fields(m, a))) for m, a in cases], "mode string, anchoring string, fields string")

@@ -38,12 +38,12 @@ UNITS = {
 TOPICS = ["juridico-normativo", "imagem", "valor-numerico", "gestao", "farmacologia", "tecnica", "fisiopatologia"]
 NORMATIVE = ["juridico-normativo", "gestao"]
 LEGAL = (
-    r"(?i)\bCFM\b|\bCRM\b|conselho (federal|regional) de medicina|resolu[çc][ãa]o\s+(n?[º°.]?\s*)?\d|\blei\s+n?[º°.]?\s*\d"
+    r"(?iu)\bCFM\b|\bCRM\b|conselho (federal|regional) de medicina|resolu[çc][ãa]o\s+(n?[º°.]?\s*)?\d|\blei\s+n?[º°.]?\s*\d"
     r"|c[óo]digo de [ée]tica m[ée]dica|\bANVISA\b|portaria\s+n?[º°.]?\s*\d|sociedade brasileira de anestesiologia"
     r"|congresso brasileiro de anestesio|\bSBA\b|\bAMB\b|assembleia de representantes|diretoria|estatuto|regimento"
 )
 IMAGE = (
-    r"(?i)com legenda|\blegenda\s*[\"“]|\bestrutura\s+\d\b|\bfigura\s+\d|\b(nesta|nesse|neste|na)\s+(figura|imagem|tra[çc]ado)\b"
+    r"(?iu)com legenda|\blegenda\s*[\"“]|\bestrutura\s+\d\b|\bfigura\s+\d|\b(nesta|nesse|neste|na)\s+(figura|imagem|tra[çc]ado)\b"
     r"|\bindicad[oa]\s+pela\s+seta\b"
 )
 NUMERIC = r"(?i)\b\d+(?:[,.]\d+)?\s*(mg/kg|mcg/kg|mL/kg|mg|mL|mcg|µg|kg|mmHg|cmH2O|mEq/L|UI|%)\b|\bvariam?\s+de\s+\d+\s+a\s+\d+\b"
@@ -177,3 +177,18 @@ def source_header(nature: Column, book: Column, chapter_no: Column, chapter: Col
         F.when(F.size(path) > 0, F.concat(F.lit(" | "), F.array_join(path, " > "))).otherwise(""),
     )
     return F.when(nature == "NORMA", F.concat(F.lit("NORMA · "), book, F.lit(" · "), chapter)).otherwise(book_line)
+
+
+# What names a norm, and what may be an exam or its key.
+NORMS = r"(?i)estatuto|regimento|regulamento|resolu[çc][ãa]o|norma|c[óo]digo|cem[0-9]{4}|diretriz"
+EXAMS = r"(?i)gabarito|prova|(^|[^A-Za-z0-9_])ME[123]([^A-Za-z0-9_]|$)|trimestral|quadri|simulado"
+
+
+def is_norm_only(name: Column) -> Column:
+    """Whether a document's address or title names a norm and nothing of an exam: a key in the index would answer what is being asked."""
+    return name.rlike(NORMS) & ~name.rlike(EXAMS)
+
+
+def keeps_context(reply: Column) -> Column:
+    """A judge's reply keeps the context unless it holds a no."""
+    return ~F.contains(fold(reply), F.lit("nao"))

@@ -55,15 +55,38 @@ def column_order(rows: DataFrame, middle: float = 352.0) -> DataFrame:
     return banded.withColumn("pos", F.row_number().over(order).cast("long")).select("page", "pos", "line")
 
 
-def split_articles(docs: DataFrame) -> DataFrame:
-    """(id, pos, kind, label, chapter, body) of texts cut at articles and annexes; the chapter is carried on; no article: the whole text."""
-    mark = r"(?m)(?=^[ \t]*(?:Art\.?|ARTIGO|Artigo|ANEXO|CAP[IÍ]TULO)[ \t]+[0-9IVXLC]+)"
-    parts = docs.select("id", F.posexplode(F.split("text", mark)).alias("pos", "body")).filter(F.length(F.trim("body")) > 0)
-    kind = F.when(F.col("body").rlike(r"^\s*CAP[IÍ]TULO"), "chapter").when(F.col("body").rlike(r"^\s*ANEXO"), "annex").when(F.col("body").rlike(r"^\s*(Art|ARTIGO)"), "article").otherwise("preamble")
-    parts = parts.withColumn("kind", kind).withColumn("label", F.regexp_extract("body", r"^\s*\S+\s+([0-9IVXLC]+)", 1))
-    parts = parts.withColumn("mark", F.when(F.col("kind") == "chapter", F.trim(F.substring_index("body", "\n", 1))))
-    out = carried(parts, "id", "pos", "mark", "chapter")
-    return out.filter("kind != 'chapter'").select("id", F.col("pos").cast("long").alias("pos"), "kind", F.when(F.col("kind").isin("article", "annex"), F.col("label")).alias("label"), "chapter", F.regexp_replace("body", r"^\s+|\s+$", "").alias("body"))
+# How the marks of a norm begin a line.
+ARTICLE, ANNEX = r"^[ \t]*(?:Art\.?|ARTIGO|Artigo)[ \t]*([0-9]+)", r"(?i)^[ \t]*(ANEXO[ \t]+[IVXLC0-9]+)([^A-Za-zÀ-ÿ0-9_]|$)"
+CHAPTER = r"(?i)^[ \t]*(CAP[IÍ]TULO[ \t]+[IVXLC0-9]+|SE[ÇC][ÃA]O[ \t]+[IVXLC0-9]+)"
+
+
+def split_articles(docs: DataFrame, least_preamble: int = 200, least_body: int = 25) -> DataFrame:
+    """(id, pos, kind, label, chapter, body) of texts (id, text) cut where an article or annex begins a line.
+
+    The last chapter or section at or before a cut is its context; its line stays in the body that it stands in. What comes before the first cut is
+    the preamble, if longer than ``least_preamble``; bodies of ``least_body`` characters or fewer go. A text without an article is one piece, even
+    if it has annexes. pos is the cut's number from 0, the preamble's.
+    """
+    found = lambda p: F.nullif(F.regexp_extract("line", p, 1), F.lit(""))
+    marked = lines(docs).withColumn("article", found(ARTICLE)).withColumn("annex", F.upper(found(ANNEX)))
+    here = F.when(F.col("line").rlike(CHAPTER), F.substring(F.trim(F.regexp_replace("line", "[ \t]+", " ")), 1, 70))
+    marked = marked.withColumn("cut", F.col("article").isNotNull() | F.col("annex").isNotNull()).withColumn("here", here)
+    upto = Window.partitionBy("id").orderBy("pos")
+    marked = marked.withColumn("part", F.sum(F.col("cut").cast("int")).over(upto)).withColumn("chapter", F.last("here", ignorenulls=True).over(upto))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
+    first = lambda x: F.min_by(x, "pos").alias(x)
+    parts = marked.groupBy("id", "part").agg(first("article"), first("annex"), first("chapter"), text.alias("raw"))
+    cut_at = F.sum(F.when(F.col("part") == 0, F.length("raw"))).over(Window.partitionBy("id"))
+    articles = F.count("article").over(Window.partitionBy("id"))
+    parts = parts.withColumn("articles", articles).withColumn("before", F.coalesce(cut_at, F.lit(0)))
+    kind = F.when(F.col("part") == 0, "preamble").when(F.col("article").isNotNull(), "article").otherwise("annex")
+    body = F.regexp_replace("raw", r"^[ \t\n\r]+|[ \t\n\r]+$", "")
+    cut = parts.filter("articles > 0").select("id", F.col("part").cast("long").alias("pos"), kind.alias("kind"), F.coalesce(F.concat(F.lit("Art. "), "article"), "annex").alias("label"), F.when(F.col("part") > 0, F.col("chapter")).alias("chapter"), body.alias("body"), "before")
+    cut = cut.filter(F.when(F.col("pos") == 0, F.col("before") >= least_preamble).otherwise(F.length("body") > least_body)).drop("before")
+    none = F.lit(None).cast("string")
+    bare = parts.filter("articles = 0").groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "raw"))), lambda x: x["raw"]), "\n").alias("raw"))
+    bare = bare.select("id", F.lit(0).cast("long").alias("pos"), F.lit("whole").alias("kind"), none.alias("label"), none.alias("chapter"), body.alias("body")).filter("body != ''")
+    return cut.unionByName(bare)
 
 
 def monotonicity(rows: DataFrame, group: str, order: str, number: str) -> DataFrame:
@@ -83,7 +106,7 @@ def answer_sheet(sheets: DataFrame) -> DataFrame:
 
 
 # Fixed value: how an annulled question is marked.
-ANNULLED = r"(?i)quest[aã]o\s+anulada"
+ANNULLED = r"(?iu)quest[aã]o\s+anulada"
 
 
 def parse_mcq(exams: DataFrame) -> DataFrame:
@@ -105,6 +128,66 @@ def parse_mcq(exams: DataFrame) -> DataFrame:
     return out.filter("a != '' and b != '' and c != '' and d != '' and answer != ''")
 
 
+def parse_vf(exams: DataFrame) -> DataFrame:
+    """(exam, number, letter, stem, claim, answer) of exams (exam, text): numbered blocks with lettered claims, each with its verdict at the
+    end of the line of its letter.
+
+    Stems and claims run over lines. Where a cell is centred, its first line stands above the letter: a letter without text of its own
+    takes the last line of the claim before. Claims without a verdict, or that begin with one, go, as does a verdict repeated at the claim's end.
+    """
+    rows = exams.select(F.col("exam").alias("id"), rules.exam_body(F.col("text")).alias("text"))
+    numbered = lines(rows).withColumnRenamed("id", "exam").withColumn("number", F.regexp_extract("line", r"^\s*([0-9]+)\s*[-)–]", 1).try_cast("int"))
+    in_exam = Window.partitionBy("exam").orderBy("pos")
+    rows = numbered.withColumn("block", F.count("number").over(in_exam)).filter("block > 0")
+    line = F.trim(F.regexp_replace("line", r"^\s*[0-9]+\s*[-)–]\s*", ""))
+    rows = rows.withColumn("opens", F.col("number").isNotNull()).withColumn("line", F.when(F.col("opens"), line).otherwise(F.trim("line")))
+    letter = F.when(~F.col("opens"), F.upper(F.regexp_extract("line", r"^([A-Ea-e])[).]", 1)))
+    rows = rows.withColumn("letter", F.nullif(letter, F.lit(""))).withColumn("heads", F.coalesce(~F.col("opens") & F.col("line").rlike(r"(?i)^(quest[oõ]es|resposta:)"), F.lit(False)))
+    in_block = Window.partitionBy("exam", "block").orderBy("pos")
+    rows = rows.withColumn("nth", F.count("letter").over(in_block)).withColumn("headed", F.max("heads").over(in_block))
+    ordered = lambda keep: F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("pos", "line")))), lambda x: x["line"])
+    filled = F.col("line") != ""
+    stems = rows.groupBy("exam", "block").agg(F.first("number", ignorenulls=True).alias("number"), F.array_join(ordered(filled & (F.col("nth") == 0) & ~F.col("headed")), " ").alias("stem"))
+    verdict = r"(?i)(?:^|[^A-Za-zÀ-ÿ0-9_])(Verdadeiro|Falso)\s*$"
+    own = F.regexp_replace(F.col("line"), r"^[A-Ea-e][).]\s*", "")
+    cells = rows.filter("nth > 0").withColumn("own", F.when(F.col("letter").isNotNull(), own))
+    cells = cells.groupBy("exam", "block", "nth").agg(F.first("letter", ignorenulls=True).alias("letter"), F.first("own", ignorenulls=True).alias("own"), ordered(filled & F.col("letter").isNull() & ~F.col("heads")).alias("more"))
+    said = F.lower(F.regexp_extract("own", verdict, 1))
+    cells = cells.withColumn("answer", F.when(said == "verdadeiro", "V").when(said == "falso", "F")).withColumn("own", F.trim(F.when(said != "", F.regexp_replace("own", r"(?i)(Verdadeiro|Falso)\s*$", "")).otherwise(F.col("own"))))
+    by = Window.partitionBy("exam", "block").orderBy("nth")
+    lent = F.when(F.col("own") == "", F.element_at(F.lag("more").over(by), -1))
+    gone = (F.lead("own").over(by) == "") & (F.size("more") > 0)
+    cells = cells.withColumn("first", F.coalesce(F.nullif(F.col("own"), F.lit("")), lent)).withColumn("rest", F.when(gone, F.slice("more", F.lit(1), F.size("more") - 1)).otherwise(F.col("more")))
+    claim = F.trim(F.regexp_replace(F.concat_ws(" ", "first", F.array_join("rest", " ")), r"\s+", " "))
+    claim = F.trim(F.regexp_replace(claim, r"\s*[-–—]\s*[VF]\s*$", ""))
+    last = F.row_number().over(Window.partitionBy("exam", "block", "letter").orderBy(F.desc("nth")))
+    out = cells.withColumn("claim", claim).withColumn("last", last).filter("last = 1 and answer is not null").filter(~F.col("claim").rlike(r"(?i)^(verdadeiro|falso)([^A-Za-zÀ-ÿ0-9_]|$)"))
+    return out.join(stems, ["exam", "block"]).select("exam", "number", "letter", F.trim(F.regexp_replace("stem", r"\s+", " ")).alias("stem"), "claim", "answer")
+
+
+def pos_to_page(positions: DataFrame, pages: DataFrame, span: int = 4096) -> DataFrame:
+    """(id, pos, page) of positions (id, pos) in texts whose pages (id, page, chars) follow one another.
+
+    Both sides meet on the stretch of ``span`` characters that a position is in; a page is in as many as it touches. A position beyond the last page has none.
+    """
+    upto = F.sum("chars").over(Window.partitionBy("id").orderBy("page"))
+    ends = pages.select("id", "page", "chars", upto.alias("upto")).filter("chars > 0").withColumn("since", F.col("upto") - F.col("chars"))
+    ends = ends.withColumn("stretch", F.explode(F.expr(f"sequence(since div {span}, (upto - 1) div {span})")))
+    at = positions.withColumn("stretch", F.expr(f"cast(pos as long) div {span}"))
+    return at.join(ends, ["id", "stretch"]).filter("pos >= since and pos < upto").select("id", "pos", "page")
+
+
+def pages_in_ranges(pages: DataFrame, chunks: DataFrame, span: int = 16) -> DataFrame:
+    """(book, page, chunk) of pages (book, page) in the ranges of chunks (book, chunk, first, last); a null last is the first.
+
+    Both sides meet on stretches of ``span`` pages.
+    """
+    ranges = chunks.withColumn("last", F.coalesce("last", "first")).filter("first <= last")
+    ranges = ranges.withColumn("stretch", F.explode(F.expr(f"sequence(cast(floor(first / {span}) as long), cast(floor(last / {span}) as long))")))
+    at = pages.withColumn("stretch", F.expr(f"cast(floor(page / {span}) as long)"))
+    return at.join(ranges, ["book", "stretch"]).filter("first <= page and page <= last").select("book", "page", "chunk")
+
+
 def outline_intervals(outline: DataFrame, last_page: int) -> DataFrame:
     """(id, depth, path, first_page, last_page) of an outline (id, parent, title, page), walked from its roots by a recursive query.
 
@@ -115,7 +198,7 @@ def outline_intervals(outline: DataFrame, last_page: int) -> DataFrame:
         SELECT id, 0, title, page FROM {outline} WHERE parent IS NULL
         UNION ALL SELECT o.id, w.depth + 1, w.path || ' > ' || o.title, o.page FROM {outline} o JOIN walk w ON o.parent = w.id) SELECT * FROM walk"""
     walk = outline.sparkSession.sql(sql, outline=outline)
-    following = F.lead("page").over(Window.orderBy("page", "depth", "id"))  # an outline of one book
+    following = F.lead("page").over(Window.orderBy("page", "depth", "id"))  # an outline of one book, some hundreds of entries
     return walk.select("id", "depth", "path", F.col("page").alias("first_page"), F.coalesce(F.greatest("page", following - 1), F.lit(last_page)).alias("last_page"))
 
 
@@ -135,3 +218,48 @@ def first_of(df: DataFrame, key: list[str], order: str) -> DataFrame:
     """The first row of each key."""
     kept = F.min_by(F.struct(*df.columns), order)
     return df.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(kept.alias("x")).select("x.*")
+
+
+def tall_lines(rows: DataFrame) -> DataFrame:
+    """Lines (page, height, line) at least 1.35 times as high as their page's middle one, or 20 where that is 0, of at most twelve words."""
+    middle = F.median("height").over(Window.partitionBy("page"))
+    tall = rows.withColumn("least", F.when(middle == 0, 20.0).otherwise(1.35 * middle))
+    return tall.filter((F.col("height") >= F.col("least")) & (word_count("line") <= 12)).drop("least")
+
+
+def better_reading(layout: F.Column, raw: F.Column) -> F.Column:
+    """Which of two readings of a page, layout or raw, has the larger share of article numbers that don't fall; layout if they are equal."""
+    numbers = lambda t: F.transform(F.regexp_extract_all(t, F.lit(r"(?m)^\s*Art\.?\s*(\d{1,3})\s*[°ºo]?\s*[-–—.]"), F.lit(1)), lambda x: x.cast("int"))
+
+    def share(found):
+        rest = F.greatest(F.size(found) - 1, F.lit(0))
+        rises = F.zip_with(F.slice(found, F.lit(2), rest), F.slice(found, F.lit(1), rest), lambda b, a: (b >= a).cast("int"))
+        return F.when(F.size(found) < 3, 0.0).otherwise(F.aggregate(rises, F.lit(0), lambda s, x: s + x) / (F.size(found) - 1))
+
+    return F.when(share(numbers(raw)) > share(numbers(layout)), "raw").otherwise("layout")
+
+
+def question_text(stem: F.Column, claim: F.Column, alternatives: F.Column) -> F.Column:
+    """The stem, then the claim or the alternatives in the order of their letters."""
+    alts = F.array_join(F.transform(F.array_sort(F.map_entries(alternatives)), lambda e: F.concat(e["key"], F.lit(") "), e["value"])), "\n")
+    return F.concat_ws("\n", stem, claim, alts)
+
+
+def is_valid_letter(kind: F.Column, letter: F.Column) -> F.Column:
+    return F.when(kind == "vf", letter.isin("V", "F")).otherwise(letter.isin("A", "B", "C", "D"))
+
+
+def is_complete(alternatives: F.Column) -> F.Column:
+    """Whether at least four alternatives are there and A to D aren't blank."""
+    filled = lambda k: F.coalesce(F.trim(alternatives[k]), F.lit("")) != ""
+    return (F.size(alternatives) >= 4) & filled("A") & filled("B") & filled("C") & filled("D")
+
+
+def real_questions(blocks: DataFrame) -> DataFrame:
+    """Blocks (text) that are neither annulled nor instructions."""
+    return blocks.filter(~F.col("text").rlike(ANNULLED) & ~rules.is_instructions(F.col("text")))
+
+
+def with_key(claims: DataFrame) -> DataFrame:
+    """Claims (claim, answer) whose answer is known and doesn't stand at their beginning."""
+    return claims.filter(F.col("answer").isNotNull() & ~F.col("claim").rlike(r"(?i)^(verdadeiro|falso)([^A-Za-zÀ-ÿ0-9_]|$)"))

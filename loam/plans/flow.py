@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions import rules
-from loam.functions.text import focus_query, tokens
+from loam.functions.text import first_letter, focus_query, tokens
 from loam.operators import index
 from loam.operators.search import bm25_topk, dense_topk, formula_search, ranked_top, rrf_fuse
 
@@ -52,6 +52,40 @@ def canonical(sketch: list[str]) -> list[str]:
     return found if SEARCHES & set(found) else [s for s in found if s in ("reformulate", "respond")]
 
 
+def _names(stages) -> F.Column:
+    return F.array(*map(F.lit, stages)) if stages else F.array().cast("array<string>")
+
+
+def repair_column(sketch: F.Column) -> F.Column:
+    """``repair`` of each row's array of stage names."""
+    known = F.filter(sketch, lambda s: s.isin([x for x in STAGES if x != "respond"]))
+    bare = F.arrays_overlap(known, _names(sorted(SEARCHES))) & ~F.arrays_overlap(known, _names(sorted(CONTEXTS)))
+    return F.concat(known, F.when(bare, _names(["expand_parent"])).otherwise(_names([])), _names(["respond"]))
+
+
+def canonical_column(sketch: F.Column) -> F.Column:
+    """``canonical`` of each row's array of stage names."""
+    found = F.filter(_names(STAGES), lambda s: F.array_contains(sketch, s) | (s == "respond"))
+    return F.when(F.arrays_overlap(found, _names(sorted(SEARCHES))), found).otherwise(F.filter(found, lambda s: s.isin("reformulate", "respond")))
+
+
+def diagram_column(sketch: F.Column) -> F.Column:
+    """``diagram`` of each row's array of stage names."""
+    nodes = F.concat(_names(["__start__"]), repair_column(sketch), _names(["__end__"]))
+    edges = F.zip_with(F.slice(nodes, F.lit(1), F.size(nodes) - 1), F.slice(nodes, F.lit(2), F.size(nodes) - 1), lambda a, b: F.concat(F.lit("\t"), a, F.lit(" --> "), b, F.lit(";")))
+    return F.concat(F.lit("graph TD;\n"), F.array_join(edges, "\n"))
+
+
+def answer_fields_column(mode: F.Column, anchoring: F.Column) -> F.Column:
+    """``answer_fields`` of each row's mode and anchoring."""
+    first = F.when(anchoring == "estrita", _names([])).when(anchoring == "falsificacao", _names(["erro_apontado"])).otherwise(_names(["ressalva"]))
+    return F.concat(first, F.array(F.when(mode == "mcq", "letra").otherwise("resposta")), _names(["citacoes"]))
+
+
+def accept_prompt_column(old: F.Column, new: F.Column) -> F.Column:
+    return F.when((F.length(new) > 80) & (F.length(new) < 2500), new).otherwise(old)
+
+
 def accept_prompt(old: str, new: str) -> str:
     """A proposed prompt replaces the old one only if its length is sensible."""
     return new if 80 < len(new) < 2500 else old
@@ -62,6 +96,26 @@ def best_sketch(history: DataFrame) -> DataFrame:
     return history.orderBy(F.desc("score"), "step").limit(1)
 
 
+def best_steps(history: DataFrame, by: str) -> DataFrame:
+    """``best_sketch`` of each ``by``: (by, step, score)."""
+    best = F.max(F.struct("score", (-F.col("step")).alias("back"))).alias("x")
+    return history.groupBy(by).agg(best).select(by, (-F.col("x.back")).alias("step"), "x.score")
+
+
+def parsed_reply(mode: F.Column, reply: F.Column) -> F.Column:
+    """(answer, citations, caveat) of a model's JSON reply; what can't be read is empty. A choice's answer is its first letter."""
+    r = F.from_json(reply, "letra string, resposta string, ressalva string, erro_apontado string, citacoes array<struct<trecho string, pagina string>>")
+    text = lambda x: F.coalesce(F.trim(x), F.lit(""))
+    answer = F.when(mode == "mcq", first_letter(text(r["letra"]))).otherwise(text(r["resposta"]))
+    return F.struct(answer.alias("answer"), F.coalesce(F.array_size(r["citacoes"]), F.lit(0)).alias("citations"), text(F.coalesce(r["ressalva"], r["erro_apontado"])).alias("caveat"))
+
+
+def reply_terms(replies: DataFrame) -> DataFrame:
+    """(id, term) of replies (id, reply): a line is a term, if it has 3 to 60 characters."""
+    terms = replies.select("id", F.explode(F.split("reply", "\n")).alias("term")).select("id", F.trim("term").alias("term"))
+    return terms.filter(F.length("term").between(3, 60))
+
+
 def diagram(sketch: list[str]) -> str:
     """Mermaid text of a sketch."""
     nodes = ["__start__", *repair(sketch), "__end__"]

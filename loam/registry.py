@@ -175,11 +175,6 @@ def cite_fidelity(spark, d):
     return rows.groupBy((F.col("item_id") % 10).alias("answer")).agg(F.count("*").alias("total"), F.count("first_doc").alias("literal"), F.round(F.count("first_doc") / F.count("*"), 9).alias("fidelity"), F.coalesce(F.min("first_doc"), F.lit(-1)).alias("first_doc"))
 
 
-@query("contamination_guard", "SELECT page_id, url FROM pages WHERE regexp_matches(url, '(?i)example\\.(com|org)') AND NOT regexp_matches(url, '(?i)(page=|#top)')")
-def contamination_guard(spark, d):
-    return T(spark, d, "pages").filter(F.col("url").rlike(r"(?i)example\.(com|org)") & ~F.col("url").rlike("(?i)(page=|#top)")).select("page_id", "url")
-
-
 # Sampling, splits and duplicates.
 def sql_share(salt, key):
     return f"CAST('0x' || substr(sha1('{salt}:' || {key}), 1, 8) AS BIGINT)"
@@ -391,19 +386,6 @@ def monotonicity(spark, d):
     return structure.monotonicity(T(spark, d, "conversations").withColumn("chars", F.length("text")), "conv_id", "turn", "chars")
 
 
-@query("numeric_anchor", "SELECT doc_id, len(regexp_extract_all(text, '[0-9]+ *%')) AS n FROM documents WHERE regexp_matches(text, '[0-9]+ *%')")
-def numeric_anchor(spark, d):
-    rows = T(spark, d, "documents").filter(F.col("text").rlike("[0-9]+ *%"))
-    return rows.select("doc_id", F.size(F.regexp_extract_all("text", F.lit("[0-9]+ *%"), 0)).cast("long").alias("n"))
-
-
-@query("classify_rule", "SELECT CASE WHEN regexp_matches(lower(text), 'licen[cs]ed|copyright') THEN 'legal' WHEN regexp_matches(lower(text), '(figure|image) [0-9]') THEN 'image' WHEN regexp_matches(lower(text), '[0-9] *(mg|kg|%)') THEN 'numeric' ELSE 'prose' END AS class, count(*) AS n FROM documents GROUP BY 1")
-def classify_rule(spark, d):
-    t = F.lower("text")
-    kind = F.when(t.rlike("licen[cs]ed|copyright"), "legal").when(t.rlike("(figure|image) [0-9]"), "image").when(t.rlike("[0-9] *(mg|kg|%)"), "numeric").otherwise("prose")
-    return T(spark, d, "documents").groupBy(kind.alias("class")).agg(F.count("*").alias("n"))
-
-
 @query("lost_documents", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def lost_documents(spark, d):
     return T(spark, d, "documents").select("doc_id").join(T(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
@@ -423,68 +405,4 @@ def asof_rate(spark, d):
     return rows.groupBy("l_orderkey", "l_linenumber").agg(F.max("o_orderdate").alias("o_orderdate"))
 
 
-# Literal fixtures: shapes that the driver's tables lack; what is expected was worked out by hand.
-@query("merge_small", literal([("a", 0, 1), ("a", 1, 1), ("a", 2, 1), ("a", 3, 2), ("a", 4, 3), ("b", 0, 1), ("b", 1, 2)], ["book", "pos", "island"], {"pos": "INT", "island": "BIGINT"}))
-def merge_small(spark, d):
-    rows = [("a", 0, 1, 500), ("a", 1, 1, 50), ("a", 2, 1, 60), ("a", 3, 1, 500), ("a", 4, 2, 50), ("b", 0, None, 50), ("b", 1, None, 500)]
-    return structure.merge_small(values(spark, rows, "book string, pos int, chapter int, chars int")).select("book", "pos", "island")
-
-
-@query("outline_tree", literal([(1, "S1", None), (2, "S1", "C1"), (3, "S1", "C1"), (4, "S1", "C2"), (5, "S2", None)], ["page", "section", "chapter"], {"page": "INT"}))
-def outline_tree(spark, d):
-    marks = values(spark, [(1, "S1", None), (2, None, "C1"), (4, None, "C2"), (5, "S2", None)], "page int, section string, chapter string")
-    pages = spark.range(1, 6).select(F.col("id").cast("int").alias("page")).join(marks, "page", "left").withColumn("book", F.lit(1))
-    sections = structure.carried(pages, "book", "page", "section", "sec")
-    return sections.withColumn("chapter", F.last("chapter", ignorenulls=True).over(Window.partitionBy("book", "sec").orderBy("page"))).select("page", F.col("sec").alias("section"), "chapter")
-
-
-@query("column_bands", literal([(1, 1, "L1"), (1, 2, "L2"), (1, 3, "FULL"), (1, 4, "L3"), (1, 5, "R1"), (1, 6, "R2")], ["page", "pos", "line"], {"page": "INT", "pos": "BIGINT"}))
-def column_bands(spark, d):
-    rows = [(1, 60.0, 300.0, 100.0, "L1"), (1, 60.0, 300.0, 120.0, "L2"), (1, 60.0, 640.0, 200.0, "FULL"), (1, 60.0, 300.0, 300.0, "L3"), (1, 360.0, 640.0, 290.0, "R1"), (1, 360.0, 640.0, 320.0, "R2")]
-    return structure.column_order(values(spark, rows, "page int, x0 double, x1 double, y double, line string"))
-
-
-@query("split_articles", literal([(1, "preamble", None, None, "Intro"), (1, "article", "1", "CAPITULO I", "Art. 1 One"), (1, "article", "2", "CAPITULO I", "Art. 2 Two"), (1, "annex", "I", "CAPITULO I", "ANEXO I Table"), (2, "preamble", None, None, "No marks here")], ["id", "kind", "label", "chapter", "body"], {"id": "BIGINT"}))
-def split_articles(spark, d):
-    rows = [(1, "Intro\nCAPITULO I\nArt. 1 One\nArt. 2 Two\nANEXO I Table"), (2, "No marks here")]
-    return structure.split_articles(values(spark, rows, "id long, text string")).drop("pos")
-
-
-@query("answer_sheet", literal([("s", "q0001", "F"), ("s", "q0002", "F"), ("s", "q0003", "C")], ["sheet", "qid", "letter"]))
-def answer_sheet(spark, d):
-    return structure.answer_sheet(values(spark, [("s", "q0001: V\nQ2 - f\nsome prose\nq0003: c\nq0001: F")], "sheet string, text string"))
-
-
-@query("parse_mcq", literal([("e", 1, "First stem that runs on", "x", "y and on", "z", "w", "B"), ("e", 4, "Fourth", "x", "y", "z", "w", "E")], ["exam", "number", "stem", "a", "b", "c", "d", "answer"], {"number": "INT"}))
-def parse_mcq(spark, d):
-    blocks = [
-        "PROVA NACIONAL 2019\n1) First stem\n  that runs on\nA) x\nB) y\n   and on\n17\nC) z\nD) w\nResposta: B\nA comment after it", "2) Second\nA) x\nB) y\nC) z\nD) w\nQuestão  ANULADA\nResposta: A",
-        "3) Third\nA) x\nB)\nC) z\nD) w\nResposta: C", "4 - Fourth\na. x\nb. y\nc. z\nd. w\ne. v\nresposta: e", "5) Use o cartao de resposta\nA) x\nB) y\nC) z\nD) w\nResposta: C", "6) No answer\nA) x\nB) y\nC) z\nD) w\n",
-    ]
-    return structure.parse_mcq(values(spark, [("e", "\n".join(blocks))], "exam string, text string"))
-
-
-@query("roman", literal([("II", 2, 2), ("XLIX", 49, 49), ("11", -1, 2), ("111", -1, 3), ("IIA", -1, 2), ("I1", -1, 1)], ["numeral", "strict", "lenient"], {"strict": "INT", "lenient": "INT"}))
-def roman(spark, d):
-    return values(spark, [(x,) for x in ("II", "XLIX", "11", "111", "IIA", "I1")], "numeral string").select("numeral", F.coalesce(tx.roman(F.col("numeral")), F.lit(-1)).alias("strict"), tx.roman(F.col("numeral"), True).alias("lenient"))
-
-
-@query("fix_text", literal([(1, "isoflurano"), (2, "ISOFLURANO"), (3, "desflurano"), (4, "insuficiencia"), (5, "Intubação"), (6, "atlas"), (7, "recuperação")], ["id", "fixed"], {"id": "INT"}))
-def fix_text(spark, d):
-    rows = list(enumerate(["isotlurano", "ISOTLURANO", "desfturano", "insuftciencia", "lntubação", "atlas", "recu-\nperação"], 1))
-    return values(spark, rows, "id int, text string").select("id", rules.normalise(F.col("text")).alias("fixed"))
-
-
-@query("formula_search", literal([(1, 1, 1, 6), (2, 3, 1, 1)], ["qid", "id", "rank", "score"], {"qid": "BIGINT", "id": "BIGINT", "rank": "BIGINT", "score": "BIGINT"}))
-def formula_search(spark, d):
-    formulas = values(spark, [(1, "Ânion gap", "hiato aniônico", "acidose"), (2, "Pressão média", "PAM", "choque"), (3, "Clearance", "depuração", "rim doente")], "id long, name string, synonyms string, notes string")
-    return search.formula_search(formulas, values(spark, [(1, "hiato ânion"), (2, "doente")], "qid long, text string"))
-
-
-@query("sketch_repair", literal([(1, "search>expand_parent>respond"), (2, "quota>interleave>respond"), (3, "respond")], ["id", "sketch"], {"id": "INT"}))
-def sketch_repair(spark, d):
-    sketches = [["search", "teleport"], ["quota", "interleave"], []]
-    return values(spark, [(i, ">".join(flow.repair(s))) for i, s in enumerate(sketches, 1)], "id int, sketch string")
-
-
-from loam import chunk_queries, corpus_queries, flow_queries, index_queries, rule_queries, table_queries  # noqa: E402, F401  their queries register themselves
+from loam import chunk_queries, corpus_queries, derived_queries, flow_queries, index_queries, rule_queries, table_queries  # noqa: E402, F401  their queries register themselves

@@ -89,12 +89,6 @@ def join_class(spark, d):
     return both.select("doc_id", F.coalesce(c("quality").cast("string"), F.lit("?")).alias("class"), F.when(c("quality").isNull(), "ausente").otherwise("label").alias("origin"))
 
 
-@query("join_page_range", literal([(4, "a"), (5, "a"), (5, "b"), (9, "c")], ["page", "chunk"], {"page": "INT"}))
-def join_page_range(spark, d):
-    chunks = values(spark, [("a", 3, 5), ("b", 5, None), ("c", 9, 12)], "chunk string, first int, last int")
-    return values(spark, [(4,), (5,), (9,), (13,)], "page int").join(chunks, F.expr("first <= page and page <= coalesce(last, first)")).select("page", "chunk")
-
-
 @query("set_union", "SELECT doc_id FROM labels WHERE quality = 0 UNION SELECT doc_id FROM labels WHERE toxic = 1")
 def set_union(spark, d):
     rows = T(spark, d, "labels")
@@ -176,155 +170,3 @@ def sink_report(spark, d):
     line = F.concat(F.lit("| "), "lang", F.lit(" | "), "n", F.lit(" | "), "share", F.lit(" |"))
     lines = F.array_sort(F.collect_list(F.struct("lang", line.alias("line"))))
     return t.agg(F.concat(F.lit("| lang | n | % |\n|-|-|-|\n"), F.array_join(F.transform(lines, lambda x: x["line"]), "\n")).alias("report"))
-
-
-@query("sink_upsert", literal([("a", 1), ("b", 3), ("c", 4)], ["id", "v"], {"v": "INT"}))
-def sink_upsert(spark, d):
-    from loam.sources.io import upsert
-
-    return upsert(values(spark, [("a", 1), ("b", 2)], "id string, v int"), values(spark, [("b", 3), ("c", 4)], "id string, v int"))
-
-
-# Literal fixtures.
-@query("scan_key", literal([("q1", "V"), ("q2", "F")], ["question", "letter"]))
-def scan_key(spark, d):
-    key = values(spark, [('{"gabarito": {"q1": "V", "q2": "F"}, "tipo": {"q1": "vf"}}',)], "raw string")
-    maps = F.from_json("raw", "gabarito map<string,string>, tipo map<string,string>")
-    return key.select(F.explode(maps["gabarito"]).alias("question", "letter"))
-
-
-@query("scan_pdf_text", literal([(1, 0, "one"), (1, 1, "two"), (1, 2, "")], ["id", "page", "text"], {"id": "INT", "page": "INT"}))
-def scan_pdf_text(spark, d):
-    from loam.sources.io import pages_of_text
-
-    return pages_of_text(values(spark, [(1, "one\ftwo\f")], "id int, text string"))
-
-
-@query("scan_pdf_best", literal([(1, "raw"), (2, "layout")], ["id", "best"], {"id": "INT"}))
-def scan_pdf_best(spark, d):
-    order = "Art. 1 - a\nArt. 2 - b\nArt. 3 - c\nArt. 4 - d"
-    mixed = "Art. 1 - a\nArt. 3 - c\nArt. 2 - b\nArt. 4 - d"
-    rows = values(spark, [(1, mixed, order), (2, order, order)], "id int, layout string, raw string")
-    marks = lambda t: F.transform(F.regexp_extract_all(t, F.lit(r"(?m)^\s*Art\.?\s*(\d{1,3})\s*[°ºo]?\s*[-–—.]"), F.lit(1)), lambda x: x.cast("int"))
-
-    def share(numbers):
-        rises = F.zip_with(F.slice(numbers, F.lit(2), F.greatest(F.size(numbers) - 1, F.lit(0))), F.slice(numbers, F.lit(1), F.greatest(F.size(numbers) - 1, F.lit(0))), lambda b, a: (b >= a).cast("int"))
-        return F.when(F.size(numbers) < 3, 0.0).otherwise(F.aggregate(rises, F.lit(0), lambda s, x: s + x) / (F.size(numbers) - 1))
-
-    return rows.select("id", F.when(share(marks("raw")) > share(marks("layout")), "raw").otherwise("layout").alias("best"))
-
-
-@query("cfg_default", literal([(1, 20), (2, 5)], ["id", "k"], {"id": "INT", "k": "INT"}))
-def cfg_default(spark, d):
-    return values(spark, [(1, None), (2, 5)], "id int, k int").select("id", F.coalesce("k", F.lit(20)).alias("k"))
-
-
-@query("annulled", literal([(2,), (4,)], ["id"], {"id": "INT"}))
-def annulled(spark, d):
-    rows = values(spark, [(1, "Questão ANULADA"), (2, "A dose é"), (3, "Leia as INSTRUÇÕES antes"), (4, "A anulada não é a questão")], "id int, text string")
-    return rows.filter(~c("text").rlike(structure.ANNULLED) & ~rules.is_instructions(c("text"))).select("id")
-
-
-@query("no_invented_key", literal([(1,)], ["id"], {"id": "INT"}))
-def no_invented_key(spark, d):
-    rows = values(spark, [(1, "A dose é segura", "V"), (2, "Sem gabarito", None), (3, "Verdadeiro que a dose", "V")], "id int, claim string, answer string")
-    return rows.filter(c("answer").isNotNull() & ~c("claim").rlike(r"(?i)^(verdadeiro|falso)\b")).select("id")
-
-
-@query("mcq_complete", literal([(1,)], ["id"], {"id": "INT"}))
-def mcq_complete(spark, d):
-    rows = values(spark, [(1, dict(A="x", B="y", C="z", D="w")), (2, dict(A="x", B=" ", C="z", D="w")), (3, dict(A="x", B="y"))], "id int, alts map<string,string>")
-    filled = lambda k: F.coalesce(F.trim(c("alts")[k]), F.lit("")) != ""
-    return rows.filter((F.size("alts") >= 4) & filled("A") & filled("B") & filled("C") & filled("D")).select("id")
-
-
-@query("fix_curated", literal([(1, "Reflexo e REFLEXO, anafilático"), (2, "isoflurano Propofol"), (3, "a\nb")], ["id", "fixed"], {"id": "INT"}))
-def fix_curated(spark, d):
-    rows = [(1, "Retlexo e RETLEXO, anafilatico"), (2, "lsoflu rano Propo  fol".replace("lso", "iso")), (3, "a\nAPOSTILASMEDICINA@HOTMAIL.COM\nb")]
-    return values(spark, rows, "id int, text string").select("id", F.regexp_replace(rules.normalise(c("text")), "\n+", "\n").alias("fixed"))
-
-
-@query("split_glued", literal([("um Dois",), ("ABC",)], ["name"]))
-def split_glued(spark, d):
-    return values(spark, [("umDois",), ("ABC",)], "name string").select(tx.split_glued(c("name")).alias("name"))
-
-
-@query("doc_label", literal([(1, "CFM 2174/2017", "Resolução CFM nº 2174/2017"), (2, "SBA · estatuto novo", "SBA — estatuto novo"), (3, "AMB Diretrizes", "Projeto Diretrizes AMB"), (4, "outro", "Primeira linha")], ["id", "label", "title"], {"id": "INT"}))
-def doc_label(spark, d):
-    rows = values(spark, [(1, "CFM-2174-2017", ""), (2, "SBA-12_estatuto_novo", ""), (3, "AMB-x", ""), (4, "outro", "\n  Primeira linha \nx")], "id int, name string, page string")
-    return rows.select("id", rules.document_label(c("name"), c("page")).alias("x")).select("id", "x.label", "x.title")
-
-
-@query("exam_year", literal([(1, 2019, "mcq"), (2, 2015, "vf"), (3, 0, "mcq")], ["id", "year", "format"], {"id": "INT", "year": "INT"}))
-def exam_year(spark, d):
-    rows = values(spark, [(1, "2019-05_me1.pdf", "1) x\nResposta: A"), (2, "prova.pdf", "Prova ano 2015\nVerdadeiro Falso"), (3, "prova.pdf", "nada")], "id int, name string, text string")
-    return rows.select("id", rules.exam_year(c("name"), c("text")).alias("year"), rules.exam_format(c("text")).alias("format"))
-
-
-@query("strip_exam_chrome", literal([("1) Stem\nA) x",)], ["body"]))
-def strip_exam_chrome(spark, d):
-    return values(spark, [("PROVA NACIONAL 2019\n\n12\n1) Stem\nCCA\nA) x\nSociedade Brasileira de Anestesiologia",)], "text string").select(rules.exam_body(c("text")).alias("body"))
-
-
-@query("anchor_pattern", literal([("2,5", "mg", "2\\.5\\s*mg"), ("10", "horas", "10\\s*(?:hours?|h\\b)"), ("3,0", "%", "(?:3\\.0|3)\\s*%"), ("7", "xyz", "7\\b")], ["number", "unit", "pattern"]))
-def anchor_pattern(spark, d):
-    rows = values(spark, [("2,5", "mg"), ("10", "horas"), ("3,0", "%"), ("7", "xyz")], "number string, unit string")
-    return rows.select("number", "unit", rules.anchor_pattern(c("number"), c("unit")).alias("pattern"))
-
-
-@query("carrier", literal([(1, 1), (2, 0), (3, 0), (4, 1)], ["id", "carries"], {"id": "INT", "carries": "INT"}))
-def carrier(spark, d):
-    far = "x " * 100
-    rows = values(spark, [(1, "vital capacity rises by 40 % at term"), (2, f"vital capacity {far} 40 %"), (3, "vital capacity rises"), (4, f"40% {far} and 40 % of capacity")], "id int, text string")
-    pattern = rules.anchor_pattern(F.lit("40"), F.lit("%"))
-    return rows.select("id", rules.carrier(c("text"), pattern, rules.cognates(F.lit("capacidade vital"))).cast("int").alias("carries"))
-
-
-@query("locate", literal([(1, 1), (2, 0)], ["id", "found"], {"id": "INT", "found": "INT"}))
-def locate(spark, d):
-    rows = values(spark, [(1, "Tidal Volume of 6 mL per kg"), (2, "tidal volume " + "x " * 120 + "6 mL")], "id int, text string")
-    return rows.select("id", rules.locate(c("text"), rules.anchor_pattern(F.lit("6"), F.lit("mL")), F.array(F.lit("tidal volume"))).cast("int").alias("found"))
-
-
-@query("classify_topic", literal([(1, "juridico-normativo"), (2, "imagem"), (3, "valor-numerico"), (4, "fisiopatologia"), (5, "tecnica"), (6, "fisiopatologia")], ["id", "topic"], {"id": "INT"}))
-def classify_topic(spark, d):
-    rows = [(1, "Segundo a Resolução CFM 2.174", "usar 5 mg", None), (2, "Na figura 3", "x", None), (3, "Sobre a dose", "usar 5 mg/kg agora", None), (4, "Com 5 mg", "sem dose", "{"), (5, "Bloqueio", "x", '{"topico": "tecnica"}'), (6, "Bloqueio", "x", '{"topico": "outro"}')]
-    rule = rules.topic_by_rule(F.concat_ws(" ", "stem", "claim"), c("claim"))
-    return values(spark, rows, "id int, stem string, claim string, reply string").select("id", F.coalesce(rule, rules.topic_of_reply(c("reply"))).alias("topic"))
-
-
-@query("format_source", literal([(1, "NORMA · CFM 1/2 · Art. 3"), (2, "LIVRO · Miller | capitulo 8: Inalatórios | pagina 100-101 | A > B"), (3, "Miller | capitulo 8: Inalatórios | pagina 100")], ["id", "header"], {"id": "INT"}))
-def format_source(spark, d):
-    rows = [(1, "NORMA", "CFM 1/2", None, "Art. 3", 1, 1, []), (2, "LIVRO", "Miller", 8, "Inalatórios", 100, 101, ["A", "B"]), (3, None, "Miller", 8, "Inalatórios", 100, 100, [])]
-    cols = "id int, nature string, book string, no int, chapter string, first int, last int, path array<string>"
-    return values(spark, rows, cols).select("id", rules.source_header(*map(c, ("nature", "book", "no", "chapter", "first", "last", "path"))).alias("header"))
-
-
-@query("focus_query", literal([(1, "a dose é 5"), (2, "sem marca")], ["id", "query"], {"id": "INT"}))
-def focus_query(spark, d):
-    return values(spark, [(1, "Cenário longo\n\nAssertiva: a dose é 5"), (2, "sem marca")], "id int, text string").select("id", tx.focus_query(c("text")).alias("query"))
-
-
-@query("tall_lines", literal([("Big title",)], ["line"]))
-def tall_lines(spark, d):
-    rows = values(spark, [(1, 10.0, "a"), (1, 10.0, "b"), (1, 10.0, "d"), (1, 10.0, "e"), (1, 10.0, "f"), (1, 14.0, "Big title"), (1, 14.0, "x " * 20), (1, 13.0, "c")], "page int, height double, line string")
-    middle = F.median("height").over(Window.partitionBy("page"))
-    tall = rows.withColumn("least", F.when(middle == 0, 20.0).otherwise(1.35 * middle))
-    return tall.filter((c("height") >= c("least")) & (structure.word_count("line") <= 12)).select("line")
-
-
-@query("respond", literal([(1, "B", 1, ""), (2, "", 0, ""), (3, "V", 0, "dose alta")], ["id", "answer", "citations", "caveat"], {"id": "INT", "citations": "INT"}))
-def respond(spark, d):
-    rows = values(spark, [(1, "mcq", '{"letra": " b) ", "citacoes": [{"trecho": "x", "pagina": 1}]}'), (2, "vf", "not json"), (3, "vf", '{"ressalva": "dose alta", "resposta": " V "}')], "id int, mode string, reply string")
-    reply = F.from_json("reply", "letra string, resposta string, ressalva string, erro_apontado string, citacoes array<struct<trecho string, pagina string>>")
-    out = rows.select("id", "mode", reply.alias("r"))
-    text = lambda x: F.coalesce(F.trim(x), F.lit(""))
-    answer = F.when(c("mode") == "mcq", tx.first_letter(text(c("r.letra")))).otherwise(text(c("r.resposta")))
-    return out.select("id", answer.alias("answer"), F.coalesce(F.array_size("r.citacoes"), F.lit(0)).alias("citations"), text(F.coalesce("r.ressalva", "r.erro_apontado")).alias("caveat"))
-
-
-@query("translate_terms", literal([("tidal volume",), ("MAC",)], ["term"]))
-def translate_terms(spark, d):
-    rows = values(spark, [("tidal volume\nMAC\nx\n" + "y" * 70,)], "reply string")
-    terms = rows.select(F.explode(F.split("reply", "\n")).alias("term")).select(F.trim("term").alias("term"))
-    return terms.filter(F.length("term").between(3, 60))

@@ -73,3 +73,18 @@ def write_vectors(df: DataFrame, path: str) -> None:
     if df.groupBy("id").count().filter("count > 1").limit(1).count():
         raise ValueError("an id has two vectors")
     df.select("id", "vector").write.mode("overwrite").parquet(path)
+
+
+def layout_words(pages: DataFrame) -> DataFrame:
+    """(id, pos, nth, word, x0, y0) of layout XML (id, xml), a page a row with its lines and their words."""
+    box = "_xMin double, _yMin double"
+    schema = f"line array<struct<{box}, word array<struct<_VALUE string, {box}>>>>"
+    lines = pages.select("id", F.posexplode(F.from_xml("xml", schema)["line"]).alias("pos", "line"))
+    words = lines.select("id", "pos", F.posexplode("line.word").alias("nth", "w"))
+    return words.select("id", "pos", "nth", F.col("w._VALUE").alias("word"), F.col("w._xMin").alias("x0"), F.col("w._yMin").alias("y0"))
+
+
+def answer_key(raw: DataFrame) -> DataFrame:
+    """(..., question, letter) of answer keys in JSON (raw): the map of answers, exploded."""
+    others = [c for c in raw.columns if c != "raw"]
+    return raw.select(*others, F.explode(F.from_json("raw", "gabarito map<string,string>")["gabarito"]).alias("question", "letter"))
