@@ -115,19 +115,6 @@ def append_trace(spark, d):
     return rows.select("conv_id", F.array_join(F.transform("x", lambda r: r["role"]), ">").alias("trace"))
 
 
-@query("join_rotate", "WITH o AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS i, count(*) OVER () AS n FROM benchmark) SELECT a.item_id, b.item_id AS other_id FROM o a JOIN o b ON b.i = (a.i + 1) % a.n")
-def join_rotate(spark, d):
-    items = T(spark, d, "benchmark").select("item_id")
-    first = items.agg(F.min("item_id")).first()[0]
-    return items.withColumn("other_id", F.coalesce(F.lead("item_id").over(Window.orderBy("item_id")), F.lit(first)))
-
-
-@query("occurrence_no", "SELECT doc_id, source || '_' || row_number() OVER (PARTITION BY source ORDER BY doc_id) AS name FROM documents")
-def occurrence_no(spark, d):
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return T(spark, d, "documents").select("doc_id", F.concat("source", F.lit("_"), n).alias("name"))
-
-
 @query("train_val_split", "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY sha1('fit:' || doc_id), doc_id) AS n FROM labels) SELECT doc_id, CASE WHEN n <= 50 THEN 'train' ELSE 'val' END AS part FROM r WHERE n <= 80")
 def train_val_split(spark, d):
     first = T(spark, d, "labels").select("doc_id", F.sha1(F.concat(F.lit("fit:"), c("doc_id").cast("string"))).alias("h")).orderBy("h", "doc_id").limit(80)
@@ -140,31 +127,12 @@ def cell_metrics(spark, d):
     return facts(spark, d).groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("a"), 9).alias("accuracy"), F.count_if(c("a") == 0).alias("wrong"), F.round(F.avg(F.when(c("b") == 0, c("a"))), 9).alias("with_caveat"), F.round(F.avg(F.when(c("b") == 1, c("a"))), 9).alias("without_caveat"))
 
 
-@query("model_table", f"WITH {FACTS}, t AS (SELECT lang, avg(a) AS acc FROM facts GROUP BY lang) SELECT lang, round(acc, 9) AS accuracy, round(acc - first_value(acc) OVER (ORDER BY lang), 9) AS gain FROM t")
-def model_table(spark, d):
-    t = facts(spark, d).groupBy("lang").agg(F.avg("a").alias("acc"))
-    return t.select("lang", F.round("acc", 9).alias("accuracy"), F.round(c("acc") - F.first("acc").over(Window.orderBy("lang")), 9).alias("gain"))
-
-
 @query("error_rate_by_kind", "WITH k AS (SELECT CASE WHEN regexp_matches(text, '[0-9]') THEN 'numeric' ELSE 'prose' END AS kind, 1 - quality AS wrong FROM labels JOIN documents USING (doc_id)) SELECT kind, count(*) AS n, round(avg(wrong), 9) AS error_rate FROM k GROUP BY kind")
 def error_rate_by_kind(spark, d):
     rows = T(spark, d, "labels").join(T(spark, d, "documents").select("doc_id", "text"), "doc_id")
     return rows.groupBy(F.when(c("text").rlike("[0-9]"), "numeric").otherwise("prose").alias("kind")).agg(F.count("*").alias("n"), F.round(F.avg(1 - c("quality")), 9).alias("error_rate"))
 
 
-@query("perturbation", f"WITH {FACTS} SELECT 'right' AS context, round(avg(a), 9) AS accuracy FROM facts UNION ALL SELECT 'swapped', round(avg(b), 9) FROM facts UNION ALL SELECT 'empty', round(avg(c), 9) FROM facts")
-def perturbation(spark, d):
-    rows = facts(spark, d).select(F.explode(F.array(*[F.struct(F.lit(n).alias("context"), c(x).alias("ok")) for n, x in (("right", "a"), ("swapped", "b"), ("empty", "c"))])).alias("x"))
-    return rows.groupBy(c("x.context").alias("context")).agg(F.round(F.avg("x.ok"), 9).alias("accuracy"))
-
-
 @query("median_chunk", "SELECT count(*) AS n, median(length(text))::DOUBLE AS median_chars FROM documents")
 def median_chunk(spark, d):
     return T(spark, d, "documents").agg(F.count("*").alias("n"), F.median(F.length("text")).alias("median_chars"))
-
-
-@query("scoreboard", f"WITH {FACTS}, s AS (SELECT 'a' AS system, a AS ok FROM facts UNION ALL SELECT 'b', b FROM facts UNION ALL SELECT 'c', c FROM facts), t AS (SELECT system, count(*) AS n, avg(ok) AS acc FROM s GROUP BY system) SELECT system, n, round(acc, 9) AS accuracy, row_number() OVER (ORDER BY acc DESC, system) AS place FROM t")
-def scoreboard(spark, d):
-    s = facts(spark, d).select(F.explode(F.array(*[F.struct(F.lit(x).alias("system"), c(x).alias("ok")) for x in "abc"])).alias("x"))
-    t = s.groupBy(c("x.system").alias("system")).agg(F.count("*").alias("n"), F.avg("x.ok").alias("acc"))
-    return t.select("system", "n", F.round("acc", 9).alias("accuracy"), F.row_number().over(Window.orderBy(F.desc("acc"), "system")).cast("long").alias("place"))

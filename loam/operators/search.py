@@ -126,3 +126,24 @@ def citations(quotes: DataFrame, docs: DataFrame, least_words: int = 6) -> DataF
     both = met.join(q.select("quote_id", "q"), "quote_id").join(docs.select("id", "text"), "id")
     found = F.contains(F.concat(F.lit(" "), fold(F.col("text")), F.lit(" ")), F.concat(F.lit(" "), "q", F.lit(" ")))
     return both.filter(found).select("quote_id", "id")
+
+
+def cited_pages(quotes: DataFrame, pages: DataFrame, least_words: int = 6, span: int = 4096) -> DataFrame:
+    """(quote_id, id, page): the page on which the first occurrence of each quote begins in each text that holds it.
+
+    Texts are pages (id, page, text) one after another; folded pages joined by spaces are the folded text, so that a quote's offset there is found among
+    the running sums of the pages' folded lengths, met by stretches of ``span`` characters.
+    """
+    folded = pages.select("id", "page", fold(F.coalesce("text", F.lit(""))).alias("t"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), "\n")
+    texts = pages.groupBy("id").agg(whole.alias("text"))
+    met = citations(quotes, texts, least_words)
+    both = met.join(quotes.select("quote_id", fold(F.col("quote")).alias("q")), "quote_id").join(texts, "id")
+    at = F.expr("instr(concat(' ', folded, ' '), concat(' ', q, ' ')) - 1")
+    positions = both.withColumn("folded", fold(F.col("text"))).select(F.struct("quote_id", "id").alias("hit"), "id", at.alias("pos"))
+    filled = folded.filter("t != ''").select("id", "page", (F.length("t") + 1).alias("chars"))
+    upto = F.sum("chars").over(Window.partitionBy("id").orderBy("page"))
+    ends = filled.withColumn("upto", upto).withColumn("since", F.col("upto") - F.col("chars"))
+    ends = ends.withColumn("stretch", F.explode(F.expr(f"sequence(since div {span}, (upto - 1) div {span})")))
+    found = positions.withColumn("stretch", F.expr(f"cast(pos as long) div {span}")).join(ends, ["id", "stretch"]).filter("pos >= since and pos < upto")
+    return found.select("hit.quote_id", "hit.id", "page")

@@ -52,15 +52,6 @@ def paired(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFr
     )
 
 
-def p95_index(df: DataFrame, by: str, value: str) -> DataFrame:
-    """The sorted values' element at min(int(.95 n), n - 1); equal values are counted before they are ranked."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(by)
-    run = counts.withColumn("upto", F.sum("c").over(w.orderBy(value))).withColumn("n", F.sum("c").over(w))
-    at = F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1) + 1
-    return run.filter(F.col("upto") >= at).groupBy(by).agg(F.min("n").alias("n"), F.min(value).alias("p95"))
-
-
 def stratified(df: DataFrame, by: str, order: list[str], n: int) -> DataFrame:
     """``n`` rows: an equal whole quota of each class, in the given order, and the rest of the places filled from all that is left.
 

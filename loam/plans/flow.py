@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loam.functions import rules
 from loam.functions.text import first_letter, focus_query, tokens
 from loam.operators import index
+from loam.operators.ordered import rotated
 from loam.operators.search import bm25_topk, dense_topk, formula_search, ranked_top, rrf_fuse
 
 # The stage names, in their canonical order.
@@ -384,3 +385,28 @@ def run_flow(questions: DataFrame, docs: DataFrame, sketch: list[str], options:
 
     kind = questions.schema["qid"].dataType.simpleString()
     return prompts.mapInPandas(respond, f"qid {kind}, n_context long, answer string").withColumn("trace", F.lit(">".join(stages)))
+
+
+def answered(prompts: DataFrame, client: Callable[[str], str] = stub_client) -> DataFrame:
+    """``prompts`` (..., prompt) with ``answer``, the first letter of the client's reply."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema.fields)
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(answer=[client(p)[:1].upper() for p in pdf["prompt"]])
+
+    return prompts.mapInPandas(run, f"{kinds}, answer string")
+
+
+def perturbed(questions: DataFrame, contexts: DataFrame, client: Callable[[str], str] = stub_client) -> DataFrame:
+    """(scenario, n, accuracy) of questions (qid, text, key) answered with their own context (qid, context), with the next question's, and with none.
+
+    The next question is found by rank over all of them, the last one's is the first; all three are answered in one pass.
+    """
+    swap = rotated(questions, "qid")
+    own = questions.join(contexts, "qid", "left").select("qid", "text", "key", "context", F.lit("right").alias("scenario"))
+    other = questions.join(swap, "qid").join(contexts.select(F.col("qid").alias("other"), "context"), "other", "left").select("qid", "text", "key", "context", F.lit("swapped").alias("scenario"))
+    none = questions.select("qid", "text", "key", F.lit(None).cast("string").alias("context"), F.lit("empty").alias("scenario"))
+    prompts = own.unionByName(other).unionByName(none).select("scenario", "key", F.concat_ws("\n\n", "context", "text").alias("prompt"))
+    right = (F.col("answer") == F.col("key")).cast("int")
+    return answered(prompts, client).groupBy("scenario").agg(F.count("*").alias("n"), F.round(F.avg(right), 9).alias("accuracy"))

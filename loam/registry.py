@@ -168,13 +168,6 @@ def cite_containment(spark, d):
     return cited(spark, d)
 
 
-@query("cite_fidelity", f"WITH {CITED}, f AS (SELECT item_id, min(doc_id) AS first_doc FROM c GROUP BY item_id) SELECT item_id % 10 AS answer, count(*) AS total, count(first_doc) AS literal, round(count(first_doc) / count(*), 9) AS fidelity, coalesce(min(first_doc), -1) AS first_doc FROM benchmark LEFT JOIN f USING (item_id) GROUP BY 1")
-def cite_fidelity(spark, d):
-    first = cited(spark, d).groupBy("item_id").agg(F.min("doc_id").alias("first_doc"))
-    rows = T(spark, d, "benchmark").select("item_id").join(first, "item_id", "left")
-    return rows.groupBy((F.col("item_id") % 10).alias("answer")).agg(F.count("*").alias("total"), F.count("first_doc").alias("literal"), F.round(F.count("first_doc") / F.count("*"), 9).alias("fidelity"), F.coalesce(F.min("first_doc"), F.lit(-1)).alias("first_doc"))
-
-
 # Sampling, splits and duplicates.
 def sql_share(salt, key):
     return f"CAST('0x' || substr(sha1('{salt}:' || {key}), 1, 8) AS BIGINT)"
@@ -323,11 +316,6 @@ def aa_noise(spark, d):
     return t.select("*", F.round((F.col("lost") + F.col("won")) / F.col("n"), 9).alias("flips"), F.round(stats.mcnemar(F.col("lost"), F.col("won")), 6).alias("p"))
 
 
-@query("p95_index", "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, n, value AS p95 FROM r WHERE i = least(floor(n * 0.95), n - 1) + 1")
-def p95_index(spark, d):
-    return stats.p95_index(T(spark, d, "events"), "event_type", "value")
-
-
 @query("median_by_node", "SELECT event_type, round(median(value), 6) AS median_value FROM events GROUP BY event_type")
 def median_by_node(spark, d):
     return T(spark, d, "events").groupBy("event_type").agg(F.round(F.median("value"), 6).alias("median_value"))
@@ -405,4 +393,4 @@ def asof_rate(spark, d):
     return rows.groupBy("l_orderkey", "l_linenumber").agg(F.max("o_orderdate").alias("o_orderdate"))
 
 
-from loam import chunk_queries, corpus_queries, derived_queries, flow_queries, index_queries, rule_queries, table_queries  # noqa: E402, F401  their queries register themselves
+from loam import chunk_queries, corpus_queries, derived_queries, flow_queries, index_queries, report_queries, rule_queries, table_queries  # noqa: E402, F401  their queries register themselves

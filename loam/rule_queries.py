@@ -155,12 +155,6 @@ def cond_accuracy(spark, d):
 
 
 # Sinks as tables.
-@query("sink_exam", "WITH r AS (SELECT item_id, text, row_number() OVER (ORDER BY item_id) AS n, count(*) OVER () AS total FROM benchmark) SELECT item_id, 'q' || lpad(CAST(n AS VARCHAR), 4, '0') AS label, CAST(floor((n - 1) / ceil(total / 4.0)) + 1 AS INT) AS part FROM r")
-def sink_exam(spark, d):
-    items = T(spark, d, "benchmark").select("item_id")
-    each = F.ceil(F.count("*").over(Window.partitionBy()) / 4.0)
-    n = F.row_number().over(Window.orderBy("item_id"))
-    return items.select("item_id", F.concat(F.lit("q"), F.lpad(n.cast("string"), 4, "0")).alias("label"), (F.floor((n - 1) / each) + 1).cast("int").alias("part"))
 
 
 @query("sink_report", "WITH t AS (SELECT lang, count(*) AS n, round(100.0 * avg(quality), 1)::DOUBLE AS share FROM labels JOIN documents USING (doc_id) GROUP BY lang) SELECT '| lang | n | % |' || chr(10) || '|-|-|-|' || chr(10) || string_agg('| ' || lang || ' | ' || n || ' | ' || share || ' |', chr(10) ORDER BY lang) AS report FROM t")
