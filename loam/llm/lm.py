@@ -255,9 +255,11 @@ def frequent_level(histogram: list) -> int:
 
 
 def _probe(batches):
-    """(segment, block, data), by segment and block: a segment's bits first, then each block's n-grams; gives their levels."""
+    """(segment, block, data), by segment and block: a segment's bits first, then each block's n-grams; gives their levels, compressed."""
     import pyarrow as pa
+    import zstandard
 
+    packer = zstandard.ZstdCompressor(level=1, write_checksum=False)
     at, held = None, None
     for batch in batches:
         segments, blocks, data = (batch.column(i).to_pylist() for i in range(3))
@@ -275,7 +277,7 @@ def _probe(batches):
             h = np.concatenate([_unpack(d, at) for d in data[i:j]])
             levels = (held.levels(h) if held else np.zeros(len(h))).astype(np.uint8)
             ends = np.cumsum([len(d) // 4 - 16 for d in data[i:j]])
-            out += [(at, block, part.tobytes()) for block, part in zip(blocks[i:j], np.split(levels, ends[:-1]))]
+            out += [(at, block, packer.compress(part.tobytes())) for block, part in zip(blocks[i:j], np.split(levels, ends[:-1]))]
             i = j
         if out:
             s, k, v = zip(*out)
@@ -363,7 +365,9 @@ def _finish(mass: float, vocabulary: int, training_docs: int, order: int):
 
     def run(batches):
         import pyarrow as pa
+        import zstandard
 
+        unpacker = zstandard.ZstdDecompressor()
         names = ["doc_id", "n_tokens", "known", "base", "rest"]
         own, parts = None, []
 
@@ -380,7 +384,7 @@ def _finish(mass: float, vocabulary: int, training_docs: int, order: int):
                         yield done()
                     own, parts = (blocks[i], *(batch.column(c)[i].as_py() for c in (3, 4)), [batch.column(c)[i].values for c in range(5, 10)]), []
                 else:
-                    parts.append((segments[i], np.frombuffer(batch.column(2)[i].as_py(), np.uint8)))
+                    parts.append((segments[i], np.frombuffer(unpacker.decompress(batch.column(2)[i].as_py()), np.uint8)))
         if own:
             yield done()
 
