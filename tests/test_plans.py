@@ -44,7 +44,7 @@ def plain_walk(questions, docs, deep, w):
             read += [(i, n, "read" if best else "search") for i in got]
             whole = "\n".join(t for i, *_ in read for j, _, _, t in docs if j == i)
             mine = set(words(text))
-            if read and round(len(mine & set(words(whole))) / max(1, len(mine)), 6) >= 0.7:
+            if read and round(len(mine & set(words(whole))) / max(1, len(mine)), 6) >= 0.95:
                 break
         reads[q] = read[: w.most]
     return reads
@@ -59,7 +59,7 @@ def test_walk_against_one_question_at_a_time(spark, monkeypatch):
     asked = [(q, made_up(1000 + q, 3 + q % 7)) for q in range(25)] + [(90, "zz zzz nothing"), (91, ""), (92, "rare thing"), (93, "rare")]
     library = spark.createDataFrame(docs, "id long, book string, chapter string, text string").repartition(5)
     questions = spark.createDataFrame(asked, "qid long, text string")
-    w = walk.Walk(suffices=flow.covers(0.7), k=3, most=8)
+    w = walk.Walk(suffices=flow.covers(0.95), k=3, most=20)
     got = {}
     for r in walk.walk(questions, library, w).orderBy("qid", "slot").collect():
         got.setdefault(r["qid"], []).append((r["id"], r["round"], r["how"]))
