@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from loam.llm import oracles
 from loam.llm.decontaminate import op12_decontamination
 from loam.llm.jaccard import op10_jaccard
 from loam.llm.language import op7_language
@@ -38,4 +39,4 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_merkle": oracles.OP11, "op12_decontamination": oracles.OP12, "op13_resampling": oracles.OP13}
