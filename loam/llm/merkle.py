@@ -132,7 +132,7 @@ def grow(rows: DataFrame, order: list[str]) -> Tree:
     while True:
         ragged = built.filter(f"level = {level} and not whole").alias("r").join(sizes.alias("s"), F.expr("r.grp <=> s.grp")).select("r.grp", "n", "run", "slot", "hashes", "tags", "others")
         pieces = ragged if carry is None else ragged.unionByName(carry, allowMissingColumns=True)
-        pieces = materialise(pieces.withColumn("top", _nodes_at("n", level) == 1), "pieces")
+        pieces = pieces.withColumn("top", _nodes_at("n", level) == 1)  # of written tables, and few: read again rather than written
         tops.append(pieces.filter("top").select("grp", F.lit(level).alias("level"), F.col("hashes").alias("subroot"), "tags", "others"))
         if (largest + ARITY**level - 1) // ARITY**level <= 1:
             break
