@@ -127,12 +127,6 @@ def cell_metrics(spark, d):
     return facts(spark, d).groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("a"), 9).alias("accuracy"), F.count_if(c("a") == 0).alias("wrong"), F.round(F.avg(F.when(c("b") == 0, c("a"))), 9).alias("with_caveat"), F.round(F.avg(F.when(c("b") == 1, c("a"))), 9).alias("without_caveat"))
 
 
-@query("error_rate_by_kind", "WITH k AS (SELECT CASE WHEN regexp_matches(text, '[0-9]') THEN 'numeric' ELSE 'prose' END AS kind, 1 - quality AS wrong FROM labels JOIN documents USING (doc_id)) SELECT kind, count(*) AS n, round(avg(wrong), 9) AS error_rate FROM k GROUP BY kind")
-def error_rate_by_kind(spark, d):
-    rows = T(spark, d, "labels").join(T(spark, d, "documents").select("doc_id", "text"), "doc_id")
-    return rows.groupBy(F.when(c("text").rlike("[0-9]"), "numeric").otherwise("prose").alias("kind")).agg(F.count("*").alias("n"), F.round(F.avg(1 - c("quality")), 9).alias("error_rate"))
-
-
 @query("median_chunk", "SELECT count(*) AS n, median(length(text))::DOUBLE AS median_chars FROM documents")
 def median_chunk(spark, d):
     return T(spark, d, "documents").agg(F.count("*").alias("n"), F.median(F.length("text")).alias("median_chars"))

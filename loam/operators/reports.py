@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loam.functions.text import fold
 from loam.operators import stats
 
 
@@ -80,3 +81,49 @@ def model_table(cells: DataFrame, by: str, order: list[str], score: str) -> Data
     """Cells with ``gain``: their score above that of the first cell of the same ``by`` in this order."""
     first = cells.groupBy(F.col(by).alias("_by")).agg(F.min_by(score, F.struct(*order)).alias("_first"))
     return cells.join(first, F.col(by).eqNullSafe(F.col("_by"))).withColumn("gain", F.round(F.col(score) - F.col("_first"), 9)).drop("_by", "_first")
+
+
+# What tells a question that hangs on a picture, and a claim that asks for a number.
+IMAGE = (
+    r"(?iu)(^|[^\p{L}\p{N}_])(nest[ea]|na|no)\s+(figura|imagem|corte|traçado|gráfico|esquema)([^\p{L}\p{N}_]|$)"
+    r"|(^|[^\p{L}\p{N}_])estrutura\s+\d|(^|[^\p{L}\p{N}_])figura\s+\d|legenda|(^|[^\p{L}\p{N}_])seta([^\p{L}\p{N}_]|$)"
+)
+NUMBER = r"\d+[,.]\d+|(^|[^\p{L}\p{N}_])\d+\s*(mg|ml|mcg|µg|g|kg|%|mmHg|mEq|horas?|minutos?)([^\p{L}\p{N}_]|$)"
+
+
+def question_kind(stem: F.Column, claim: F.Column) -> F.Column:
+    """image, if stem or claim hangs on a picture; else numeric, if the claim asks for a number; else prose."""
+    return F.when(F.concat_ws(" ", stem, claim).rlike(IMAGE), "image").when(claim.rlike(NUMBER), "numeric").otherwise("prose")
+
+
+def error_rates(answers: DataFrame) -> DataFrame:
+    """(kind, n, error_rate) of answers (stem, claim, ok)."""
+    return answers.groupBy(question_kind(F.col("stem"), F.col("claim")).alias("kind")).agg(F.count("*").alias("n"), F.round(F.avg(1 - F.col("ok")), 9).alias("error_rate"))
+
+
+def term_coverage(questions: DataFrame, contexts: DataFrame, least: int = 8) -> DataFrame:
+    """(ok, n, coverage) of questions (qid, text, ok) with contexts (qid, context): the mean share of a question's folded words of at least
+    ``least`` letters that its folded context holds, as whole or part of a word. Questions without such words don't count."""
+    terms = F.array_distinct(F.filter(F.split(fold(F.col("text")), " "), lambda t: F.length(t) >= least))
+    rows = questions.join(contexts, "qid", "left").select("ok", terms.alias("terms"), fold(F.coalesce("context", F.lit(""))).alias("context")).filter(F.size("terms") > 0)
+    share = F.size(F.filter("terms", lambda t: F.contains(F.col("context"), t))) / F.size("terms")
+    return rows.groupBy("ok").agg(F.count("*").alias("n"), F.round(F.avg(share), 9).alias("coverage"))
+
+
+def by_class(items: DataFrame, same_setup: bool, shared_route: str = "book") -> DataFrame:
+    """Per class of items (class, route, a, b): n, accuracies, discordants, McNemar's p, the commonest route (of equal ones the first by name) and
+    ``noise``: two arms of one setup run the same on the shared route, so that a small p there is chance."""
+    routes = items.groupBy("class", "route").agg(F.count("*").alias("r")).groupBy(F.col("class").alias("_class")).agg(F.min_by("route", F.struct(-F.col("r"), "route")).alias("route"))
+    t = items.groupBy("class").agg(
+        F.count("*").alias("n"), F.round(F.avg("a"), 9).alias("accuracy_a"), F.round(F.avg("b"), 9).alias("accuracy_b"),
+        F.count_if((F.col("a") == 1) & (F.col("b") == 0)).alias("only_a"), F.count_if((F.col("a") == 0) & (F.col("b") == 1)).alias("only_b"),
+    )
+    t = t.join(routes, F.col("class").eqNullSafe(F.col("_class"))).drop("_class").withColumn("p", F.round(stats.mcnemar(F.col("only_a"), F.col("only_b")), 6))
+    return t.withColumn("noise", F.lit(same_setup) & (F.col("route") == shared_route) & (F.col("p") < 0.05))
+
+
+def by_destination(routed: DataFrame, base: DataFrame) -> DataFrame:
+    """(route, normative, n, accuracy, base, gain) of routed answers (item, route, normative, ok) against those of a base system (item, ok) to the same items."""
+    both = routed.join(base.select("item", F.col("ok").alias("was")), "item", "left")
+    t = both.groupBy("route", "normative").agg(F.count("*").alias("n"), F.avg("ok").alias("x"), F.avg("was").alias("y"))
+    return t.select("route", "normative", "n", F.round("x", 9).alias("accuracy"), F.round("y", 9).alias("base"), F.round(F.col("x") - F.col("y"), 9).alias("gain"))

@@ -214,11 +214,6 @@ def paired_mcnemar(spark, d):
     return stats.paired(facts(spark, d), "a", "b")
 
 
-@query("by_class_paired", f"WITH {FACTS}, t AS (SELECT lang, {PAIRED} FROM facts GROUP BY lang) SELECT *, {GAINS} FROM t")
-def by_class_paired(spark, d):
-    return stats.paired(facts(spark, d), "a", "b", ["lang"])
-
-
 @query("accuracy_rollup", f"WITH {FACTS} SELECT coalesce(lang, 'TOTAL') AS lang, count(*) AS n, sum(a)::BIGINT AS right_a, round(avg(a), 9) AS accuracy FROM facts GROUP BY ROLLUP (lang)")
 def accuracy_rollup(spark, d):
     return facts(spark, d).rollup("lang").agg(F.count("*").alias("n"), F.sum("a").alias("right_a"), F.round(F.avg("a"), 9).alias("accuracy")).withColumn("lang", F.coalesce("lang", F.lit("TOTAL")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loam.functions import text as tx
 from loam.operators import embed, index, ordered, reports, search
 from loam.plans import flow, journal, walk
-from loam.registry import BM25, MCNEMAR, T, bm25, doc_texts, folded, query, sql_share, text_index
+from loam.registry import BM25, FACTS, MCNEMAR, T, bm25, doc_texts, facts, folded, query, sql_share, text_index
 from loam.sources.store import workspace
 
 c = F.col
@@ -175,3 +175,45 @@ def navigate(spark, d):
 @query("catalogue", "SELECT coalesce(lang, '?') AS book, coalesce(source, '?') AS chapter, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents GROUP BY ALL")
 def catalogue(spark, d):
     return walk.catalogue(library(spark, d)).select("book", "chapter", "n", "chars")
+
+
+# Kinds of questions, coverage, classes and destinations. A question is a labelled document: quality says whether it was answered well.
+_W = "translate(substr(sha1(text), 1, 8), '0123456789', 'ghijkmnopq')"
+
+
+@query("error_rate_by_kind", f"SELECT CASE WHEN doc_id % 5 IN (0, 1) THEN 'image' WHEN doc_id % 5 IN (2, 3) THEN 'numeric' ELSE 'prose' END AS kind, count(*) AS n, round(avg(1 - quality), 9) AS error_rate FROM labels JOIN documents USING (doc_id) WHERE text IS NOT NULL GROUP BY 1")
+def error_rate_by_kind(spark, d):
+    stem = f"concat(CASE doc_id % 5 WHEN 0 THEN 'NA  FIGURA abaixo ' WHEN 2 THEN 'Configura 7 ' ELSE '' END, {_W}) AS stem"
+    claim = f"concat(CASE doc_id % 5 WHEN 1 THEN 'a seta, 5 mg, ' WHEN 2 THEN 'usar 2,5 de ' WHEN 3 THEN '10 horas e ' ELSE 'x9mg ' END, {_W}) AS claim"
+    docs = T(spark, d, "documents").filter("text is not null").selectExpr("doc_id", stem, claim)
+    return reports.error_rates(T(spark, d, "labels").join(docs, "doc_id").withColumnRenamed("quality", "ok"))
+
+
+@query("term_coverage", f"""WITH {BM25}, ctx AS (SELECT qid, {folded("string_agg(text, chr(10) ORDER BY rank)")} AS context FROM b JOIN documents ON doc_id = id WHERE rank <= 5 GROUP BY qid),
+qq AS (SELECT item_id AS qid, ({sql_share('right', 'item_id')} % 2)::INT AS ok, list_distinct(list_filter(string_split({folded('text')}, ' '), lambda t: length(t) >= 8)) AS terms FROM benchmark)
+SELECT ok, count(*) AS n, round(avg(len(list_filter(terms, lambda t: contains(coalesce(context, ''), t))) / len(terms)), 9) AS coverage FROM qq LEFT JOIN ctx USING (qid) WHERE len(terms) > 0 GROUP BY ok""")
+def term_coverage(spark, d):
+    """Do rare words of a question stand in the best five documents, where it was answered well and where not?"""
+    texts = bm25(spark, d, 5).join(doc_texts(spark, d), "id").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("x"))
+    contexts = texts.select("qid", F.array_join(F.transform("x", lambda r: r["text"]), "\n").alias("context"))
+    ok = (tx.hash_share("right", c("item_id")) % 2).cast("int").alias("ok")
+    return reports.term_coverage(T(spark, d, "benchmark").select(c("item_id").alias("qid"), "text", ok), contexts)
+
+
+_ROUTE = "CASE WHEN doc_id % 3 = 0 OR lang = 'de' THEN 'norms' ELSE 'book' END"
+
+
+@query("by_class_paired", f"""WITH {FACTS}, r AS (SELECT lang, {_ROUTE} AS route, count(*) AS r FROM facts GROUP BY ALL), m AS (SELECT lang, route FROM r QUALIFY row_number() OVER (PARTITION BY lang ORDER BY r DESC, route) = 1),
+t AS (SELECT lang, count(*) AS n, round(avg(a), 9) AS accuracy_a, round(avg(b), 9) AS accuracy_b, count(*) FILTER (WHERE a = 1 AND b = 0) AS only_a, count(*) FILTER (WHERE a = 0 AND b = 1) AS only_b FROM facts GROUP BY lang),
+p AS (SELECT *, round({MCNEMAR.format(b='only_a', c='only_b')}, 6) AS p FROM t JOIN m USING (lang)) SELECT lang AS class, n, accuracy_a, accuracy_b, only_a, only_b, route, p, route = 'book' AND p < 0.05 AS noise FROM p""")
+def by_class_paired(spark, d):
+    rows = facts(spark, d).select(c("lang").alias("class"), F.expr(_ROUTE).alias("route"), "a", "b")
+    return reports.by_class(rows, same_setup=True)
+
+
+@query("routing_by_dest", f"""WITH {FACTS} SELECT {_ROUTE} AS route, lang IN ('de', 'fr') AS normative, count(*) AS n, round(avg(a), 9) AS accuracy, round(avg(CASE WHEN doc_id % 7 > 0 THEN b END), 9) AS base, round(avg(a) - avg(CASE WHEN doc_id % 7 > 0 THEN b END), 9) AS gain FROM facts GROUP BY 1, 2""")
+def routing_by_dest(spark, d):
+    """A route taken and the group a question is truly of, against a base system that left out every seventh."""
+    rows = facts(spark, d).withColumn("item", c("doc_id"))
+    routed = rows.select("item", F.expr(_ROUTE).alias("route"), c("lang").isin("de", "fr").alias("normative"), c("a").alias("ok"))
+    return reports.by_destination(routed, rows.filter("doc_id % 7 > 0").select("item", c("b").alias("ok")))

@@ -130,23 +130,6 @@ def context_provenance(spark, d):
     return found.groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("qid").alias("questions"))
 
 
-@query("term_coverage", f"WITH {BM25}, {_Q}, s AS (SELECT b.id, len(list_intersect(asked.q, {TOKENS})) / len(asked.q) AS share FROM b JOIN documents ON doc_id = id JOIN asked ON asked.qid = b.qid WHERE rank <= 20) SELECT quality, count(*) AS n, round(avg(share), 9) AS coverage FROM s JOIN labels ON labels.doc_id = s.id GROUP BY quality")
-def term_coverage(spark, d):
-    docs = doc_texts(spark, d)
-    found = bm25(spark, d, 20).join(docs, "id").join(searches(spark, d).withColumnRenamed("text", "q"), "qid")
-    q = F.array_distinct(tx.tokens(c("q")))
-    rows = found.select("id", (F.size(F.array_intersect(q, tx.tokens(c("text")))) / F.size(q)).alias("share"))
-    return rows.join(T(spark, d, "labels").select(c("doc_id").alias("id"), "quality"), "id").groupBy("quality").agg(F.count("*").alias("n"), F.round(F.avg("share"), 9).alias("coverage"))
-
-
-@query("routing_by_dest", "WITH b AS (SELECT avg(quality) AS base FROM labels) SELECT regexp_matches(text, '[0-9]') AS numeric, lang, count(*) AS n, round(avg(quality), 9) AS accuracy, round(avg(quality) - min(base), 9) AS gain FROM labels JOIN documents USING (doc_id), b GROUP BY 1, 2")
-def routing_by_dest(spark, d):
-    labels = T(spark, d, "labels").select("doc_id", "quality")
-    base = labels.agg(F.avg("quality")).first()[0] or 0.0
-    rows = labels.join(T(spark, d, "documents").select("doc_id", "lang", c("text").rlike("[0-9]").alias("numeric")), "doc_id")
-    return rows.groupBy("numeric", "lang").agg(F.count("*").alias("n"), F.round(F.avg("quality"), 9).alias("accuracy"), F.round(F.avg("quality") - F.lit(base), 9).alias("gain"))
-
-
 @query("cond_accuracy", "SELECT lang, round(avg(quality) FILTER (WHERE toxic = 1), 9) AS with_caveat, round(avg(quality) FILTER (WHERE toxic = 0), 9) AS without_caveat, count(*) FILTER (WHERE toxic = 1) AS n_caveats FROM labels JOIN documents USING (doc_id) GROUP BY lang")
 def cond_accuracy(spark, d):
     rows = T(spark, d, "labels").join(T(spark, d, "documents").select("doc_id", "lang"), "doc_id")
