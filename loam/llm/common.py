@@ -80,15 +80,20 @@ def discard(*tables: DataFrame) -> None:
 
 #: Called after each task: empties what a module remembers from row to row.
 forget: list = []
+#: By name, what empties a memory that the tasks of one function share; other functions' tasks empty it first.
+shared_memory: dict = {}
 
 
-def lean(function, rows: int = 256):
-    """For mapInArrow: hands ``function`` batches of at most ``rows`` rows and frees the task's memory when it ends.
+def lean(function, rows: int = 256, keep: str = ""):
+    """For mapInArrow: hands ``function`` batches of at most ``rows`` rows and frees the task's memory when it ends, but for the shared memory named ``keep``.
 
     Spark reuses Python workers, whose leftovers would add up over the stages of a long job.
     """
 
     def run(batches):
+        for name, clear in shared_memory.items():
+            if name != keep:
+                clear()
         try:
             yield from function(batch.slice(a, rows) for batch in batches for a in range(0, batch.num_rows, rows))
         finally:

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loam.llm.common import lean, materialise, small
+from loam.llm.common import lean, materialise, shared_memory, small
 
 WINDOW = 1024
 TOKENIZER = "byte_bpe_50k.json"
@@ -88,6 +88,7 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+shared_memory["tokens"] = _encoders.clear
 
 
 def encoder(path: str) -> Encoder:
@@ -129,7 +130,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, id_
             )
 
     narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return narrow.mapInArrow(lean(cut), f"doc_id {id_type}, start long, length long, doc_tokens long, ids binary, task int, nth long, number long")
+    return narrow.mapInArrow(lean(cut, keep="tokens"), f"doc_id {id_type}, start long, length long, doc_tokens long, ids binary, task int, nth long, number long")
 
 
 def combinations(window: int, lengths: np.ndarray) -> np.ndarray:
