@@ -134,34 +134,43 @@ def topic_of_reply(reply: Column) -> Column:
     return F.when(named.isin(TOPICS), named).otherwise(TOPICS[-1])
 
 
+# What a norm is called by the beginning of its file's name, underscores read as spaces: pattern, label, title.
+DOCUMENTS = [
+    (r"^CFM-(\d+)-(\d{4}).*$", "CFM $1/$2", "Resolução CFM nº $1/$2"),
+    (r"^SBA-\d* ?\s*(.*?)\s*$", "SBA · $1", "SBA — $1"),
+    (r"^AMB-.*$", "AMB Diretrizes", "Projeto Diretrizes AMB"),
+    (r"^SBC-.*$", "SBC Diretriz", "Diretriz da Sociedade Brasileira de Cardiologia"),
+]
+# Where an exam states its year, in its file's name or its text; its verdict words; its answer lines; its header, footer and page-number lines.
+YEAR_IN_NAME, YEAR_IN_TEXT = r"(\d{4})-\d{2}_", r"(?i)ANO\s+(\d{4})"
+VERDICTS, ANSWER_LINE = "Verdadeiro|Falso", r"(?im)^\s*Resposta:\s*[A-D]"
+CHROME = r"(?i)^(PROVA\s+NACIONAL|Sociedade\s+Brasileira\s+de\s+Anestesiologia|CCA$|\d{1,3}$)"
+
+
 def document_label(name: Column, first_page: Column) -> Column:
-    """(label, title) by the file name's prefix; else the name and the first line that isn't blank, cut at 90."""
-    number, year = F.regexp_extract(name, r"^CFM-(\d+)-(\d{4})", 1), F.regexp_extract(name, r"^CFM-(\d+)-(\d{4})", 2)
-    own = F.trim(F.replace(F.regexp_replace(name, r"^SBA-\d*_?", ""), F.lit("_"), F.lit(" ")))
-    line = F.substring(F.coalesce(F.try_element_at(F.filter(F.transform(F.split(first_page, "\n"), lambda x: F.trim(x)), lambda x: x != ""), F.lit(1)), name), 1, 90)
-    both = lambda a, b: F.struct(a.alias("label"), b.alias("title"))
-    return (
-        F.when(number != "", both(F.concat(F.lit("CFM "), number, F.lit("/"), year), F.concat(F.lit("Resolução CFM nº "), number, F.lit("/"), year)))
-        .when(name.startswith("SBA-"), both(F.concat(F.lit("SBA · "), own), F.concat(F.lit("SBA — "), own)))
-        .when(name.startswith("AMB-"), both(F.lit("AMB Diretrizes"), F.lit("Projeto Diretrizes AMB")))
-        .when(name.startswith("SBC-"), both(F.lit("SBC Diretriz"), F.lit("Diretriz da Sociedade Brasileira de Cardiologia")))
-        .otherwise(both(name, line))
-    )
+    """(label, title) of the first of DOCUMENTS that the name is of; else the name and the page's first line that isn't blank, cut at 90."""
+    spaced = F.translate(name, "_", " ")
+    filled = F.filter(F.transform(F.split(first_page, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    found = F.struct(name.alias("label"), F.substring(F.coalesce(F.try_element_at(filled, F.lit(1)), name), 1, 90).alias("title"))
+    for pattern, label, title in reversed(DOCUMENTS):
+        named = F.struct(F.regexp_replace(spaced, pattern, label).alias("label"), F.regexp_replace(spaced, pattern, title).alias("title"))
+        found = F.when(spaced.rlike(pattern), named).otherwise(found)
+    return found
 
 
 def exam_year(name: Column, text: Column) -> Column:
     """The year in the file's name, else the one that the text states, else 0."""
     found = lambda c, p: F.regexp_extract(c, p, 1).try_cast("int")
-    return F.coalesce(found(name, r"(\d{4})-\d{2}_"), found(text, r"(?i)ANO\s+(\d{4})"), F.lit(0))
+    return F.coalesce(found(name, YEAR_IN_NAME), found(text, YEAR_IN_TEXT), F.lit(0))
 
 
 def exam_format(text: Column) -> Column:
-    return F.when(F.regexp_count(text, F.lit("Verdadeiro|Falso")) > F.regexp_count(text, F.lit(r"(?im)^\s*Resposta:\s*[A-D]")), "vf").otherwise("mcq")
+    return F.when(F.regexp_count(text, F.lit(VERDICTS)) > F.regexp_count(text, F.lit(ANSWER_LINE)), "vf").otherwise("mcq")
 
 
 def exam_body(text: Column) -> Column:
     """Without blank, header, footer and page-number lines."""
-    keep = lambda x: (F.trim(x) != "") & ~F.trim(x).rlike(r"(?i)^(PROVA\s+NACIONAL|Sociedade\s+Brasileira\s+de\s+Anestesiologia|CCA$|\d{1,3}$)")
+    keep = lambda x: (F.trim(x) != "") & ~F.trim(x).rlike(CHROME)
     return F.array_join(F.filter(F.split(text, "\n"), keep), "\n")
 
 
