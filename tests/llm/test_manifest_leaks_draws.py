@@ -270,3 +270,18 @@ def test_resampling_query(spark):
     docs, target = ([r.asDict() for r in spark.read.parquet(f"{SF}/{t}.parquet").collect()] for t in ("documents", "benchmark"))
     want = plain_draws(docs, target)
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(((r[0], *r[2:]) for r in want), key=repr)
+
+
+@pytest.mark.parametrize("name", ["op11_merkle", "op12_decontamination", "op13_resampling"])
+def test_against_sql(spark, name):
+    import duckdb
+
+    from loam.llm import registry
+    from test_queries import rows_of
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got, want = registry.queries()[name](spark, SF), con.sql(registry.oracle_sql()[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    assert rows_of(got.columns, [tuple(r) for r in got.collect()]) == rows_of(want.columns, want.fetchall())
