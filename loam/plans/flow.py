@@ -206,6 +206,8 @@ class Options:
     on_topic: Callable = field(default_factory=lambda: covers(0.01))
     suffices: Callable = field(default_factory=lambda: covers(0.5))
     formulas: DataFrame | None = None
+    #: A model's JSON reply for questions that no rule places; without one they get the last topic.
+    classify: Callable = lambda question: F.lit(None).cast("string")
 
 
 @dataclass
@@ -238,7 +240,7 @@ def _reformulate(s: State, o: Options) -> State:
 
 
 def _route(s: State, o: Options) -> State:
-    return replace(s, asked=s.asked.withColumn("topic", F.coalesce(rules.topic_by_rule(F.col("text"), F.lit("")), F.lit(rules.TOPICS[-1]))))
+    return replace(s, asked=s.asked.withColumn("topic", F.coalesce(rules.topic_by_rule(F.col("text"), F.lit("")), rules.topic_of_reply(o.classify(F.col("text"))))))
 
 
 def _focus(s: State, o: Options) -> State:

@@ -113,6 +113,8 @@ def test_flow_stages_take_effect(spark):
     # A normative question gets norms and book, another the book only.
     assert ran(["route", "quota", "interleave"]) == {1: 2, 2: 3, 3: 0}
     assert ran(["reformulate", "search", "rerank", "expand_parent", "critique"], suffices=flow.covers(2.0)) == {1: 2, 2: 2, 3: 0}
+    # A model places what no rule does.
+    assert ran(["route", "quota", "interleave"], classify=lambda q: F.lit('{"topico": "gestao"}')) == {1: 3, 2: 3, 3: 0}
 
 
 def test_vectors_and_journals(spark, tmp_path):
