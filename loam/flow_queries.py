@@ -130,7 +130,7 @@ def _variant(name: str):
     def run(spark, d):
         docs = T(spark, d, "documents").select(c("doc_id").alias("id"), "text", F.when(c("lang") == "en", "book").otherwise("norms").alias("source"), (c("doc_id") - c("doc_id") % 3).alias("parent"))
         formulas = values(spark, FORMULAS, "id long, name string, synonyms string, expression string, notes string")
-        options = flow.Options(searcher=flow.searcher_of(name, text_index(spark, d)), reword=flow.glossary(WORDS), on_topic=flow.covers(ON_TOPIC), suffices=flow.covers(SUFFICES), formulas=formulas)
+        options = flow.Options(searcher=flow.searcher_of(name, text_index(spark, d) if name in flow.WORD_SEARCH else None), reword=flow.glossary(WORDS), on_topic=flow.covers(ON_TOPIC), suffices=flow.covers(SUFFICES), formulas=formulas)
         return flow.run_flow(questions(spark, d), docs, flow.VARIANTS[name], options)
 
     return run

@@ -37,6 +37,9 @@ VARIANTS = {
     "v15": ["reformulate", "quota", "interleave", "respond"],
     "v16": ["navigate", "respond"],
 }
+# Variants that fuse vectors with words, and all that look words up.
+HYBRID = {"v2", "v3", "v4", "v5"}
+WORD_SEARCH = HYBRID | {"v14", "v16"}
 
 
 def repair(sketch: list[str]) -> list[str]:
@@ -170,10 +173,12 @@ def hybrid_search(embed: Callable = first_letters, words: Callable = bm25_topk)
     return lambda docs, queries, k: rrf_fuse([words(docs, queries, k), dense(docs, queries, k)], k)
 
 
-def searcher_of(variant: str, path: str, embed: Callable = first_letters) -> Callable:
-    """How a variant searches: by vectors, but for those that fuse vectors with words, and the walks, which look words up."""
+def searcher_of(variant: str, path: str | None = None, embed: Callable = first_letters) -> Callable:
+    """How a variant searches: by vectors, but for those that fuse vectors with words, and the walks, which look words up; only these need an index."""
+    if variant not in WORD_SEARCH:
+        return dense_search(embed)
     words = indexed_search(path)
-    return hybrid_search(embed, words) if variant in ("v2", "v3", "v4", "v5") else words if variant in ("v14", "v16") else dense_search(embed)
+    return hybrid_search(embed, words) if variant in HYBRID else words
 
 
 def glossary(words: dict[str, str]) -> Callable:

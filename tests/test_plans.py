@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from loam import flow_queries, registry
 from loam.operators import embed, index, ordered, reports, search, structure
 from loam.plans import flow, journal, walk
 
@@ -182,6 +183,17 @@ def test_lists_of_blocks_are_shuffled_not_words(spark, tmp_path, monkeypatch, ki
         assert want and want == sorted(map(repr, found.collect()))
 
 
+def test_flows_by_vectors_build_no_index(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("an index is built")
+
+    monkeypatch.setattr(flow_queries, "text_index", never)
+    for name in ("v11", "v13"):
+        assert registry.QUERIES[f"flow_{name}"](spark, "/root/testdata/sf0.001").columns
+    with pytest.raises(AssertionError, match="an index"):
+        registry.QUERIES["flow_v14"](spark, "/root/testdata/sf0.001")
+
+
 def test_pages_of_positions_and_of_quotes(spark):
     pages = spark.createDataFrame([(1, 1, 10), (1, 2, 15), (1, 3, 0), (1, 4, 5000), (2, 1, 3)], "id long, page int, chars int")
     at = spark.createDataFrame([(1, p) for p in (0, 9, 10, 24, 25, 5024, 5025)] + [(2, 2), (3, 0)], "id long, pos long")
