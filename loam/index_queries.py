@@ -26,13 +26,19 @@ def scan_bm25(spark, d):
     return index.table(spark, text_index(spark, d), "docs").select(c("id").alias("doc_id"), "dl")
 
 
+#: The stream's files have so many bytes by the planner's guess, so that their number grows with the table and no task writes or reads more.
+FILE_BYTES = 16 << 20
+
+
 def _streamed(spark, d) -> str:
     """An index of all documents that a stream made: the table is dealt to files, of which each micro-batch takes a quarter; every file comes twice."""
     at = workspace(spark)
     docs = doc_texts(spark, d)
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = 4 * -(-size // (4 * FILE_BYTES)) or 4
     for _ in range(2):
-        docs.repartition(4, "id").write.mode("append").parquet(f"{at}/in")
-    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
+        docs.repartition(n, "id").write.mode("append").parquet(f"{at}/in")
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", n // 2).parquet(f"{at}/in")
     text_index_stream(stream, f"{at}/index", f"{at}/check", 16).awaitTermination()
     return f"{at}/index"
 

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loam import flow_queries, registry
+from loam import flow_queries, index_queries, registry
 from loam.operators import embed, index, ordered, reports, search, structure
 from loam.plans import flow, journal, walk
 
@@ -207,6 +207,31 @@ def test_lists_of_blocks_are_shuffled_not_words(spark, tmp_path, monkeypatch, ki
         assert want and want == sorted(map(repr, found.collect()))
 
 
+def test_known_ids_are_met_before_texts(spark, tmp_path):
+    docs = spark.createDataFrame([(i, made_up(i, 5)) for i in range(40)], "id long, text string")
+    ids = docs.select("id")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert index._fresh(docs, ids, spark.range(100, 120)) is docs
+    none = index._fresh(docs, ids, spark.range(60))
+    assert "Join" not in plan(none) and none.count() == 0
+    some = index._fresh(docs, ids, spark.range(10, 50))
+    assert "strategy=broadcast" in plan(some) and sorted(r["id"] for r in some.collect()) == list(range(10))
+    path = str(tmp_path / "index")
+    for n, part in enumerate(("id < 20", "id >= 20", "true", "id < 30")):
+        index.add(docs.filter(part), path, n, 4)
+    assert index.table(spark, path, "docs").groupBy("batch").count().orderBy("batch").collect() == [(0, 20), (1, 20)]
+
+
+def test_streamed_files_grow_in_number_with_the_table(spark, monkeypatch):
+    at = "/root/testdata/sf0.001"
+    size = int(str(registry.doc_texts(spark, at)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    monkeypatch.setattr(index_queries, "FILE_BYTES", size // 10)
+    path = index_queries._streamed(spark, at)
+    assert len(spark.read.parquet(path.removesuffix("index") + "in").inputFiles()) == 24
+    assert sorted(index._listed(spark, path)[0]) == [0, 1, 2, 3]
+    assert index.table(spark, path, "docs").groupBy("batch").count().count() == 2
+
+
 def test_flows_by_vectors_build_no_index(spark, monkeypatch):
     def never(*_):
         raise AssertionError("an index is built")
