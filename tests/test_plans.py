@@ -222,6 +222,25 @@ def test_known_ids_are_met_before_texts(spark, tmp_path):
     assert index.table(spark, path, "docs").groupBy("batch").count().orderBy("batch").collect() == [(0, 20), (1, 20)]
 
 
+def test_found_rows_are_broadcast_to_texts(spark, tmp_path):
+    docs = spark.createDataFrame([(i, made_up(i, 12), "book" if i % 2 else "norms", i - i % 3) for i in range(60)], "id long, text string, source string, parent long")
+    asked = spark.createDataFrame([(i, made_up(100 + i, 6)) for i in range(5)], "qid long, text string")
+    index.add(docs.select("id", "text"), str(tmp_path / "index"), 0, 4)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+        assert "strategy=broadcast" in plan(index.search(spark, str(tmp_path / "index"), asked, 5).join(docs, "id"))
+        for name, least in (("v1", 1), ("v2", 3), ("v14", 1)):
+            options = flow.Options(searcher=flow.searcher_of(name, str(tmp_path / "index")))
+            run = flow.run_flow(asked, docs, flow.VARIANTS[name], options)
+            # No join on a text's id is without the hint.
+            assert plan(run).count("strategy=broadcast") >= least
+            assert run.count() == 5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_streamed_files_grow_in_number_with_the_table(spark, monkeypatch):
     at = "/root/testdata/sf0.001"
     size = int(str(registry.doc_texts(spark, at)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
