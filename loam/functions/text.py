@@ -28,7 +28,7 @@ STOP_WORDS = (
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits longer than one character."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda t: F.length(t) > 1)
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]{2,}"), F.lit(0))
 
 
 def fold_header(text: Column) -> Column:
