@@ -376,6 +376,32 @@ def test_lm_scores_pairs_counted_once(spark):
         assert near == pytest.approx(want) and near > far + 2
 
 
+def test_lm_words_are_hashed_together(monkeypatch):
+    import xxhash
+
+    texts = [None, "", " \t", "A b\x0bB\x0cz", "a\x00 a\x00\x00 a", "É é \x85 \xa0", "\ud800 x", "a" * 7 + " " + "a" * 8 + " " + "a" * 9, "y" * 64, " ".join(f"w{i}" for i in range(50_000))]
+    long = "z" * 65 + " " + "z" * 1000 + " " + "Z" * 65
+    of = {}
+    for piece in (1, 1 << 20):
+        monkeypatch.setattr(lm, "PIECE", piece)
+        for text, h in zip([*texts, long], lm.hashes([*texts, long])):
+            words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+            assert len(h) == len(words) + 1 and h[-1] == lm.END and (h == lm.token_hashes(text)).all()
+            assert all(of.setdefault(w, x) == x for w, x in zip(words, h.tolist()))
+    assert len(set(of.values())) == len(of) > 50_000
+    # No word of a common length is hashed by itself.
+    monkeypatch.setattr(xxhash, "xxh3_64_intdigest", None)
+    assert sum(map(len, lm.hashes(texts))) > 50_000
+
+
+def test_lm_distinct_hashes_and_places():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 1000, 70_000):
+        for h in (rng.integers(0, 1 << 63, n).astype(np.uint64), rng.integers(0, 50, n).astype(np.uint64) * np.uint64(1 << 50), rng.integers(0, 9, n).astype(np.uint64) + np.uint64(5 << 40)):
+            for got, want in zip(lm._distinct(h), np.unique(h, return_inverse=True)):
+                assert (got == want).all()
+
+
 def test_lm_hashes_survive_packing():
     rng = np.random.default_rng(3)
     h = np.sort(rng.integers(0, (1 << 64) - 1, 1000, np.uint64))
