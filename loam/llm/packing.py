@@ -34,6 +34,8 @@ END_ID = 0
 BLOCK = 8192
 #: Distinct pieces of text whose ids a worker remembers.
 CACHE = 700_000
+#: The letters by which a byte-level tokenizer writes bytes that aren't printable in Latin-1.
+LETTERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b))}
 
 
 class Encoder:
@@ -55,21 +57,13 @@ class Encoder:
         self.pieces = re.compile(rf" ?[{word}]+| ?[{number}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s{word}{number}]+|\s+(?!\S)|\s+").findall
         self.odd = re.compile(r"[^\x09\x0A\x0D\x20-\x7E¡-¬®-ſ‐-―‘-‟]").search
         self.known: dict[str, bytes] = {}
-        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.model = self.tokenizer.model
 
     def _encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        """Words are encoded together as lines of one text, of which the line breaks are tokens; others one by one."""
-        words, found = [p for p in pieces if p.isalpha() or (p[0] == " " and p[1:].isalpha())], {}
-        if words and len(self.newline) == 1:
-            ids = np.array(self.tokenizer.encode("\n".join(words), add_special_tokens=False).ids, np.uint32)
-            ends = [*np.flatnonzero(ids == self.newline[0]).tolist(), len(ids)]
-            if len(ends) == len(words):
-                raw, starts = ids.tobytes(), [0, *(e + 1 for e in ends[:-1])]
-                found = {w: raw[4 * a : 4 * b] for w, a, b in zip(words, starts, ends)}
-        rest = [p for p in pieces if p not in found]
-        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            found[p] = array("I", e.ids).tobytes()
-        return found
+        """By the tokenizer's model, which takes a piece's bytes as letters; nothing is split once more. No piece holds a zero byte."""
+        tokenize = self.model.tokenize
+        letters = "\0".join(pieces).encode().decode("latin-1").translate(LETTERS).split(LETTERS[0])
+        return {p: array("I", [t.id for t in tokenize(x)]).tobytes() for p, x in zip(pieces, letters)}
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids as 32-bit numbers (little-endian, as are all machines Spark runs on today)."""

@@ -166,6 +166,16 @@ def test_media_round_trip(spark):
 # 4
 
 
+def test_packing_encodes_new_pieces_by_the_model():
+    enc = packing.Encoder(packing.tokenizer_path())
+    rng, signs = random.Random(5), [*"abcXYZéßſªº¼½ 12'stvelm\n\t\r .,—“”€…¡¿«»   "]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(80))) for _ in range(2000)] + ["", "<|endoftext|> it's", " ", "b" * 3000]
+    texts = [t for t in texts if not enc.odd(t)]
+    want = [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    enc.tokenizer = None  # texts of known signs aren't split by it once more
+    assert [np.frombuffer(ids, np.uint32).tolist() for ids in enc.encode(texts)] == want
+
+
 def test_packing_holds_every_id_once(spark):
     from tokenizers import Tokenizer
 
