@@ -20,6 +20,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import compress, islice
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -32,8 +33,9 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 #: Tails packed greedily together in a task; bounds its memory at BLOCK * WINDOW * 4 bytes.
 BLOCK = 8192
-#: Distinct pieces of text whose ids a worker remembers.
-CACHE = 700_000
+#: Distinct pieces of text whose ids a worker remembers, and the bytes by which it tells that a piece came before: one for each
+#: place of a hash. A piece is remembered when it comes in a second batch; most never do.
+CACHE, MARKS = 300_000, 1 << 22
 #: The letters by which a byte-level tokenizer writes bytes that aren't printable in Latin-1.
 LETTERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b))}
 
@@ -42,7 +44,7 @@ class Encoder:
     """Ids of whole texts, equal to the tokenizer's own.
 
     The tokenizer splits a text by a fixed pattern and encodes each piece alone. Pieces recur, so each is
-    encoded once and remembered. That is done only for texts of Latin letters and common signs, on which
+    encoded once a batch, and those that come again are remembered. That is done only for texts of Latin letters and common signs, on which
     the pattern's character classes are beyond doubt; other texts go to the tokenizer as they are.
     """
 
@@ -57,6 +59,7 @@ class Encoder:
         self.pieces = re.compile(rf" ?[{word}]+| ?[{number}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s{word}{number}]+|\s+(?!\S)|\s+").findall
         self.odd = re.compile(r"[^\x09\x0A\x0D\x20-\x7E¡-¬®-ſ‐-―‘-‟]").search
         self.known: dict[str, bytes] = {}
+        self.met = np.zeros(MARKS, bool)
         self.model = self.tokenizer.model
 
     def _encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
@@ -70,15 +73,19 @@ class Encoder:
         known = self.known
         split = [None if self.odd(t) else self.pieces(t) for t in texts]
         found = self._encode_pieces(list(set().union(*(p for p in split if p is not None)).difference(known)))
-        known.update(found)
+        self._remember(found)
         for text, pieces in zip(texts, split):
             if pieces is None:
                 yield array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
             else:
-                yield b"".join(map(known.__getitem__, pieces))
-        if len(known) > CACHE:
-            for p in found:
-                del known[p]
+                yield b"".join([known[p] if p in known else found[p] for p in pieces])
+
+    def _remember(self, found: dict[str, bytes]) -> None:
+        """Those of the new pieces that an earlier batch held (or one of the same hash, which does no harm), as long as there is room."""
+        marks = np.fromiter(map(hash, found), np.int64, len(found)) % MARKS
+        again = self.met[marks].tolist()
+        self.met[marks] = True
+        self.known.update(islice(compress(found.items(), again), max(CACHE - len(self.known), 0)))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -290,7 +297,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, id_col: str
                     at += n
             take = pa.array(row, pa.int64())
             cols = [table.column(0).take(take), pa.array(start, pa.int64()), pa.array(length, pa.int64()), table.column(3).take(take), pa.array(blob, pa.binary()), pa.array(seq, pa.int64()), pa.array(offset, pa.int64())]
-            yield from pa.Table.from_arrays(cols, names=names).to_batches(2000)
+            yield from pa.Table.from_arrays(cols, names=names).to_batches(500)
 
         held, n = [], 0
         for batch in batches:

@@ -13,12 +13,17 @@ _shipped: set[str] = set()
 
 #: Spark's default of 10,000 whole documents a batch takes tens of MB outside the heap for each task.
 ARROW_ROWS = 2000
+#: Batches end at so many bytes if that is sooner: buffers of long rows stay in the executor's memory outside the heap, for each thread that held one.
+ARROW_BYTES = 2 << 20
 
 
 def ship(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, ARROW_ROWS)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, ARROW_BYTES)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return

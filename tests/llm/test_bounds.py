@@ -1,8 +1,9 @@
 """Bounds and brute force of earlier operators: hot ids in what is learned, sequences that survive coalescing, files that keep their tasks."""
 
 import math
+import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -104,3 +105,30 @@ def test_materialise_keeps_the_tasks_of_a_large_table(spark, monkeypatch):
     monkeypatch.setattr(common, "FILE_BYTES", 1000)
     assert len(common.materialise(wide).inputFiles()) > few
     assert common.materialise(wide).count() == 4000
+
+
+def test_packing_remembers_only_pieces_that_come_again(monkeypatch):
+    enc = packing.Encoder(packing.tokenizer_path())
+    rng, seen = random.Random(3), Counter()
+    batches = [["the same words " + " ".join("".join(rng.choices("abcdefgh", k=9)) for _ in range(200)) for _ in range(4)] for _ in range(5)]
+    for texts in batches:
+        want = [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(ids, np.uint32).tolist() for ids in enc.encode(texts)] == want
+        seen.update({p for t in texts for p in enc.pieces(t)})
+    assert {"the", " same", " words"} <= set(enc.known)
+    assert len(seen) > 3900 and len(enc.known) < 40  # few words that came once share a hash with an earlier one
+    monkeypatch.setattr(packing, "CACHE", len(enc.known) + 5)
+    for _ in range(3):
+        assert [np.frombuffer(ids, np.uint32).tolist() for ids in enc.encode(batches[0])] == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in batches[0]]
+    assert len(enc.known) == packing.CACHE
+
+
+def test_batches_end_at_their_bytes(spark):
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "b"])
+
+    found = spark.range(0, 1900, 1, 1).select(F.repeat(F.lit("x"), 5000)).mapInArrow(sizes, "n long, b long").collect()
+    assert sum(r["n"] for r in found) == 1900 and max(r["b"] for r in found) < 3 << 20
